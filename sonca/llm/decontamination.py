@@ -114,10 +114,9 @@ class Items:
         self.items = [(k, np.array([self.symbols.setdefault(w, len(self.symbols) + 1) for w in ws], np.int64)) for k, t in items if (ws := words_of(t))]
         self.of = self.symbols.get
         self.bits = max(16, sum(len(x) for _, x in self.items).bit_length() + 4)
-        self.pairs = np.zeros(1 << self.bits, bool)
+        self.pairs = np.zeros(1 << self.bits, np.uint64)  # by word pair, a bit for each class of lengths that has it
         lengths: dict[int, list[int]] = {}
         for i, (_, x) in enumerate(self.items):
-            self.pairs[_pair(x[:-1], x[1:], self.bits)] = True
             lengths.setdefault(len(x), []).append(i)
         #: By length, for each repeat: the sampled steps. A walk over n symbols takes about 2n; samples stay inside.
         self.places: dict[int, np.ndarray] = {}
@@ -142,6 +141,9 @@ class Items:
                 self.classes[-1] = (least, n, [*those, n])
             else:
                 self.classes.append((n, n, [n]))
+        of = {n: c for c, (_, _, those) in enumerate(self.classes) for n in those}
+        for _, x in self.items:
+            self.pairs[_pair(x[:-1], x[1:], self.bits)] |= np.uint64(1 << min(63, of[len(x)]))
 
     @staticmethod
     def _seeds(n: np.ndarray, repeat: np.ndarray) -> np.ndarray:
@@ -183,13 +185,17 @@ class Items:
         if not len(x):
             return
         both = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
-        both = both[self.pairs[_pair(x[both], x[both + 1], self.bits)]]
-        hit = np.zeros(len(x) + 1, np.int64)
-        hit[both + 1] = 1
-        hit = np.cumsum(hit)
-        for least, most, lengths in self.classes:
+        masks = self.pairs[_pair(x[both], x[both + 1], self.bits)]
+        both, masks = both[masks > 0], masks[masks > 0]
+        for c, (least, most, lengths) in enumerate(self.classes):
             if len(both) < needed(least) or len(x) < least - allowed(least):
                 continue
+            mine = both[(masks >> np.uint64(min(63, c))) & np.uint64(1) > 0]
+            if len(mine) < needed(least):
+                continue
+            hit = np.zeros(len(x) + 1, np.int64)
+            hit[mine + 1] = 1
+            hit = np.cumsum(hit)
             starts = self._starts(x, hit, np.arange(len(x)), least, most)
             for n in lengths if len(starts) else ():
                 own = self._starts(x, hit, starts, n, n)
