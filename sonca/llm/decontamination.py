@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -114,7 +115,7 @@ class Items:
         self.items = [(k, np.array([self.symbols.setdefault(w, len(self.symbols) + 1) for w in ws], np.int64)) for k, t in items if (ws := words_of(t))]
         self.of = self.symbols.get
         self.bits = max(16, sum(len(x) for _, x in self.items).bit_length() + 4)
-        self.pairs = np.zeros(1 << self.bits, np.uint64)  # by word pair, a bit for each class of lengths that has it
+        self.pairs = np.zeros(1 << self.bits, np.uint64)  # by word pair, a bit for each item length (mod 64) that has it
         lengths: dict[int, list[int]] = {}
         for i, (_, x) in enumerate(self.items):
             lengths.setdefault(len(x), []).append(i)
@@ -141,9 +142,8 @@ class Items:
                 self.classes[-1] = (least, n, [*those, n])
             else:
                 self.classes.append((n, n, [n]))
-        of = {n: c for c, (_, _, those) in enumerate(self.classes) for n in those}
         for _, x in self.items:
-            self.pairs[_pair(x[:-1], x[1:], self.bits)] |= np.uint64(1 << min(63, of[len(x)]))
+            self.pairs[_pair(x[:-1], x[1:], self.bits)] |= np.uint64(1 << len(x) % 64)
 
     @staticmethod
     def _seeds(n: np.ndarray, repeat: np.ndarray) -> np.ndarray:
@@ -155,7 +155,7 @@ class Items:
 
     def matches_of(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """The matches of each text; the windows of all of them walk together."""
-        xs = [np.array([self.of(w, 0) for w in words_of(t)], np.int64) for t in texts]
+        xs = [np.fromiter(map(self.of, ws := words_of(t), repeat(0)), np.int64, len(ws)) for t in texts]
         found: list[dict[int, list[int]]] = [{} for _ in xs]
         rows: list[tuple[int, int, np.ndarray]] = []
         for d, x in enumerate(xs):
@@ -187,18 +187,10 @@ class Items:
         both = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
         masks = self.pairs[_pair(x[both], x[both + 1], self.bits)]
         both, masks = both[masks > 0], masks[masks > 0]
-        for c, (least, most, lengths) in enumerate(self.classes):
-            if len(both) < needed(least) or len(x) < least - allowed(least):
-                continue
-            mine = both[(masks >> np.uint64(min(63, c))) & np.uint64(1) > 0]
-            if len(mine) < needed(least):
-                continue
-            hit = np.zeros(len(x) + 1, np.int64)
-            hit[mine + 1] = 1
-            hit = np.cumsum(hit)
-            starts = self._starts(x, hit, np.arange(len(x)), least, most)
+        for least, most, lengths in self.classes:
+            starts = self._starts(x, both, masks, lengths, np.arange(len(x)), least, most)
             for n in lengths if len(starts) else ():
-                own = self._starts(x, hit, starts, n, n)
+                own = self._starts(x, both, masks, [n], starts, n, n)
                 if len(own):
                     yield n, own
 
@@ -219,8 +211,17 @@ class Items:
                 yield k, best[0], len(item), best[1]
 
 
-    def _starts(self, x: np.ndarray, hit: np.ndarray, among: np.ndarray, least: int, most: int) -> np.ndarray:
+    def _starts(self, x: np.ndarray, both: np.ndarray, masks: np.ndarray, lengths: list[int], among: np.ndarray, least: int, most: int) -> np.ndarray:
         """Where a window for `most` words and the edits allowed holds the pairs that `least` words need."""
+        if len(both) < needed(least) or len(x) < least - allowed(least):
+            return among[:0]
+        bits = np.uint64(sum({1 << n % 64 for n in lengths}))
+        mine = both[masks & bits > 0]
+        if len(mine) < needed(least):
+            return among[:0]
+        hit = np.zeros(len(x) + 1, np.int64)
+        hit[mine + 1] = 1
+        hit = np.cumsum(hit)
         among = among[x[among] > 0] if least < 2 else among
         last = np.minimum(among + most + allowed(most) - 1, len(x) - 1)
         return among[hit[last] - hit[among] >= needed(least)]
