@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -89,15 +90,17 @@ def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[list[int], int]]:
             lengths, use = [top], {top: 1}
             free = left.copy()
             free[top] -= 1
+            some = free > 0
             gap = size - top
             while gap:
-                more = _exact(free, gap) or _best(free, gap)
+                more = _exact(free, some, gap) or _best(some, gap)
                 if not more:
                     break
                 for x in more:
                     lengths.append(x)
                     use[x] = use.get(x, 0) + 1
                     free[x] -= 1
+                    some[x] = free[x] > 0
                     gap -= x
             times = min(int(left[x]) // n for x, n in use.items())
             for x, n in use.items():
@@ -106,29 +109,37 @@ def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[list[int], int]]:
     return out
 
 
-def _exact(free: np.ndarray, gap: int) -> list[int]:
+def _pair(some: np.ndarray, free: np.ndarray, gap: int, most: int) -> tuple[int, int] | None:
+    """The pair with sum gap whose longer length is the longest, at most `most`."""
+    low, high = (gap + 1) // 2, min(most, gap - 1, len(some) - 1)
+    if high < low:
+        return None
+    good = some[low : high + 1] & some[gap - high : gap - low + 1][::-1]
+    if 2 * low == gap and free[low] < 2:
+        good[0] = False
+    i = len(good) - 1 - int(good[::-1].argmax())
+    return (low + i, gap - low - i) if good[i] else None
+
+
+def _exact(free: np.ndarray, some: np.ndarray, gap: int) -> list[int]:
     """One, two or three lengths that fill the gap exactly, with the longest possible first."""
-    if gap < len(free) and free[gap] > 0:
+    if gap < len(free) and some[gap]:
         return [gap]
-    top = min(gap, len(free))
-    some = np.flatnonzero(free[:top] > 0)
-    pair = some[(some >= gap - some) & (gap - some > 0)]
-    pair = pair[(free[gap - pair] > 0) & ((pair * 2 != gap) | (free[pair] > 1))] if len(pair) else pair
-    if len(pair):
-        return [int(pair[-1]), int(gap - pair[-1])]
-    for a in some[::-1][:64]:  # a triple: the longest with a pair of the rest
-        rest = gap - int(a)
-        two = some[(some <= a) & (some >= rest - some) & (rest - some > 0)]
-        for b in two[::-1]:
-            c = rest - int(b)
-            if free[c] > 0 and free[b] > (b == a) and free[c] > (c == b) + (c == a):
-                return [int(a), int(b), c]
+    if pair := _pair(some, free, gap, len(free)):
+        return list(pair)
+    for a in np.flatnonzero(some[: min(gap, len(free))])[::-1].tolist():  # triples
+        if 3 * a < gap:
+            break
+        if (pair := _pair(some, free, gap - a, a)) and all(free[x] >= n for x, n in Counter((a, *pair)).items()):
+            return [a, *pair]
     return []
 
 
-def _best(free: np.ndarray, gap: int) -> list[int]:
-    some = np.flatnonzero(free[: min(gap, len(free) - 1) + 1] > 0)
-    return [int(some[-1])] if len(some) else []
+def _best(some: np.ndarray, gap: int) -> list[int]:
+    """The longest length that fits the gap."""
+    fits = some[: gap + 1][::-1]
+    i = int(fits.argmax())
+    return [len(fits) - 1 - i] if fits[i] else []
 
 
 def places(patterns: list[tuple[list[int], int]]) -> np.ndarray:
