@@ -30,31 +30,34 @@ from pyspark.sql.types import StringType
 
 from . import common
 
-WINDOW, M, GROUP, SEEN_BYTES = 20, 4, 20_000, 48 << 20
+WINDOW, M, GROUP, SEEN_BYTES = 20, 2, 20_000, 48 << 20
 #: Stands for a null key, which so comes first.
 NONE = -(1 << 63)
-#: A row of a bucket, or (bucket null) windows to remove: `n` of them from `start` on.
-KMERS = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("packed", pa.binary())])
-KMERS_SQL = "bucket long, doc_id long, start int, n int, at int, packed binary"
+#: Bits of a bucket's name; M-grams of fewer bytes than SHORT, mostly of common words, are minimisers only for want of others.
+BUCKET_BITS, SHORT = 40, 12
+#: A row of a bucket, or (bucket null) windows to remove: run is their first one's place and, in the low 16 bits, how many.
+KMERS = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("run", pa.int64()), ("packed", pa.binary())])
+KMERS_SQL = "bucket long, doc_id long, run long, packed binary"
 
 
-def super_kmers(words: list[bytes], window: int = WINDOW, m: int = M) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(bucket, first window, windows, place of the minimiser in the string, packed string) for each run."""
+def super_kmers(words: list[bytes], window: int = WINDOW, m: int = M) -> Iterator[tuple[int, int, int, bytes]]:
+    """(bucket, first window, windows, packed string) for each run."""
     m = min(m, window)
     if len(words) < window:
         return
-    hashes = common.grams(np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64), m)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    hashes = common.grams(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), m)
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    order = (hashes >> np.uint64(1)) | ((ends[m - 1 :] - starts[: len(hashes)] < SHORT).astype(np.uint64) << np.uint64(63))
     least = window - m + 1
-    where = np.lib.stride_tricks.sliding_window_view(hashes, least).argmin(1) + np.arange(len(hashes) - least + 1)
-    cuts = np.flatnonzero(np.diff(where)) + 1
-    begin = np.concatenate([[0], cuts])
-    end = np.concatenate([cuts, [len(where)]])
+    where = np.lib.stride_tricks.sliding_window_view(order, least).argmin(1) + np.arange(len(hashes) - least + 1)
+    begin = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1])
+    end = np.append(begin[1:], len(where))
     text = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    at = where[begin]
-    for b, i, n, p, x, y in zip(hashes[at].view(np.int64).tolist(), begin.tolist(), (end - begin).tolist(), (at - begin).tolist(), starts[begin].tolist(), ends[end + window - 2].tolist(), strict=True):
-        yield b, i, n, p, text[x:y]
+    names = (hashes[where[begin]] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    for b, i, n, x, y in zip(names.tolist(), begin.tolist(), (end - begin).tolist(), starts[begin].tolist(), ends[end + window - 2].tolist(), strict=True):
+        yield b, i, n, text[x:y]
 
 
 def _sent(window: int, m: int):
@@ -67,7 +70,7 @@ def _sent(window: int, m: int):
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
             nonlocal size
             for k, t in zip(batch.column(0).to_pylist(), common.utf8(batch.column(1)), strict=True):
-                for bucket, i, n, p, packed in super_kmers(t.split(), window, m):
+                for bucket, i, n, packed in super_kmers(t.split(), window, m):
                     first = seen.get(packed)
                     if first is None:
                         size += len(packed) + 200
@@ -75,10 +78,10 @@ def _sent(window: int, m: int):
                             seen.clear()
                             size = 0
                     elif first < (k, i):
-                        yield None, k, i, n, None, None
+                        yield None, k, i << 16 | n, None
                         continue
                     seen[packed] = (k, i)
-                    yield bucket, k, i, n, p, packed
+                    yield bucket, k, i << 16 | n, packed
 
         for batch in stream:
             if batch.num_rows:
@@ -87,11 +90,11 @@ def _sent(window: int, m: int):
     return run
 
 
-def _judge(group: list[tuple[int, int, int, int, bytes]], window: int) -> Iterator[tuple[int, int]]:
+def _judge(group: list[tuple[int, int, bytes]], window: int) -> Iterator[tuple[int, int]]:
     """(doc_id, start) of the windows of a bucket that also start earlier: windows are sorted as strings."""
     found = []
-    for k, i, n, p, packed in group:
-        words = packed.split(b" ")
+    for k, run, packed in group:
+        words, i, n = packed.split(b" "), run >> 16, run & 0xFFFF
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = [0, *(ends[:-1] + 1).tolist()]
         ends = ends.tolist()
@@ -115,7 +118,7 @@ def _received(window: int, most: int):
         def close() -> Iterator[tuple]:
             if not large and len(held) > 1:
                 for k, i in _judge([x[1:] for x in held], window):
-                    yield None, k, i, 1, None, None
+                    yield None, k, i << 16 | 1, None
 
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
             nonlocal bucket, held, large
@@ -147,13 +150,13 @@ def _received(window: int, most: int):
 
 def _windows(window: int):
     """mapInArrow: super-k-mers of large buckets to their windows."""
-    schema = pa.schema([("words", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32())])
+    schema = pa.schema([("words", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64())])
 
     def each(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for k, i, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for k, run, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = packed.split(b" ")
-            for j in range(n):
-                yield b" ".join(words[j : j + window]), k, i + j
+            for j in range(run & 0xFFFF):
+                yield b" ".join(words[j : j + window]), k, (run >> 16) + j
 
     return common.by_rows(schema, each)
 
@@ -166,12 +169,12 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     # Removals that are known already have no bucket; they are spread by document and pass through.
     dealt = sent.repartition(F.coalesce("bucket", F.xxhash64("doc_id"))).sortWithinPartitions("bucket")
     judged = scratch.keep(dealt.mapInArrow(_passed(window, most), KMERS_SQL), "judged")
-    known = judged.where("bucket is null").select("doc_id", "start", "n")
+    known = judged.where("bucket is null").select("doc_id", F.shiftright("run", 16).alias("start"), F.col("run").bitwiseAND(0xFFFF).alias("n"))
     large = judged.where("bucket is not null")
     if not large.isEmpty():
-        each = scratch.keep(large.select("doc_id", "start", "n", "packed").mapInArrow(_windows(window), "words binary, doc_id long, start int").withColumn("h", F.sha2("words", 256)).select("h", "doc_id", "start"), "windows")
+        each = scratch.keep(large.select("doc_id", "run", "packed").mapInArrow(_windows(window), "words binary, doc_id long, start long").withColumn("h", F.sha2("words", 256)).select("h", "doc_id", "start"), "windows")
         first = each.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first < last").select("h", "first")
-        more = each.join(first, "h").where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", F.lit(1).alias("n"))
+        more = each.join(first, "h").where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", F.lit(1).cast("long").alias("n"))
         known = known.unionByName(scratch.keep(more, "more"))
         scratch.drop("windows")
     return known
