@@ -8,9 +8,10 @@
    similarity s after m matches of n is Beta(m + 1, n - m + 1), and a pair is pruned once P(s >= threshold) < MISS.
 3. Survivors are verified on their full shingle sets: links are exact.
 4. Links become components by repeated minima over neighbours with pointer jumping, in tables of the shared folder.
-5. Buckets that still hold several components are gone over again: their members are paired across components, unless a
-   triangle of Jaccard distances rules the link out: one of the two is linked with the bucket's smallest key, and the
-   other is surely further than twice the allowed distance from it. Pairs inside a component are not needed.
+5. Members that share a smallest key but not its component are gone over again: each that is not linked with that key
+   is held against the others of different components, in blocks of bounded size with an index of their shingles, so
+   that no pairs are formed but those that link two components. Linked members are left out if a triangle of Jaccard
+   distances rules the link out, that is if the other is surely further than twice the allowed distance from the key.
 
 With 32 bands of 5 rows a pair at similarity 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHINGLE, PERCENT, BANDS, ROWS, STEP, MISS, MOST = 5, 80, 32, 5, 16, 1e-6, 1_000_000
+SHINGLE, PERCENT, BANDS, ROWS, STEP, MISS, MOST, BLOCK = 5, 80, 32, 5, 16, 1e-6, 1_000_000, 2_000_000
 SIZE = BANDS * ROWS
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, SIZE, dtype=np.uint64) | np.uint64(1)
@@ -123,9 +124,9 @@ def _survivors(pairs: DataFrame, reps: DataFrame, t: float) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, alive boolean, far boolean")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, scratch: common.Scratch, tag: str, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"ids{tag}")
+def _sets(ids: DataFrame, docs: DataFrame, scratch: common.Scratch, tag: str, key: str, text: str, n: int) -> DataFrame:
+    """id, set: the full shingle sets of the given ids, written; only their texts are read again."""
+    ids = scratch.keep(ids.distinct(), f"ids{tag}")
     side = F.broadcast(ids) if ids.count() <= MOST else ids
     rows = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("text")).join(side, "id", "left_semi")
 
@@ -134,7 +135,12 @@ def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, scratch: common.
             yield k, shingles(t, n)[0].tobytes()
 
     held = rows.mapInArrow(common.by_rows(pa.schema([("id", pa.int64()), ("set", pa.binary())]), sets), "id long, set binary").dropDuplicates(["id"])
-    held = scratch.keep(held, f"sets{tag}")
+    return scratch.keep(held, f"sets{tag}")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    held = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, scratch, "1", key, text, n)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -146,11 +152,75 @@ def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, scratch: common.
             yield pa.RecordBatch.from_arrays([x.column(0).filter(good), x.column(1).filter(good)], schema=schema)
 
     joined = pairs.select("a", "b").join(held.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    out = scratch.keep(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), f"links{tag}")
-    scratch.drop(f"sets{tag}", f"ids{tag}")
+    out = scratch.keep(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links1")
+    scratch.drop("sets1", "ids1")
     return out
 
 
+class _Block:
+    """Shingle sets of some members of a group, indexed by shingle."""
+
+    def __init__(self, members: list[tuple]) -> None:
+        _, _, _, ids, comps, links, _, sets = zip(*members, strict=True)
+        self.ids, self.comps, self.links = np.array(ids), np.array(comps), np.array(links)
+        arrays = [np.frombuffer(x, np.uint64) for x in sets]
+        self.sizes = np.array([len(x) for x in arrays])
+        flat, owner = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+
+    def linked(self, node: int, comp: int, far: bool, shingle_set: bytes, percent: int) -> Iterator[tuple[int, int]]:
+        """One link of the set to each other component that it is similar to."""
+        x = np.frombuffer(shingle_set, np.uint64)
+        a, b = np.searchsorted(self.flat, x, "left"), np.searchsorted(self.flat, x, "right")
+        n = b - a
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.ids))
+        good = (100 * both >= percent * (self.sizes + len(x) - both)) & (self.comps != comp) & ~(self.links & far)
+        _, first = np.unique(self.comps[good], return_index=True)
+        for i in self.ids[good][first].tolist():
+            yield min(i, node), max(i, node)
+
+
+def _across(star: DataFrame, comp: DataFrame, rows: DataFrame, docs: DataFrame, scratch: common.Scratch, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """Links between components among the members of a star: head, id, link, far."""
+    of = comp.select(F.col("node"), F.col("comp"))
+    tagged = star.join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    tagged = tagged.join(of.select(F.col("node").alias("head"), F.col("comp").alias("own")), "head", "left").withColumn("own", F.coalesce("own", "head"))
+    tagged = tagged.withColumn("query", ~F.col("link") & (F.col("comp") != F.col("own")))
+    tagged = tagged.join(rows.select(F.col("doc_id").alias("id"), "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
+    heads = tagged.groupBy("head").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.max(F.col("query").cast("int")).alias("open"), F.count(F.lit(1)).alias("members")).where("open = 1 and members > 1").select("head", "blocks")
+    rest = scratch.keep(tagged.join(heads, "head").select("head", "blocks", "id", "comp", "link", "far", "query"), "rest")
+    held = _sets(rest.select("id"), docs, scratch, "2", key, text, n)
+    target = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(0))
+    asking = rest.where("query").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(1))
+    cols = ["head", "block", "asks", "id", "comp", "link", "far"]
+    both = target.select(*cols).unionByName(asking.select(*cols)).join(held, "id").select(*cols, "set")
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members, block = None, [], None
+
+        def links(batch: pa.RecordBatch) -> Iterator[tuple]:
+            nonlocal group, members, block
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:2] != group:
+                    group, members, block = row[:2], [], None
+                if row[2] == 0:
+                    members.append(row)
+                    continue
+                if block is None:
+                    block, members = _Block(members) if members else None, []
+                if block is not None:
+                    yield from block.linked(row[3], row[4], row[6], row[7], percent)
+
+        for batch in stream:
+            if batch.num_rows:
+                yield from common.batches(pa.schema([("a", pa.int64()), ("b", pa.int64())]), links(batch))
+
+    out = both.repartition("head", "block").sortWithinPartitions("head", "block", "asks").mapInArrow(run, "a long, b long")
+    return scratch.keep(out, "links2")
+
+
 def components(links: DataFrame, scratch: common.Scratch, tag: str) -> DataFrame:
     """node, comp: the smallest node reachable, for each node of a link.
 
@@ -182,24 +252,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     reps = scratch.keep(rows.where("doc_id is not null").join(classes.select(F.col("rep").alias("doc_id"), F.col("digest")), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig", "bands"), "reps")
     members = reps.select("doc_id", F.explode("bands").alias("band"))
     buckets = scratch.keep(members.groupBy("band").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("band", "head"), "buckets")
-    inside = scratch.keep(members.join(buckets, "band").select("band", "head", "doc_id"), "inside")
-    stars = inside.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = members.join(buckets, "band").where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     judged = scratch.keep(_survivors(stars, reps, t), "judged")
-    links = _linked(judged.where("alive"), docs, reps, scratch, "1", key, text, shingle, percent)
+    links = _linked(judged.where("alive"), docs, scratch, key, text, shingle, percent)
     comp = components(links, scratch, "1")
 
-    # Buckets that hold several components still.
-    tagged = inside.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    mixed = tagged.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 < c1 and n > 2").select("band")
-    star = judged.join(links.withColumn("link", F.lit(True)), ["a", "b"], "left").select(F.col("a").alias("head"), F.col("b").alias("doc_id"), F.coalesce("link", F.lit(False)).alias("link"), "far")
-    rest = scratch.keep(tagged.join(mixed, "band", "left_semi").join(star, ["head", "doc_id"]).select("band", "doc_id", "comp", "link", "far"), "rest")
-    x, y = (rest.select("band", *(F.col(c).alias(f"{c}{s}") for c in ("doc_id", "comp", "link", "far"))) for s in "xy")
-    open_ = x.join(y, "band").where("compx < compy and not (linkx and fary) and not (linky and farx)")
-    pairs = open_.select(F.least("doc_idx", "doc_idy").alias("a"), F.greatest("doc_idx", "doc_idy").alias("b")).distinct()
-    more = scratch.keep(_survivors(pairs, reps, t).where("alive"), "more")
+    star = judged.join(links.withColumn("link", F.lit(True)), ["a", "b"], "left").select(F.col("a").alias("head"), F.col("b").alias("id"), F.coalesce("link", F.lit(False)).alias("link"), "far")
+    more = _across(star, comp, rows, docs, scratch, key, text, shingle, percent)
     if not more.isEmpty():
-        links = links.unionByName(_linked(more, docs, reps, scratch, "2", key, text, shingle, percent))
-        comp = components(links, scratch, "2")
+        comp = components(links.unionByName(more), scratch, "2")
     final = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
