@@ -9,8 +9,8 @@ A task sends a packed string again only for an earlier place; its later repeats
 than GROUP packed strings is not gathered: its windows are sorted out one by one, by Spark, with partial aggregation.
 
 What is removed: each word that a window covers whose words also start earlier (smaller doc_id, or the same document,
-earlier), judged on the input. Null text has no words. Rows with a null doc_id come before all others. Rows that share a doc_id count as one document. Texts with fewer
-words than a window stay whole. Columns other than the key and the text are carried along untouched by `clean`.
+earlier), judged on the input. Null text has no words. Rows with a null doc_id come before all others. Rows that share a
+doc_id count as one document. Texts with fewer words than a window stay whole. Columns other than the key and the text are carried along untouched by `clean`.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,9 +34,25 @@ WINDOW, M, GROUP, SEEN_BYTES = 20, 2, 20_000, 48 << 20
 NONE = -(1 << 63)
 #: Bits of a bucket's name; M-grams of fewer bytes than SHORT, mostly of common words, are minimisers only for want of others.
 BUCKET_BITS, SHORT = 40, 12
-#: A row of a bucket, or (bucket null) windows to remove: run is their first one's place and, in the low 16 bits, how many.
-KMERS = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("run", pa.int64()), ("packed", pa.binary())])
-KMERS_SQL = "bucket long, doc_id long, run long, packed binary"
+#: What travels: a body is a header with a run's document, first window and windows, and the packed string. Without a
+#: bucket there is no string: the run's windows are known to be repeats.
+SENT = pa.schema([("bucket", pa.int64()), ("body", pa.binary())])
+SENT_SQL = "bucket long, body binary"
+#: Runs of windows to remove, or (with a body) what belongs to a bucket that is too large to gather.
+RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
+RUNS_SQL = "doc_id long, start long, n long, body binary"
+
+
+def _header(k: int, i: int, n: int) -> bytes:
+    """As few bytes as the numbers need: lengths of the first two, then all three."""
+    a, b = 8 if k < 0 else (k.bit_length() + 7) // 8, (i.bit_length() + 7) // 8
+    return bytes([a << 4 | b]) + (k & 0xFFFFFFFFFFFFFFFF).to_bytes(a, "little") + i.to_bytes(b, "little") + n.to_bytes(2, "little")
+
+
+def _opened(body: bytes) -> tuple[int, int, int, bytes]:
+    """(document, first window, windows, packed string)."""
+    a, b = body[0] >> 4, 1 + (body[0] >> 4) + (body[0] & 15)
+    return int.from_bytes(body[1 : a + 1], "little", signed=a == 8), int.from_bytes(body[a + 1 : b], "little"), int.from_bytes(body[b : b + 2], "little"), body[b + 2 :]
 
 
 def super_kmers(words: list[bytes], window: int = WINDOW, m: int = M) -> Iterator[tuple[int, int, int, bytes]]:
@@ -78,23 +93,24 @@ def _sent(window: int, m: int):
                             seen.clear()
                             size = 0
                     elif first < (k, i):
-                        yield None, k, i << 16 | n, None
+                        yield None, _header(k, i, n)
                         continue
                     seen[packed] = (k, i)
-                    yield bucket, k, i << 16 | n, packed
+                    yield bucket, _header(k, i, n) + packed
 
         for batch in stream:
             if batch.num_rows:
-                yield from common.batches(KMERS, rows(batch), 8192)
+                yield from common.batches(SENT, rows(batch), 8192)
 
     return run
 
 
-def _judge(group: list[tuple[int, int, bytes]], window: int) -> Iterator[tuple[int, int]]:
-    """(doc_id, start) of the windows of a bucket that also start earlier: windows are sorted as strings."""
-    found = []
-    for k, run, packed in group:
-        words, i, n = packed.split(b" "), run >> 16, run & 0xFFFF
+def _judge(group: list[bytes], window: int) -> Iterator[tuple[int, int, int]]:
+    """(doc_id, start, n) of the windows of a bucket that also start earlier: windows are sorted as strings."""
+    found, gone = [], []
+    for body in group:
+        k, i, n, packed = _opened(body)
+        words = packed.split(b" ")
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = [0, *(ends[:-1] + 1).tolist()]
         ends = ends.tolist()
@@ -104,46 +120,58 @@ def _judge(group: list[tuple[int, int, bytes]], window: int) -> Iterator[tuple[i
     for x, k, i in found:
         if x == before:
             if (k, i) != first:
-                yield k, i
+                gone.append((k, i))
         else:
             before, first = x, (k, i)
+    gone.sort()
+    at = 0
+    for end in range(1, len(gone) + 1):  # windows that follow each other become one run
+        k, i = gone[at]
+        if end == len(gone) or gone[end][0] != k or gone[end][1] - gone[end - 1][1] > 1:
+            yield k, i, gone[end - 1][1] - i + 1
+            at = end
 
 
 def _received(window: int, most: int):
-    """mapInArrow over rows sorted by bucket: removals, and the rows of too large buckets, passed on as they come."""
+    """mapInArrow over rows sorted by bucket, those without one first: runs to remove, and the rows of too large buckets."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, large = None, [], False
 
         def close() -> Iterator[tuple]:
             if not large and len(held) > 1:
-                for k, i in _judge([x[1:] for x in held], window):
-                    yield None, k, i << 16 | 1, None
+                for x in _judge(held, window):
+                    yield *x, None
 
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
             nonlocal bucket, held, large
+            known = batch.column(0).null_count
+            for body in batch.column(1).slice(0, known).to_pylist():
+                yield *_opened(body)[:3], None
+            batch = batch.slice(known)
+            if not batch.num_rows:
+                return
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]).tolist()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if (key := int(keys[a])) != bucket:
                     yield from close()
                     bucket, held, large = key, [], False
-                got = list(zip(*(c.to_pylist() for c in batch.slice(a, b - a).columns), strict=True)) if b - a > 1 or held or large or b == len(keys) or a == 0 else None
-                if got is None:  # alone in its bucket: nothing can be equal to its windows
+                if b - a == 1 and 0 < a and b < len(keys):  # alone in its bucket: nothing can be equal to its windows
                     continue
+                got = batch.column(1).slice(a, b - a).to_pylist()
+                if not large and len(held) + len(got) > most:
+                    large, got, held = True, held + got, []
                 if large:
-                    yield from got
-                    continue
-                held += got
-                if len(held) > most:
-                    large = True
-                    yield from held
-                    held = []
+                    for body in got:
+                        yield *_opened(body)[:3], body
+                else:
+                    held += got
 
         for batch in stream:
             if batch.num_rows:
-                yield from common.batches(KMERS, rows(batch), 8192)
-        yield from common.batches(KMERS, close(), 8192)
+                yield from common.batches(RUNS, rows(batch), 8192)
+        yield from common.batches(RUNS, close(), 8192)
 
     return run
 
@@ -153,10 +181,11 @@ def _windows(window: int):
     schema = pa.schema([("words", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64())])
 
     def each(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for k, run, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for body in batch.column(0).to_pylist():
+            k, i, n, packed = _opened(body)
             words = packed.split(b" ")
-            for j in range(run & 0xFFFF):
-                yield b" ".join(words[j : j + window]), k, (run >> 16) + j
+            for j in range(n):
+                yield b" ".join(words[j : j + window]), k, i + j
 
     return common.by_rows(schema, each)
 
@@ -165,14 +194,13 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     """doc_id, start, n: runs of windows that also start earlier; written in the shared folder."""
     spark, scratch = docs.sparkSession, common.Scratch(docs.sparkSession, "substrings")
     rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NONE)).alias("doc_id"), docs[text].cast("string").alias("text"))
-    sent = rows.mapInArrow(_sent(window, m), KMERS_SQL)
-    # Removals that are known already have no bucket; they are spread by document and pass through.
-    dealt = sent.repartition(F.coalesce("bucket", F.xxhash64("doc_id"))).sortWithinPartitions("bucket")
-    judged = scratch.keep(dealt.mapInArrow(_passed(window, most), KMERS_SQL), "judged")
-    known = judged.where("bucket is null").select("doc_id", F.shiftright("run", 16).alias("start"), F.col("run").bitwiseAND(0xFFFF).alias("n"))
-    large = judged.where("bucket is not null")
+    sent = rows.mapInArrow(_sent(window, m), SENT_SQL)
+    # Removals that are known already have no bucket; they are spread by what they hold and come first in their task.
+    dealt = sent.repartition(F.coalesce("bucket", F.xxhash64("body"))).sortWithinPartitions(F.asc_nulls_first("bucket"))
+    judged = scratch.keep(dealt.mapInArrow(_received(window, most), RUNS_SQL), "judged")
+    known, large = judged.where("body is null").select("doc_id", "start", "n"), judged.where("body is not null")
     if not large.isEmpty():
-        each = scratch.keep(large.select("doc_id", "run", "packed").mapInArrow(_windows(window), "words binary, doc_id long, start long").withColumn("h", F.sha2("words", 256)).select("h", "doc_id", "start"), "windows")
+        each = scratch.keep(large.select("body").mapInArrow(_windows(window), "words binary, doc_id long, start long").withColumn("h", F.sha2("words", 256)).select("h", "doc_id", "start"), "windows")
         first = each.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first < last").select("h", "first")
         more = each.join(first, "h").where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", F.lit(1).cast("long").alias("n"))
         known = known.unionByName(scratch.keep(more, "more"))
@@ -180,23 +208,6 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     return known
 
 
-def _passed(window: int, most: int):
-    """As _received; the rows that have no bucket come first and are let through as they come."""
-
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in stream:
-            if n := batch.column(0).null_count:
-                yield batch.slice(0, n)
-            if n < batch.num_rows:
-                rest = batch.slice(n)
-                break
-        if rest is not None:
-            yield from _received(window, most)(chain([rest], stream))
-
-    return run
-
-
 def _covered(n_words: int, starts: list[int], counts: list[int], window: int) -> np.ndarray:
     """By word, whether a window of the runs covers it."""
     edge = np.zeros(n_words + 1, np.int64)
