@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from .columns import let
+
 U32, U64 = np.uint32, np.uint64
 #: Fixed values of the published algorithms: FNV-1a, Murmur3 and its finaliser, SplitMix64, and a multiply-shift family.
 FNV_OFFSET, FNV_PRIME = 0x811C9DC5, 0x01000193
@@ -125,7 +127,7 @@ def of_text(name: str, seed: int = 0) -> Column:
 
 def fnv1a32_column(text: Column) -> Column:
     """FNV-1a-32 of a string's UTF-8 bytes by column functions alone."""
-    raw = F.hex(F.encode(text, "UTF-8"))
-    units = F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), lambda i: F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
-    units = F.when(F.octet_length(text) > 0, units).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(units, F.lit(FNV_OFFSET).cast("long"), lambda h, x: (h.bitwiseXOR(x) * FNV_PRIME).bitwiseAND(MASK32))
+    step = lambda h, x: (h.bitwiseXOR(x) * FNV_PRIME).bitwiseAND(MASK32)
+    unit = lambda raw, i: F.conv(F.substring(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    units = let(F.hex(F.encode(text, "UTF-8")), lambda raw: F.when(F.length(raw) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.length(raw) / 2 - 1, F.lit(0)).cast("int")), lambda i: unit(raw, i))).otherwise(F.array().cast("array<bigint>")))
+    return F.aggregate(units, F.lit(FNV_OFFSET).cast("long"), step)

@@ -6,13 +6,12 @@ makes from a range, so lookups by id or by rendering are equi-joins with a broad
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schemas import BASE64, FINALS, INITIALS, MAX_ID, NUCLEI, TONES
+from .columns import let
 from .syllable import ALLOWED, BARRED, FOLD, WITH_ONSET
 from .telex import VOWELS, toned
 
@@ -24,11 +23,6 @@ UNFOLD |= {(f"{g}h", stop): (g, to) for g in ("a", "oa") for stop, to in (("ng",
 SYLLABLE = StructType([StructField(x, StringType()) for x in ("dau", "giua", "cuoi", "tone")])
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """`then` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def _words(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..functions.columns import let
 from ..schemas import CATEGORY_CODE, NONE_ID
 from .tokens import attrs_byte
 
@@ -39,8 +40,8 @@ def symbols(value: Column) -> Column:
 
 def collapsed(s: Column, blank: int = NONE_ID) -> Column:
     """Runs of blanks made one, and a blank at either end."""
-    s = F.concat(F.array(F.lit(blank)), s, F.array(F.lit(blank)))
-    return F.filter(s, lambda x, i: ~((x == blank) & (i > 0) & (F.get(s, i - 1) == blank)))
+    padded = F.concat(F.array(F.lit(blank)), s, F.array(F.lit(blank)))
+    return let(padded, lambda s: F.filter(s, lambda x, i: ~((x == blank) & (i > 0) & (F.get(s, i - 1) == blank))))
 
 
 def read(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -23,7 +23,7 @@ def phrase(tokens: DataFrame, words: list[str], key: str = "doc_id") -> DataFram
     at = F.lit(None).cast("array<int>")
     for i, w in reversed(list(enumerate(words))):
         at = F.when(F.col("token") == w, F.array(*[F.lit(j) for j, x in enumerate(words) if x == w])).otherwise(at)
-    rows = tokens.where(F.col("token").isin(*words)).select(key, (F.col("pos") - F.explode(at)).alias("pos"))
+    rows = tokens.where(F.col("token").isin(*words)).select(key, F.explode(F.transform(at, lambda i: F.col("pos") - i)).alias("pos"))
     return rows.groupBy(key, "pos").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(words)).select(key, "pos")
 
 

@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import BLANK
+from ..functions.columns import let
+from ..functions.ids import decode, dense
+from ..schemas import BLANK, NONE_ID
+from .syllables import document_ids
 from .tokens import token_array
 
 MIN_COUNT, MIN_DISTINCT = 10, 100_000
@@ -20,16 +23,22 @@ def symbols(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(key), F.transform(token_array(F.col(text)), lambda t: F.when(t["category"] == "nonalpha", BLANK).otherwise(t["token"])).alias("s"))
 
 
+def syllable_symbols(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, s: the syllable ids of each document in order, as strings; BLANK for all other tokens."""
+    ids = document_ids(docs, key, text)
+    return ids.select(F.col("doc_id").alias(key), F.transform("ids", lambda i: F.when(i == NONE_ID, BLANK).otherwise(i.cast("string"))).alias("s"))
+
+
 def collapsed(s: Column) -> Column:
     """Symbols with runs of blanks made one, and a blank at either end."""
-    s = F.concat(F.array(F.lit(BLANK)), s, F.array(F.lit(BLANK)))
-    return F.filter(s, lambda x, i: ~((x == BLANK) & (i > 0) & (F.get(s, i - 1) == BLANK)))
+    padded = F.concat(F.array(F.lit(BLANK)), s, F.array(F.lit(BLANK)))
+    return let(padded, lambda s: F.filter(s, lambda x, i: ~((x == BLANK) & (i > 0) & (F.get(s, i - 1) == BLANK))))
 
 
 def _windows(s: Column, n: int) -> Column:
     """Arrays of n symbols that follow each other; none if there are fewer."""
-    last = F.size(s) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(s, i + 1, n))).otherwise(F.array().cast("array<array<string>>"))
+    runs = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - n, F.lit(0))), lambda i: F.slice(s, i + 1, n))
+    return let(s, lambda s: F.when(F.size(s) >= n, runs(s)).otherwise(F.array().cast("array<array<string>>")))
 
 
 def grams(docs: DataFrame, n: int) -> DataFrame:
@@ -39,12 +48,12 @@ def grams(docs: DataFrame, n: int) -> DataFrame:
     return _counted(docs.select(F.explode(F.filter(_windows(s, n), inner)).alias("g")))
 
 
-def blank_aware(docs: DataFrame, n: int) -> DataFrame:
+def blank_aware(docs: DataFrame, n: int, padded: bool = False) -> DataFrame:
     """gram, n_count for n of 1 to 4 over collapsed symbols.
 
-    After a blank all further symbols must be words; after a word the second may be blank in pairs, and the last in fours.
+    Padded symbols are collapsed already. After a blank all further symbols must be words; after a word the second may be blank in pairs, and the last in fours.
     """
-    rows = docs.select(_windows(collapsed(F.col("s")), n).alias("w"))
+    rows = docs.select(_windows(F.col("s") if padded else collapsed(F.col("s")), n).alias("w"))
 
     def counts(g: Column) -> Column:
         at = lambda i: F.element_at(g, i) == BLANK
@@ -64,9 +73,9 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def pruned(counts: DataFrame, least: int = MIN_COUNT, distinct: int = MIN_DISTINCT) -> DataFrame:
-    """Grams of at least `least`, or all if there are fewer than `distinct`."""
-    size = counts.agg(F.count(F.lit(1)).alias("__n"))
-    return counts.crossJoin(F.broadcast(size)).where((F.col("n_count") >= least) | (F.col("__n") < distinct)).drop("__n")
+    """Grams of at least `least`, or all if there are fewer than `distinct`: a scalar subquery decides."""
+    size = counts.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return counts.where((F.col("n_count") >= least) | (size < distinct))
 
 
 def without_singles(counts: DataFrame, n: int) -> DataFrame:
@@ -88,22 +97,38 @@ def summary(counts: DataFrame) -> DataFrame:
     return counts.agg(F.count(F.lit(1)).alias("n_distinct"), F.coalesce(F.sum("n_count"), F.lit(0)).alias("n_total"))
 
 
+def bucket_scores(queries: DataFrame, counts: DataFrame) -> DataFrame:
+    """gram, score of given grams by the bucket of their count."""
+    return queries.join(counts.select("gram", "n_count"), "gram", "left").select("gram", bucket_score(F.col("n_count")).cast("int").alias("score"))
+
+
+def listing(counts: DataFrame) -> DataFrame:
+    """value: `count gram`, the most frequent first; ties in order of the gram."""
+    return counts.orderBy(F.desc("n_count"), "gram").select(F.concat_ws(" ", F.col("n_count").cast("string"), "gram").alias("value"))
+
+
+def shown(counts: DataFrame) -> DataFrame:
+    """counts of grams of syllable ids with `shown`, their dense renderings, by column functions."""
+    one = lambda x: F.when(x == BLANK, x).otherwise(dense(decode(x.cast("int"))))
+    return counts.withColumn("shown", F.array_join(F.transform(F.split("gram", " "), one), " "))
+
+
 def bucket_score(count: Column) -> Column:
     """1 for unseen, 2 for up to 2, 4 for up to 5, else 8."""
     return F.when(count.isNull(), 1).when(count <= 2, 2).when(count <= 5, 4).otherwise(8)
 
 
-def stupid_backoff(uni: DataFrame, bi: DataFrame, tri: DataFrame, alpha: float = 0.4) -> DataFrame:
-    """gram, score of each trigram by relative frequency; the tables back each other off for unseen ones."""
+def stupid_backoff(bi: DataFrame, tri: DataFrame) -> DataFrame:
+    """gram, score of each trigram that was seen: its count over that of its first two words."""
     c2 = bi.select(F.col("gram").alias("h"), F.col("n_count").alias("c"))
-    return tri.withColumn("h", F.regexp_replace("gram", " [^ ]*$", "")).join(c2, "h", "left").select("gram", F.round(F.col("n_count") / F.col("c"), 9).alias("score"))
+    return tri.withColumn("h", F.substring_index("gram", " ", 2)).join(c2, "h", "left").select("gram", F.round(F.col("n_count") / F.col("c"), 9).alias("score"))
 
 
 def backoff_score(queries: DataFrame, uni: DataFrame, bi: DataFrame, tri: DataFrame, alpha: float = 0.4) -> DataFrame:
     """gram, score of given trigrams: c3/c2, else alpha c2/c1, else alpha^2 c1/N."""
-    n = uni.agg(F.sum("n_count").cast("double").alias("total"))
+    total = uni.agg(F.sum("n_count").cast("double").alias("total")).scalar()
     named = lambda t, key, out: t.select(F.col("gram").alias(key), F.col("n_count").alias(out))
     q = queries.withColumns({"h": F.substring_index("gram", " ", 2), "t": F.substring_index("gram", " ", -2), "m": F.element_at(F.split("gram", " "), 2), "w": F.substring_index("gram", " ", -1)})
-    q = q.join(named(tri, "gram", "c3"), "gram", "left").join(named(bi, "h", "ch"), "h", "left").join(named(bi, "t", "ct"), "t", "left").join(named(uni, "m", "cm"), "m", "left").join(named(uni, "w", "cw"), "w", "left").crossJoin(F.broadcast(n))
-    score = F.coalesce(F.col("c3") / F.col("ch"), alpha * F.col("ct") / F.col("cm"), alpha * alpha * F.col("cw") / F.col("total"), F.lit(0.0))
+    q = q.join(named(tri, "gram", "c3"), "gram", "left").join(named(bi, "h", "ch"), "h", "left").join(named(bi, "t", "ct"), "t", "left").join(named(uni, "m", "cm"), "m", "left").join(named(uni, "w", "cw"), "w", "left")
+    score = F.coalesce(F.col("c3") / F.col("ch"), alpha * F.col("ct") / F.col("cm"), alpha * alpha * F.col("cw") / total, F.lit(0.0))
     return q.select("gram", F.round(score, 9).alias("score"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ..functions import ids
+from ..functions.columns import let
 from ..functions.syllable import can_be_vietnamese, lookup
 from ..functions.telex import MAX_LEN
 from ..schemas import NONE_ID
@@ -67,7 +68,7 @@ def transform(syllable_id: Column, first_upper: Column, all_upper: Column, mode:
         raise ValueError(f"mode is one of {MODES}")
     s = ids.decode(syllable_id)
     out = {"dense": lambda x: ids.dense(x), "spare": lambda x: ids.dense(x, spare=True), "parts": ids.parts, "utf8": ids.utf8}[mode]
-    shown = ids.let(s, out)
+    shown = let(s, out)
     if mode in ("parts", "utf8"):
         return shown
     gap = " " if mode == "spare" else ""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..schemas import ALPHA, ESCAPED, SPACE, TOKEN
 
 
@@ -26,16 +27,20 @@ def category(token: Column) -> Column:
 def token_array(text: Column, end: str = "\n") -> Column:
     """An array of (token, category, fenced) of a text that `end` is added to."""
     raw = F.regexp_extract_all(F.concat(prepared(text), F.lit(end)), F.lit(TOKEN), F.lit(0))
-    parts = F.transform(raw, lambda x, i: F.struct(x.alias("token"), F.get(raw, i - 1).alias("before"), F.get(raw, i + 1).alias("after")))
+    return let(raw, _classified)
+
+
+def _classified(raw: Column) -> Column:
     # Only the first character of a neighbour matters: what separates is a space, a newline, an escape or the edge.
     edge = lambda x: (x.isNull() | x.substr(1, 1).isin(*SPACE, "\n", ESCAPED)).cast("int")
+    parts = F.transform(raw, lambda x, i: F.struct(x.alias("token"), (edge(F.get(raw, i - 1)) * 2 + edge(F.get(raw, i + 1))).alias("fenced")))
     kept = F.filter(parts, lambda p: ~p["token"].substr(1, 1).isin(*SPACE))
     return F.transform(
         kept,
         lambda p: F.struct(
             F.when(p["token"] == ESCAPED, F.lit("\\n")).otherwise(p["token"]).alias("token"),
             category(p["token"]).alias("category"),
-            F.when(p["token"].isin("\n", ESCAPED), 3).otherwise(edge(p["before"]) * 2 + edge(p["after"])).alias("fenced"),
+            F.when(p["token"].isin("\n", ESCAPED), 3).otherwise(p["fenced"]).alias("fenced"),
         ),
     )
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..functions.columns import let
+
 LONGEST = 4
 #: Flags of a syllable's place in words of two or more: it begins, is inside, ends one, or stands alone.
 BEGINS, INSIDE, ENDS, ALONE = 1, 2, 4, 8
@@ -22,9 +24,13 @@ BEGINS, INSIDE, ENDS, ALONE = 1, 2, 4, 8
 
 def spans(syllables: Column, longest: int = LONGEST) -> Column:
     """struct(pos, len, gram) of every run of 2 to `longest` syllables."""
-    one = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(syllables) - n, F.lit(0))), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(syllables, i + 1, n), " ").alias("gram")))
     empty = F.array().cast("array<struct<pos:int,len:int,gram:string>>")
-    return F.concat(*[F.when(F.size(syllables) >= n, one(n)).otherwise(empty) for n in range(2, longest + 1)])
+
+    def every(s: Column) -> Column:
+        one = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - n, F.lit(0))), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(s, i + 1, n), " ").alias("gram")))
+        return F.concat(*[F.when(F.size(s) >= n, one(n)).otherwise(empty) for n in range(2, longest + 1)])
+
+    return let(syllables, every)
 
 
 def lattice(sentences: DataFrame, dictionary: DataFrame, key: str = "sent_id", syllables: str = "syllables", longest: int = LONGEST) -> DataFrame:
@@ -103,20 +109,21 @@ def restored_path(options: list[list[tuple[str, float]]], pairs: dict[tuple[str,
     return max(best, key=lambda y: (y[0], y[1]))[1] if best else []
 
 
-def restored(sentences: DataFrame, vocabulary: DataFrame, bigrams: DataFrame, key: str = "sent_id", syllables: str = "syllables") -> DataFrame:
+def restored(sentences: DataFrame, options_of: DataFrame, bigrams: DataFrame, key: str = "sent_id", syllables: str = "syllables") -> DataFrame:
     """sent_id, syllables, restored: bare syllables with the tones and marks of the most likely path.
 
-    bigrams is (gram, n_count) over renderings; only the pairs of a sentence's own options reach it.
+    options_of is (bare, variants), as `variants` makes it; bigrams is (gram, n_count) over renderings; only the pairs of a sentence's own options reach it.
     """
-    at = sentences.select(key, F.posexplode(syllables).alias("pos", "bare")).join(variants(vocabulary), "bare", "left")
+    at = sentences.select(key, F.posexplode(syllables).alias("pos", "bare")).join(options_of, "bare", "left")
     options = F.coalesce(F.transform("variants", lambda v: F.struct(v["vocab"].alias("x"), v["n"].cast("double").alias("n"))), F.array(F.struct(F.col("bare").alias("x"), F.lit(0.0).alias("n"))))
     held = at.select(key, F.struct("pos", options.alias("o")).alias("p")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["o"]).alias("options"))
+    none = F.array().cast("array<struct<o:array<struct<x:string,n:double>>>>")
     near = held.select(key, F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size("options") - 1, F.lit(1))), lambda i: F.coalesce(F.flatten(F.transform(F.get("options", i - 1), lambda a: F.transform(F.get("options", i), lambda b: F.concat_ws(" ", a["x"], b["x"])))), F.array().cast("array<string>"))))).alias("gram")).distinct()
     pairs = near.join(bigrams.select("gram", "n_count"), "gram").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("gram", F.col("n_count").cast("double")))).alias("pairs"))
 
     @F.pandas_udf(ArrayType(StringType()))
     def path(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for options, pairs in parts:
-            yield pd.Series([restored_path([[(v["x"], v["n"]) for v in o] for o in os], {tuple(g.split(" ", 1)): n for g, n in (dict(ps) if ps is not None else {}).items()}) for os, ps in zip(options, pairs, strict=True)])
+            yield pd.Series([restored_path([[(v["x"], v["n"]) for v in o["o"]] for o in os], {tuple(g.split(" ", 1)): n for g, n in (dict(ps) if ps is not None else {}).items()}) for os, ps in zip(options, pairs, strict=True)])
 
-    return sentences.join(held, key, "left").join(pairs, key, "left").select(key, syllables, path(F.coalesce("options", F.array().cast("array<array<struct<x:string,n:double>>>")), "pairs").alias("restored"))
+    return sentences.join(held, key, "left").join(pairs, key, "left").select(key, syllables, path(F.coalesce(F.transform("options", lambda o: F.struct(o.alias("o"))), none), "pairs").alias("restored"))

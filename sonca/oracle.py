@@ -1,0 +1,191 @@
+"""DuckDB SQL for the registered queries: common tables, and a statement for each query over them."""
+
+from __future__ import annotations
+
+from .functions.ids import UNFOLD
+from .functions.syllable import ALLOWED, BARRED, FOLD, WITH_ONSET
+from .schemas import ALPHA, BASE64, BLANK, ESCAPED, FINALS, INITIALS, MAX_ID, NUCLEI, SPACE, TOKEN, TONES
+
+
+def _q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(map(_q, values)) + "]"
+
+
+_SEPARATES = ", ".join(map(_q, SPACE))
+
+
+def token_tables(text: str = "text", table: str = "documents") -> str:
+    """parts: all matches; tok: doc_id, pos, token, category, fenced."""
+    edge = lambda x: f"({x} is null or left({x}, 1) in ({_SEPARATES}, chr(10), {_q(ESCAPED)}))::int"
+    return f"""
+pre as (select doc_id, replace(regexp_replace(coalesce({text}, ''), '\\\\[rt]', ' ', 'g'), '\\n', {_q(ESCAPED)}) || chr(10) as t from {table}),
+cut as (select doc_id, regexp_extract_all(t, {_q(TOKEN)}) as p from pre),
+parts as (select doc_id, i, p[i] as x, case when i > 1 then p[i - 1] end as before, p[i + 1] as after from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from cut)),
+tok as (
+  select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as pos,
+    case when x = {_q(ESCAPED)} then '\\n' else x end as token,
+    case when regexp_full_match(x, '[A-Za-z]+') then 'alph0m0t' when regexp_matches(x, '^[{ALPHA}]') then 'alphmark' else 'nonalpha' end as category,
+    case when x in (chr(10), {_q(ESCAPED)}) then 3 else {edge("before")} * 2 + {edge("after")} end as fenced
+  from parts where left(x, 1) not in ({_SEPARATES}))"""
+
+
+LINES = """
+numbered as (select *, coalesce(sum((token = chr(10))::int) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::int as line_no from tok),
+lined as (select doc_id, line_no, (row_number() over (partition by doc_id, line_no order by pos) - 1)::int as pos, token, category, fenced from numbered where token <> chr(10))"""
+
+SYMBOLS = f"""
+s as (select doc_id, list(case when category = 'nonalpha' then '{BLANK}' else token end order by pos) as s from tok group by doc_id),
+padded as (select doc_id, ['{BLANK}'] || s || ['{BLANK}'] as l from s),
+collapsed as (select doc_id, list_filter(l, lambda x, i: not (x = '{BLANK}' and i > 1 and l[(i - 1)::bigint] = '{BLANK}')) as s from padded)"""
+
+
+def grams(name: str, n: int) -> str:
+    """A table name(gram, n_count)."""
+    b = f"'{BLANK}'"
+    s = "s" if n < 4 else f"[{b}] || s"
+    good = f"not list_contains(g, {b})" if n < 4 else f"not list_contains(g[2:{n - 1}], {b}) and not (g[1] = {b} and g[{n}] = {b})"
+    return f"{name} as (select array_to_string(g, ' ') as gram, count(*) as n_count from (select s[i:i + {n - 1}] as g from (select s, unnest(range(1, len(s) - {n - 2})) as i from (select {s} as s from s))) where {good} group by all)"
+
+
+def blank_grams(name: str, n: int) -> str:
+    b = f"'{BLANK}'"
+    good = {1: "true", 2: f"not (g[1] = {b} and g[2] = {b})", 3: f"g[2] <> {b} and g[3] <> {b}", 4: f"g[2] <> {b} and g[3] <> {b} and not (g[1] = {b} and g[4] = {b})"}[n]
+    return f"{name} as (select array_to_string(g, ' ') as gram, count(*) as n_count from (select s[i:i + {n - 1}] as g from (select s, unnest(range(1, len(s) - {n - 2})) as i from collapsed)) where {good} group by all)"
+
+
+def _case(pairs: list[tuple[str, str]], otherwise: str) -> str:
+    return "case " + " ".join(f"when {c} then {v}" for c, v in pairs) + f" else {otherwise} end"
+
+
+def _decoded() -> str:
+    """space: syllable_id, dau, giua, cuoi, tone by integer arithmetic."""
+    rime = [("g = 'y' and c = 'ng' and dau = 'qu'", "['y', 'nh']")] + [(f"g = {_q(a)} and c = {_q(b)}", f"[{_q(x)}, {_q(y)}]") for (a, b), (x, y) in UNFOLD.items()]
+    return f"""
+raw as (select i::int as syllable_id, {_list(INITIALS)}[(i // 1050 + 1)::int] as dau, {_list(NUCLEI)}[(i // 42 % 25 + 1)::int] as g,
+  {_list(FINALS)}[(case when i % 42 < 36 then i % 42 // 6 else (i % 42 - 36) // 2 + 6 end + 1)::int] as c,
+  {_list(TONES)}[(case when i % 42 < 36 then i % 42 % 6 else (i % 42 - 36) % 2 + 1 end + 1)::int] as tone from range({MAX_ID}) r(i)),
+paired as (select *, {_case(rime, "[g, c]")} as r from raw),
+space as (select syllable_id, dau, r[1] as giua, r[2] as cuoi, tone from paired),
+spelt as (select *, {_case([("giua = 'uow' and cuoi = ''", "'uaw'"), ("giua = 'uoz' and cuoi = ''", "'ua'"), ("giua = 'ooo'", "'oo'"), ("giua = 'uyez' and cuoi = ''", "'uya'"), ("giua = 'iez' and cuoi = ''", "'ia'"), ("giua = 'iez' and dau in ('', 'qu')", "'yez'")], "giua")} as shown from space)"""
+
+
+def _onset(first: str, d: str) -> str:
+    front = f"{first} in ('e', 'i', 'y')"
+    return _case([("dau = 'zd'", d), (f"dau = 'c' and {front}", "'k'"), (f"dau = 'gi' and {first} = 'i'", "'g'"), (f"dau = 'g' and {front}", "'gh'"), (f"dau = 'ng' and {front}", "'ngh'")], "dau")
+
+
+def _valid_pairs() -> str:
+    rows = [("*", g, c) for g, cs in ALLOWED.items() for c in cs] + [(d, g, c) for (d, g), cs in WITH_ONSET.items() for c in cs]
+    own = [f"dau = {_q(d)} and giua = {_q(g)}" for d, g in WITH_ONSET]
+    barred = ", ".join(f"({_q(d)}, {_q(g)})" for d, gs in BARRED.items() for g in sorted(gs))
+    values = ", ".join(f"({_q(d)}, {_q(g)}, {_q(c)})" for d, g, c in sorted(rows))
+    return f"rimes(d, g, c) as (values {values}), checked as (select space.*, (dau, giua) not in ({barred}) and exists (select 1 from rimes where d = (case when {' or '.join(own)} then dau else '*' end) and g = giua and c = cuoi) as is_valid from space)"
+
+
+def _utf8() -> str:
+    letters = "shown"
+    for telex, vowel in (("uyez", "uyê"), ("iez", "iê"), ("yez", "yê"), ("uaw", "ưa"), ("uow", "ươ"), ("oaw", "oă"), ("az", "â"), ("ez", "ê"), ("oz", "ô"), ("aw", "ă"), ("ow", "ơ"), ("uw", "ư")):
+        letters = f"replace({letters}, {_q(telex)}, {_q(vowel)})"
+    marks = _case([(f"tone = {_q(t)}", f"chr({ord(m)})") for t, m in (("s", "́"), ("f", "̀"), ("r", "̉"), ("x", "̃"), ("j", "̣"))], "''")
+    at = "(length(v) - (shown in ('ia', 'ua', 'uaw', 'uya'))::int)"
+    return f"written as (select syllable_id, nfc_normalize({_onset('left(giua, 1)', _q('đ'))} || left(v, {at}) || {marks} || substr(v, {at} + 1) || cuoi) as utf8 from (select *, {letters} as v from spelt where giua not in ('ah', 'oah')))"
+
+
+def _folded() -> str:
+    """again: syllable_id made again from the parts."""
+    nuclei = [(f"giua = {_q(g)} and cuoi = {_q(c)}", _q(to)) for c, (_, changes) in FOLD.items() for g, to in changes.items()]
+    codas = [(f"cuoi = {_q(c)}", _q(to)) for c, (to, _) in FOLD.items()]
+    at = lambda values, x: f"list_position({_list(values)}, {x}) - 1"
+    return f"""
+flat as (select syllable_id, {at(INITIALS, "dau")} as d, {at(NUCLEI, _case(nuclei, "giua"))} as g, {at(FINALS, _case(codas, "cuoi"))} as c, {at(TONES, "tone")} as t from checked where is_valid),
+again as (select syllable_id, (d * 1050 + g * 42 + case when c < 6 then c * 6 + t else 36 + (c - 6) * 2 + t - 1 end)::int as encoded from flat)"""
+
+
+_DENSE = f"{_onset('left(shown, 1)', _q('dd'))} || regexp_replace(shown, '[wz]', '', 'g') || cuoi || '|' || regexp_extract(shown, '[wz]') || tone"
+_SPARE = f"rtrim({_onset('left(shown, 1)', _q('d d'))} || regexp_replace(shown, '[wz]', '', 'g') || cuoi || ' ' || regexp_extract(shown, '[wz]') || tone)"
+_NUCLEUS = _case([("giua = 'ooo'", "'oo'"), ("giua = 'iez'", "'yez'"), ("giua = 'i'", "'y'"), ("giua = 'a' and cuoi in ('y', 'o')", "'aw'"), ("giua = 'oa' and cuoi = 'y'", "'oaw'")], "giua")
+_PARTS = f"""case when dau = '' then '' when dau = 'qu' then case when nucleus in ('a', 'e') then 'c_o' else 'c_u' end else {_case([("dau = 'zd'", "'dd'"), ("dau = 'gi'", "'d'")], "dau")} || '_' end
+  || nucleus || {_case([("cuoi = ''", "''"), ("cuoi = 'o'", "'|u'"), ("cuoi = 'y'", "'|i'")], "'|' || cuoi")} || '_' || tone"""
+_DIGIT = lambda shift: f"substr('{BASE64}', ((syllable_id >> {shift}) & 63) + 1, 1)"
+_BUCKET = "case when n_count <= 2 then 'a' when n_count <= 5 then 'b' when n_count <= 11 then 'c' when n_count <= 25 then 'd' when n_count <= 80 then 'e' else 'f' end"
+_STATS = """
+stats as (
+  select doc_id, line_no, sum(strlen(token) + fenced % 2)::bigint as line_bytes, sum(case when category = 'alphmark' and strlen(token) <= 20 then strlen(token) + 1 else 0 end)::bigint as vi_bytes, count(*)::bigint as n_tokens
+  from lined where strlen(token) <= 255 group by all),
+every as (select doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10)))))::int as line_no from documents),
+filled as (select e.doc_id, e.line_no, coalesce(line_bytes, 0) as line_bytes, coalesce(vi_bytes, 0) as vi_bytes, coalesce(n_tokens, 0) as n_tokens from every e left join stats s using (doc_id, line_no)),
+routed as (select *, case when line_bytes * 20 > vi_bytes * 100 then 'no_vi' when line_bytes * 50 > vi_bytes * 100 then 'low_vi' else 'main' end as route from filled)"""
+ESCAPES = "replace(replace(text, '. ', '.\\n '), ' the ', '\\tthe\\r ')"
+
+
+def _on_tokens(select: str, *tables: str, text: str = "text") -> str:
+    return "with " + ",".join([token_tables(text), *tables]) + "\n" + select
+
+
+def _on_grams(select: str, *tables: str) -> str:
+    return _on_tokens(select, SYMBOLS, *tables)
+
+
+def _on_space(select: str, *tables: str) -> str:
+    return "with " + ",".join([_decoded(), *tables]) + "\n" + select
+
+
+def _types(where: str) -> str:
+    return f"select token, category, count(*) as n from tok where {where} group by all"
+
+
+SQL: dict[str, str] = {
+    "tokenize": _on_tokens("select * from tok"),
+    "tokenize_escapes": _on_tokens("select * from tok", text=ESCAPES),
+    "token_category_counts": _on_tokens("select category, count(*) as n from tok group by all"),
+    "token_fencing": _on_tokens("select ['none', 'right', 'left', 'both'][fenced + 1] as fence, count(*) as n from tok group by all"),
+    "limit_lines": _on_tokens("select doc_id, line_no, pos, token, category, fenced from lined where line_no < 2", LINES),
+    "line_numbers": _on_tokens("select doc_id, line_no, count(*) as n_tokens from lined group by all", LINES),
+    "case_flags": _on_tokens("""select token, category, n, first_upper, length(token) > 1 and token = upper(token) and token <> lower(token) as all_upper, first_upper and substr(token, 2) = lower(substr(token, 2)) as capitalized, category = 'alphmark' as marked
+from (select *, left(token, 1) <> lower(left(token, 1)) and left(token, 1) = upper(left(token, 1)) as first_upper from t)""", "t as (" + _types("true") + ")"),
+    "attribute_bytes": _on_tokens("select category, fenced, (case when b < 12 then b + 1 else b end)::int as attrs_byte, n from (select category, fenced, case category when 'nonalpha' then 0 when 'alphmark' then 4 else 5 end * 4 + fenced as b, count(*) as n from tok group by all)"),
+    "vocab_alphabet": _on_tokens(_types("category <> 'nonalpha'")),
+    "vocab_nonalpha": _on_tokens(_types("category = 'nonalpha'")),
+    "token_totals": _on_tokens("select category, count(*) as n_tokens, sum((strlen(token) = 1)::int)::bigint as n_one_byte from tok group by all"),
+    "top_types": _on_tokens("select * from (" + _types("category <> 'nonalpha'") + ") order by n desc, token limit 100"),
+    "longest_types": _on_tokens("select *, strlen(token)::int as bytes from (" + _types("category <> 'nonalpha'") + ") order by bytes desc, token limit 100"),
+    "token_type_join": _on_tokens("select doc_id, pos, tok.token, n from tok join t using (token, category)", "t as (" + _types("category <> 'nonalpha'") + ")"),
+    "type_listing": _on_tokens("""select token, strlen(token)::int as bytes, ((row_number() over (partition by strlen(token) order by token) - 1) // greatest(1, 82 // (strlen(token) + 2)))::bigint as line
+from (""" + _types("category <> 'nonalpha'") + ")"),
+    "unigrams": _on_grams("select * from g", grams("g", 1)),
+    "bigrams": _on_grams("select * from g", grams("g", 2)),
+    "trigrams": _on_grams("select * from g", grams("g", 3)),
+    "fourgrams": _on_grams("select * from g", grams("g", 4)),
+    "fivegrams": _on_grams("select * from g", grams("g", 5)),
+    "ngrams_6_8": _on_grams("select 6 as n, * from g6 union all select 7, * from g7 union all select 8, * from g8", *[grams(f"g{n}", n) for n in (6, 7, 8)]),
+    "ngrams_blank_aware": _on_grams(" union all ".join(f"select {n} as n, * from g{n}" for n in range(1, 5)), *[blank_grams(f"g{n}", n) for n in range(1, 5)]),
+    "blank_collapse": _on_grams("select doc_id, len(s)::int as n_symbols, list_filter(s, lambda x: x <> '#').len()::int as n_words from collapsed"),
+    "ngram_summary": _on_grams(" union all ".join(f"select {n} as n, count(*) as n_distinct, coalesce(sum(n_count), 0)::bigint as n_total from g{n}" for n in range(1, 6)), *[grams(f"g{n}", n) for n in range(1, 6)]),
+    "ngram_min_count": _on_grams("select * from g where n_count >= 10 or (select count(*) from g) < 1000", grams("g", 2)),
+    "count_buckets": _on_grams(" union all ".join(f"select {n} as n, {_BUCKET} as bucket, count(*) as n_grams, sum(n_count)::bigint as n_total from g{n} {'where n_count > 1' if n > 2 else ''} group by all" for n in (2, 3, 4)), *[blank_grams(f"g{n}", n) for n in (2, 3, 4)]),
+    "ngram_semi": _on_grams("select g3.* from g3 where array_to_string(string_split(gram, ' ')[1:2], ' ') in (select gram from g2 where n_count >= 5)", grams("g2", 2), grams("g3", 3)),
+    "lm_bucket_score": _on_grams("select q.gram, (case when g.n_count is null then 1 when g.n_count <= 2 then 2 when g.n_count <= 5 then 4 else 8 end)::int as score from q left join g using (gram)", grams("g", 2), "q as (select distinct array_to_string(list_reverse(string_split(gram, ' ')), ' ') as gram from g)"),
+    "stupid_backoff": _on_grams("""select q.gram, round(coalesce(g3.n_count / h.n_count, 0.4 * t.n_count / m.n_count, 0.16 * w.n_count / (select sum(n_count) from g1), 0), 9)::double as score
+from (select gram, string_split(gram, ' ') as g from q) q left join g3 using (gram) left join g2 h on h.gram = g[1] || ' ' || g[2] left join g2 t on t.gram = g[2] || ' ' || g[3] left join g1 m on m.gram = g[2] left join g1 w on w.gram = g[3]""", grams("g1", 1), grams("g2", 2), grams("g3", 3), "q as (select gram from g3 union select array_to_string(list_reverse(string_split(gram, ' ')), ' ') from g3)"),
+    "line_stats": _on_tokens("select * exclude (route) from routed", LINES, _STATS),
+    "line_route": _on_tokens("select route, count(*) as n_lines, sum(line_bytes)::bigint as n_bytes from routed group by all", LINES, _STATS),
+    "route_union_check": _on_tokens("select count(*) as n_lines, count(*) as n_routed, 0::bigint as n_twice from every", LINES, _STATS),
+    "rebuilt_lines": _on_tokens("select e.doc_id, e.line_no, coalesce(rtrim(string_agg(token || case when fenced % 2 = 1 then ' ' else '' end, '' order by pos), ' '), '') as line from every e left join lined using (doc_id, line_no) group by all", LINES, _STATS),
+    "syllable_id_decode": _on_space("select * from space"),
+    "valid_syllable_dim": _on_space("select syllable_id, dau, giua, cuoi, tone from checked where is_valid", _valid_pairs()),
+    "syllable_id_encode": _on_space("select * from again", _valid_pairs(), _folded()),
+    "render_dense": _on_space(f"select syllable_id, {_DENSE} as dense from spelt"),
+    "render_spare": _on_space(f"select syllable_id, {_SPARE} as spare from spelt"),
+    "render_parts": _on_space(f"select syllable_id, {_PARTS} as parts from (select *, {_NUCLEUS} as nucleus from space)"),
+    "render_utf8": _on_space("select * from written", _utf8()),
+    "id_base64": _on_space(f"select syllable_id, {_DIGIT(12)} || {_DIGIT(6)} || {_DIGIT(0)} as code, syllable_id as again from space"),
+    "strip_tone_mark": _on_space(f"select syllable_id, rtrim(regexp_replace(regexp_replace({_DENSE}, '[sfrxj]$', ''), '[wz]$', '')) as bare from spelt"),
+    "dedup_lines": "with l as (select doc_id, unnest(range(len(p)))::int as line_no, unnest(p) as line from (select doc_id, string_split(text, chr(10)) as p from documents where text is not null)) select line, min((doc_id, line_no))[1] as doc_id, min((doc_id, line_no))[2] as line_no, count(*) as n from l where line <> '' group by line",
+    "inverted_index": _on_tokens("select token, count(distinct doc_id) as n_docs, count(*) as n_tokens, min(doc_id) as first_doc, max(doc_id) as last_doc, sum(pos)::bigint as pos_sum from tok where category <> 'nonalpha' group by token"),
+    "phrase_search": _on_tokens("select a.doc_id, a.pos from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.token = 'of' and b.token = 'the'"),
+    "fnv1a32": _on_tokens("select token, n, list_reduce([2166136261::hugeint] || list_transform(range(strlen(token)), lambda i: ('0x' || substr(hex(encode(token)), (i * 2 + 1)::int, 2))::hugeint), lambda h, x: (xor(h, x) * 16777619) % 4294967296)::bigint as hash from (" + _types("category <> 'nonalpha'") + ")"),
+}
