@@ -34,6 +34,8 @@ WINDOW, M, GROUP, SEEN_BYTES = 20, 2, 20_000, 48 << 20
 NONE = -(1 << 63)
 #: Bits of a bucket's name; M-grams of fewer bytes than SHORT, mostly of common words, are minimisers only for want of others.
 BUCKET_BITS, SHORT = 40, 12
+#: Windows of a run at most: two bytes hold how many.
+MOST = (1 << 16) - 1
 #: What travels: a body is a header with a run's document, first window and windows, and the packed string. Without a
 #: bucket there is no string: the run's windows are known to be repeats.
 SENT = pa.schema([("bucket", pa.int64()), ("body", pa.binary())])
@@ -85,18 +87,25 @@ def _sent(window: int, m: int):
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
             nonlocal size
             for k, t in zip(batch.column(0).to_pylist(), common.utf8(batch.column(1)), strict=True):
+                begin = end = 0  # a run of known repeats
                 for bucket, i, n, packed in super_kmers(t.split(), window, m):
                     first = seen.get(packed)
+                    if first is not None and first < (k, i):
+                        if i != end or i + n - begin > MOST:
+                            if end > begin:
+                                yield None, _header(k, begin, end - begin)
+                            begin = i
+                        end = i + n
+                        continue
                     if first is None:
                         size += len(packed) + 200
                         if size > SEEN_BYTES:
                             seen.clear()
                             size = 0
-                    elif first < (k, i):
-                        yield None, _header(k, i, n)
-                        continue
                     seen[packed] = (k, i)
                     yield bucket, _header(k, i, n) + packed
+                if end > begin:
+                    yield None, _header(k, begin, end - begin)
 
         for batch in stream:
             if batch.num_rows:
