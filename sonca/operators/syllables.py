@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from ..functions import ids
 from ..functions.columns import let
@@ -22,7 +22,8 @@ from ..functions.telex import MAX_LEN
 from ..schemas import NONE_ID
 from .tokens import token_array
 
-PARSED = "syllable_id int, marked boolean, first_upper boolean, all_upper boolean"
+#: A type and not its text, which could only be read in a session.
+PARSED = StructType([StructField("syllable_id", IntegerType()), *[StructField(x, BooleanType()) for x in ("marked", "first_upper", "all_upper")]])
 MODES = ("dense", "spare", "parts", "utf8")
 
 
