@@ -32,7 +32,7 @@ def on_symbols(f: Callable[[DataFrame], DataFrame]) -> Query:
     return on_documents(lambda d: f(ngrams.symbols(d)))
 
 
-def on_space(*columns) -> Query:
+def on_space(*columns: str) -> Query:
     return lambda spark, _: ids.syllable_dim(spark).select("syllable_id", *columns)
 
 
@@ -258,7 +258,7 @@ QUERIES: dict[str, Query] = {
     "render_parts": on_space("parts"),
     "render_utf8": lambda spark, _: ids.syllable_dim(spark).where(~F.col("giua").isin("ah", "oah")).select("syllable_id", "utf8"),
     "id_base64": _base64,
-    "strip_tone_mark": on_space(ids.without_tone_and_mark(F.col("dense")).alias("bare")),
+    "strip_tone_mark": lambda spark, _: ids.syllable_dim(spark).select("syllable_id", ids.without_tone_and_mark(F.col("dense")).alias("bare")),
     "dedup_lines": on_documents(index.first_lines),
     "inverted_index": on_tokens(_index),
     "phrase_search": on_tokens(lambda t: index.phrase(t, ["of", "the"])),

@@ -1,6 +1,8 @@
 """Registered queries against DuckDB on the smallest tables."""
 
 import os
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -34,5 +36,11 @@ def test_query(spark, duck, name):
     assert a == Counter(tuple(map(canonical, r)) for r in want.fetchall())
 
 
+def test_entry_is_imported_without_a_session():
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) > 60)"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert said.stdout.strip() == "True", said.stderr
+
+
 def test_each_statement_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
