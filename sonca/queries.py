@@ -17,7 +17,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, where the input has fewer splits than there are cores; else as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() <= cores else rows
 
 
 def on_documents(f: Callable[[DataFrame], DataFrame]) -> Query:
