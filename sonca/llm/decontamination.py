@@ -187,10 +187,10 @@ class Items:
         both = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
         masks = self.pairs[_pair(x[both], x[both + 1], self.bits)]
         both, masks = both[masks > 0], masks[masks > 0]
-        for least, most, lengths in self.classes:
-            starts = self._starts(x, both, masks, lengths, np.arange(len(x)), least, most)
+        for _, most, lengths in self.classes:
+            starts = self._starts(x, both, masks, lengths, np.arange(len(x)), most)
             for n in lengths if len(starts) else ():
-                own = self._starts(x, both, masks, [n], starts, n, n)
+                own = self._starts(x, both, masks, [n], starts, n)
                 if len(own):
                     yield n, own
 
@@ -211,20 +211,24 @@ class Items:
                 yield k, best[0], len(item), best[1]
 
 
-    def _starts(self, x: np.ndarray, both: np.ndarray, masks: np.ndarray, lengths: list[int], among: np.ndarray, least: int, most: int) -> np.ndarray:
-        """Where a window for `most` words and the edits allowed holds the pairs that `least` words need."""
-        if len(both) < needed(least) or len(x) < least - allowed(least):
+    def _starts(self, x: np.ndarray, both: np.ndarray, masks: np.ndarray, lengths: list[int], among: np.ndarray, most: int) -> np.ndarray:
+        """Where a window for `most` words and the edits allowed holds the pairs that one of the lengths needs.
+
+        The shortest length does not always need the fewest: where one more edit is allowed, a longer one needs less.
+        """
+        least = min(map(needed, lengths))
+        if len(both) < least or len(x) < min(n - allowed(n) for n in lengths):
             return among[:0]
         bits = np.uint64(sum({1 << n % 64 for n in lengths}))
         mine = both[masks & bits > 0]
-        if len(mine) < needed(least):
+        if len(mine) < least:
             return among[:0]
         hit = np.zeros(len(x) + 1, np.int64)
         hit[mine + 1] = 1
         hit = np.cumsum(hit)
-        among = among[x[among] > 0] if least < 2 else among
+        among = among[x[among] > 0] if min(lengths) < 2 else among
         last = np.minimum(among + most + allowed(most) - 1, len(x) - 1)
-        return among[hit[last] - hit[among] >= needed(least)]
+        return among[hit[last] - hit[among] >= least]
 
 
 def blocks(benchmark: DataFrame, item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:

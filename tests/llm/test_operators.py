@@ -70,6 +70,22 @@ def test_decontamination(spark):
     assert decontamination.leaks(docs.limit(0), bench).count() == 0 and decontamination.clean(docs, bench.limit(0)).count() == len(texts)
 
 
+@pytest.mark.parametrize("short", [7, 13, 19, 26, 33])
+def test_count_filter_loses_no_match_beside_a_shorter_item(short):
+    n = short + 1
+    item = [f"w{i}" for i in range(n)]
+    block = decontamination.Items([(1, " ".join(f"s{i}" for i in range(short))), (2, " ".join(item))])
+    d = decontamination.allowed(n)
+    assert d > decontamination.allowed(short)
+    edited = list(item)
+    for i in range(d):
+        edited[2 * i + 2] = "edit"  # edits apart from each other and from the ends: each costs two pairs
+    x = np.array([block.of(w, 0) for w in ["before", *edited, "after"]], np.int64)
+    assert n in [m for m, starts in block._windows(x) if 1 in starts]
+    if n < 20:  # so short that the walks find it too
+        assert (2, d, n, 1) in block.matches("before " + " ".join(edited) + " after")
+
+
 def test_walks_are_the_same_for_the_same_strings():
     a = decontamination.Items([(1, "a b c d e f g h i j k l m n")])
     assert a.matches("x y a b c d e f g h i j k l m n z") == [(1, 0, 14, 2)]
