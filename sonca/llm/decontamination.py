@@ -2,8 +2,10 @@
 
 Words (runs of letters, digits and underscores, lower case) are the symbols. A CGK walk reads a symbol, writes it, and
 goes on to the next or stays as a random bit of (step, symbol) says; strings at a small edit distance then have outputs
-at a small Hamming distance. For each window as long as an item, REPEATS samples of BITS places of its walk are looked up
-among the items' samples; each hit is verified by the exact edit distance of the item to the best substring around it.
+at a small Hamming distance. For each window as long as an item, samples of BITS places of its walk are looked up among
+the items' samples; each hit is verified by the exact edit distance of the item to the best substring around it. Walk and
+sample are repeated until items with all the edits allowed, at random places, are found with probability RECALL: how
+often that takes is worked out by edits allowed, from walks over made-up items. Exact copies need one walk only.
 
 Items are a broadcast of checked size: more than BLOCK_BYTES of them are taken in blocks, each against all rows. A lossless
 count filter runs first: of an item's n - 1 word pairs, a window within d edits holds at least n - 1 - 2d, so windows with
@@ -19,7 +21,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from functools import lru_cache
+from itertools import count, repeat
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,9 @@ from pyspark.sql.types import BooleanType
 
 from . import common
 
-RATE, LEAST, BITS, REPEATS, BLOCK_BYTES = 0.15, 8, 6, 24, 4 << 20
+RATE, LEAST, BITS, RECALL, BLOCK_BYTES = 0.15, 8, 3, 0.995, 4 << 20
+#: Made-up items, their walks, and the starts on either side of the true one, from which repeats are worked out; walks at a time.
+TRIALS, TRIED, AROUND, WALKS = 200, 64, 2, 1 << 17
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("n_words", pa.int32()), ("start", pa.int32())])
 SCHEMA_SQL = "doc_id long, item_id long, distance int, n_words int, start int"
 _WORDS = re.compile(r"\w+").findall
@@ -89,6 +94,56 @@ def sampled(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: n
     return got, out[got]
 
 
+def places_of(n: int, bits: int, repeats: int) -> np.ndarray:
+    """For each repeat, the sampled steps. A walk over n symbols takes about 2n; samples stay inside."""
+    rng, steps = np.random.default_rng(n), max(bits, 3 * n // 2)
+    return np.stack([np.sort(rng.choice(steps, bits, replace=False)) for _ in range(repeats)])
+
+
+def seeds_of(n: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    return n.astype(np.uint64) * np.uint64(1000003) + nth.astype(np.uint64)
+
+
+def repeats_of(n: int, bits: int = BITS, recall: float = RECALL) -> int:
+    """The walks that find an item of n words at allowed(n) edits with the probability asked for."""
+    d = allowed(n)
+    if not d:
+        return 1  # equal windows have equal walks
+    steps = 8
+    while steps < d:
+        steps += steps // 4
+    return _repeats(steps if d > 8 else d, bits, recall)
+
+
+@lru_cache(maxsize=256)
+def _repeats(d: int, bits: int, recall: float) -> int:
+    """The walks needed at d edits in the shortest item that allows as many."""
+    n = next(n for n in count(LEAST) if allowed(n) >= d)
+    rng, item, around = np.random.default_rng(d), np.arange(1, n + 1), min(d, AROUND)
+    tried, found = np.arange(TRIED), np.zeros(TRIALS)
+    places, seeds = places_of(n, bits, TRIED), seeds_of(np.full(TRIED, n), tried)
+    got, keys = sampled(item, np.zeros(TRIED, np.int64), np.full(TRIED, n), places, seeds)
+    final, known = np.zeros(TRIED, np.uint64), np.unique(keys)
+    final[got] = keys[:, -1]
+    for t in range(TRIALS):
+        x = item.tolist()
+        for _ in range(d):
+            kind, i = int(rng.integers(3)), int(rng.integers(len(x)))
+            x[i : i + (kind > 0)] = [0] * (kind < 2)  # a word more, another word, a word less
+        starts = np.repeat(np.arange(2 * around + 1), TRIED)
+        text = np.array([0] * around + x + [0] * (n + around), np.int64)
+        got, keys = sampled(text, starts, starts + n, np.tile(places, (2 * around + 1, 1)), np.tile(seeds, 2 * around + 1), known)
+        found[t] = len(np.unique(got[keys[:, -1] == final[got % TRIED]] % TRIED))
+    lost = 1 - (found + 0.5) / (TRIED + 1)
+    return next(r for r in count(1) if np.mean(lost**r) <= 1 - recall)
+
+
+def _numbered(repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each walk of rows that walk so often: its row, and which of the row's walks it is."""
+    each = np.repeat(np.arange(len(repeats)), repeats)
+    return each, np.arange(len(each)) - np.repeat(np.cumsum(repeats) - repeats, repeats)
+
+
 def best_substring(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """(least edit distance of the item to a substring, its first start): exact dynamic programming."""
     n, cost, begin = len(item), list(range(len(item) + 1)), [0] * (len(item) + 1)
@@ -110,7 +165,7 @@ def best_substring(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 class Items:
     """A block of the benchmark, ready to be looked up."""
 
-    def __init__(self, items: list[tuple[int, str]], bits: int = BITS, repeats: int = REPEATS) -> None:
+    def __init__(self, items: list[tuple[int, str]], bits: int = BITS, recall: float = RECALL) -> None:
         self.symbols: dict[str, int] = {}
         self.items = [(k, np.array([self.symbols.setdefault(w, len(self.symbols) + 1) for w in ws], np.int64)) for k, t in items if (ws := words_of(t))]
         self.of = self.symbols.get
@@ -119,18 +174,15 @@ class Items:
         lengths: dict[int, list[int]] = {}
         for i, (_, x) in enumerate(self.items):
             lengths.setdefault(len(x), []).append(i)
-        #: By length, for each repeat: the sampled steps. A walk over n symbols takes about 2n; samples stay inside.
-        self.places: dict[int, np.ndarray] = {}
-        for n in sorted(lengths):
-            rng, steps = np.random.default_rng(n), max(bits, 3 * n // 2)
-            self.places[n] = np.stack([np.sort(rng.choice(steps, bits, replace=False)) for _ in range(repeats)])
+        #: By length, for each repeat: the sampled steps.
+        self.places = {n: places_of(n, bits, repeats_of(n, bits, recall)) for n in sorted(lengths)}
         self.final: dict[int, list[int]] = {}
-        self.keys, self.repeats = np.zeros(0, np.uint64), repeats
+        self.keys = np.zeros(0, np.uint64)
         if self.items:
-            each = np.repeat(np.arange(len(self.items)), repeats)
+            each, nth = _numbered(np.array([len(self.places[len(x)]) for _, x in self.items]))
             stops = np.cumsum([len(x) for _, x in self.items])
             sizes = np.array([len(x) for _, x in self.items])
-            got, keys = sampled(np.concatenate([x for _, x in self.items]), (stops - sizes)[each], stops[each], np.concatenate([self.places[n] for n in sizes.tolist()]), self._seeds(sizes[each], np.tile(np.arange(repeats), len(self.items))))
+            got, keys = sampled(np.concatenate([x for _, x in self.items]), (stops - sizes)[each], stops[each], np.concatenate([self.places[n] for n in sizes.tolist()]), seeds_of(sizes[each], nth))
             for i, k in zip(each[got].tolist(), keys[:, -1].tolist(), strict=True):
                 self.final.setdefault(k, []).append(i)
             self.keys = np.unique(keys)
@@ -145,10 +197,6 @@ class Items:
         for _, x in self.items:
             self.pairs[_pair(x[:-1], x[1:], self.bits)] |= np.uint64(1 << len(x) % 64)
 
-    @staticmethod
-    def _seeds(n: np.ndarray, repeat: np.ndarray) -> np.ndarray:
-        return n.astype(np.uint64) * np.uint64(4099) + repeat.astype(np.uint64)
-
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, distance, words, start) for each item that the text holds."""
         return self.matches_of([text])[0]
@@ -159,22 +207,24 @@ class Items:
         found: list[dict[int, list[int]]] = [{} for _ in xs]
         rows: list[tuple[int, int, np.ndarray]] = []
         for d, x in enumerate(xs):
-            rows += [(d, n, starts) for n, starts in self._windows(x)]
+            for n, starts in self._windows(x):
+                most = max(1, WALKS // len(self.places[n]))
+                rows += [(d, n, starts[i : i + most]) for i in range(0, len(starts), most)]
         base = np.cumsum([0, *map(len, xs)])
         symbols = np.concatenate([*xs, np.zeros(1, np.int64)])
-        while rows:  # some thousand windows at a time
+        while rows:  # a bounded number of walks at a time
             part, size = [], 0
-            while rows and size < 4096:
+            while rows and size < WALKS:
                 part.append(rows.pop())
-                size += len(part[-1][2])
+                size += len(part[-1][2]) * len(self.places[part[-1][1]])
             doc = np.concatenate([np.full(len(s), d) for d, _, s in part])
             n = np.concatenate([np.full(len(s), n) for _, n, s in part])
             start = np.concatenate([s for _, _, s in part])
             begin = base[doc] + start
             end = np.minimum(begin + n, base[doc + 1])
-            places = np.concatenate([np.broadcast_to(self.places[m], (len(s), *self.places[m].shape)) for _, m, s in part])
-            each = np.repeat(np.arange(len(doc)), self.repeats)
-            got, keys = sampled(symbols, begin[each], end[each], places.reshape(len(each), -1), self._seeds(n[each], np.tile(np.arange(self.repeats), len(doc))), self.keys)
+            places = np.concatenate([np.tile(self.places[m], (len(s), 1)) for _, m, s in part])
+            each, nth = _numbered(np.concatenate([np.full(len(s), len(self.places[m])) for _, m, s in part]))
+            got, keys = sampled(symbols, begin[each], end[each], places, seeds_of(n[each], nth), self.keys)
             for w, k in zip(each[got].tolist(), keys[:, -1].tolist(), strict=True):
                 for i in self.final.get(k, ()):
                     found[doc[w]].setdefault(i, []).append(int(start[w]))

@@ -86,6 +86,26 @@ def test_count_filter_loses_no_match_beside_a_shorter_item(short):
         assert (2, d, n, 1) in block.matches("before " + " ".join(edited) + " after")
 
 
+def test_recall_at_all_the_edits_allowed():
+    rng, found, planted = random.Random(11), Counter(), Counter()
+    for n in (8, 14, 20, 40, 60, 100):
+        d = decontamination.allowed(n)
+        while planted[n] < 100:
+            item = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            x = list(item)
+            for _ in range(d):
+                i, kind = rng.randrange(len(x)), rng.randrange(3)
+                x[i : i + (kind > 0)] = ["edit"] * (kind < 2)
+            text = [*words(rng, rng.randrange(30)), *x, *words(rng, rng.randrange(30))]
+            block = decontamination.Items([(1, " ".join(item))])
+            symbols = np.array([block.of(w, 0) for w in text], np.int64)
+            if decontamination.best_substring(block.items[0][1], symbols)[0] == d:
+                planted[n] += 1
+                found[n] += [(k, e, m) for k, e, m, _ in block.matches(" ".join(text))] == [(1, d, n)]
+    print(dict(found))
+    assert sum(found.values()) >= 0.99 * sum(planted.values()) and min(found.values()) >= 97, found
+
+
 def test_walks_are_the_same_for_the_same_strings():
     a = decontamination.Items([(1, "a b c d e f g h i j k l m n")])
     assert a.matches("x y a b c d e f g h i j k l m n z") == [(1, 0, 14, 2)]
