@@ -16,7 +16,11 @@
 With 32 bands of 5 rows a pair at similarity 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6.
 
 Null text and text without words have an empty set, link with nothing and are kept. Fewer words than a shingle make one
-shingle of them all. Rows that repeat a key share its component. A null key is a component of its own.
+shingle of them all. Rows that repeat a key and its words share a component; where a key stands on rows of different
+words each of them is judged by its own. component_id is the smallest key of a component, so two components may bear one
+number if their smallest keys are rows of the same key. A null key is a component of its own.
+
+Nodes of the graph are 24 bytes: the key, in the order of numbers, and the digest.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from . import common
 
@@ -91,27 +97,38 @@ def verdicts(a: np.ndarray, b: np.ndarray, t: float, miss: float = MISS) -> np.n
     return out
 
 
+def node_of(key: int | None, digest: bytes) -> bytes | None:
+    """A key and a digest as bytes that sort by the key; null without a key."""
+    return None if key is None else (key + (1 << 63)).to_bytes(8, "big") + digest
+
+
+def _key(node: Column) -> Column:
+    """The key of a node."""
+    number = F.conv(F.hex(F.substring(node, 1, 8)), 16, 10).cast("decimal(20,0)")
+    return (number - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+
+
 def profiles(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest, sig, bands of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, n_shingles, digest, node, sig, bands of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("node", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def each(batch: pa.RecordBatch) -> Iterator[tuple]:
         for k, t in zip(batch.column(0).to_pylist(), common.utf8(batch.column(1)), strict=True):
             s, digest = shingles(t, n)
             if len(s):
                 sig = signature(s)
-                yield k, len(s), digest, sig.tobytes(), band_keys(sig)
+                yield k, len(s), digest, node_of(k, digest), sig.tobytes(), band_keys(sig)
             else:
-                yield k, 0, digest, None, None
+                yield k, 0, digest, node_of(k, digest), None, None
 
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return rows.mapInArrow(common.by_rows(schema, each), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>")
+    return rows.mapInArrow(common.by_rows(schema, each), "doc_id long, n_shingles long, digest binary, node binary, sig binary, bands array<long>")
 
 
 def _survivors(pairs: DataFrame, reps: DataFrame, t: float) -> DataFrame:
     """The pairs (a, b) whose signatures are not pruned at similarity t; far: pruned at the triangle's similarity too."""
     near = max(0.0, 2 * t - 1)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("alive", pa.bool_()), ("far", pa.bool_())])
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("alive", pa.bool_()), ("far", pa.bool_())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in stream:
@@ -119,22 +136,23 @@ def _survivors(pairs: DataFrame, reps: DataFrame, t: float) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint32).reshape(-1, SIZE) for i in (2, 3))
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(verdicts(a, b, t)), pa.array(~verdicts(a, b, near))], schema=schema)
 
-    sigs = reps.select("doc_id", "sig")
-    joined = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, alive boolean, far boolean")
+    sigs = reps.select("node", "sig")
+    joined = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, alive boolean, far boolean")
 
 
 def _sets(ids: DataFrame, docs: DataFrame, scratch: common.Scratch, tag: str, key: str, text: str, n: int) -> DataFrame:
-    """id, set: the full shingle sets of the given ids, written; only their texts are read again."""
+    """id, set: the full shingle sets of the given nodes, written; only the texts of their keys are read again."""
     ids = scratch.keep(ids.distinct(), f"ids{tag}")
     side = F.broadcast(ids) if ids.count() <= MOST else ids
-    rows = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("text")).join(side, "id", "left_semi")
+    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text")).join(side.select(_key(F.col("id")).alias("key")), "key", "left_semi")
 
     def sets(batch: pa.RecordBatch) -> Iterator[tuple]:
         for k, t in zip(batch.column(0).to_pylist(), common.utf8(batch.column(1)), strict=True):
-            yield k, shingles(t, n)[0].tobytes()
+            s, digest = shingles(t, n)
+            yield node_of(k, digest), s.tobytes()
 
-    held = rows.mapInArrow(common.by_rows(pa.schema([("id", pa.int64()), ("set", pa.binary())]), sets), "id long, set binary").dropDuplicates(["id"])
+    held = rows.mapInArrow(common.by_rows(pa.schema([("id", pa.binary()), ("set", pa.binary())]), sets), "id binary, set binary").join(side, "id", "left_semi").dropDuplicates(["id"])
     return scratch.keep(held, f"sets{tag}")
 
 
@@ -143,7 +161,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, key: str
     held = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, scratch, "1", key, text, n)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
         for x in stream:
             a, b = ([np.frombuffer(v, np.uint64) for v in x.column(i).to_pylist()] for i in (2, 3))
             both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(a, b, strict=True)], np.int64)
@@ -152,7 +170,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, key: str
             yield pa.RecordBatch.from_arrays([x.column(0).filter(good), x.column(1).filter(good)], schema=schema)
 
     joined = pairs.select("a", "b").join(held.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    out = scratch.keep(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links1")
+    out = scratch.keep(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary"), "links1")
     scratch.drop("sets1", "ids1")
     return out
 
@@ -162,24 +180,25 @@ class _Block:
 
     def __init__(self, members: list[tuple]) -> None:
         _, _, _, ids, comps, links, _, sets = zip(*members, strict=True)
-        self.ids, self.comps, self.links = np.array(ids), np.array(comps), np.array(links)
+        self.ids, self.codes, self.links = ids, {c: i for i, c in enumerate(dict.fromkeys(comps))}, np.array(links)
+        self.comps = np.array([self.codes[c] for c in comps])
         arrays = [np.frombuffer(x, np.uint64) for x in sets]
         self.sizes = np.array([len(x) for x in arrays])
         flat, owner = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), self.sizes)
         order = np.argsort(flat, kind="stable")
         self.flat, self.owner = flat[order], owner[order]
 
-    def linked(self, node: int, comp: int, far: bool, shingle_set: bytes, percent: int) -> Iterator[tuple[int, int]]:
+    def linked(self, node: bytes, comp: bytes, far: bool, shingle_set: bytes, percent: int) -> Iterator[tuple[bytes, bytes]]:
         """One link of the set to each other component that it is similar to."""
         x = np.frombuffer(shingle_set, np.uint64)
         a, b = np.searchsorted(self.flat, x, "left"), np.searchsorted(self.flat, x, "right")
         n = b - a
         at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         both = np.bincount(self.owner[at], minlength=len(self.ids))
-        good = (100 * both >= percent * (self.sizes + len(x) - both)) & (self.comps != comp) & ~(self.links & far)
+        good = (100 * both >= percent * (self.sizes + len(x) - both)) & (self.comps != self.codes.get(comp, -1)) & ~(self.links & far)
         _, first = np.unique(self.comps[good], return_index=True)
-        for i in self.ids[good][first].tolist():
-            yield min(i, node), max(i, node)
+        for i in np.flatnonzero(good)[first].tolist():
+            yield min(self.ids[i], node), max(self.ids[i], node)
 
 
 def _across(star: DataFrame, comp: DataFrame, rows: DataFrame, docs: DataFrame, scratch: common.Scratch, key: str, text: str, n: int, percent: int) -> DataFrame:
@@ -188,7 +207,7 @@ def _across(star: DataFrame, comp: DataFrame, rows: DataFrame, docs: DataFrame,
     tagged = star.join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     tagged = tagged.join(of.select(F.col("node").alias("head"), F.col("comp").alias("own")), "head", "left").withColumn("own", F.coalesce("own", "head"))
     tagged = tagged.withColumn("query", ~F.col("link") & (F.col("comp") != F.col("own")))
-    tagged = tagged.join(rows.select(F.col("doc_id").alias("id"), "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
+    tagged = tagged.join(rows.select(F.col("node").alias("id"), "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
     heads = tagged.groupBy("head").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.max(F.col("query").cast("int")).alias("open"), F.count(F.lit(1)).alias("members")).where("open = 1 and members > 1").select("head", "blocks")
     rest = scratch.keep(tagged.join(heads, "head").select("head", "blocks", "id", "comp", "link", "far", "query"), "rest")
     held = _sets(rest.select("id"), docs, scratch, "2", key, text, n)
@@ -215,9 +234,9 @@ def _across(star: DataFrame, comp: DataFrame, rows: DataFrame, docs: DataFrame,
 
         for batch in stream:
             if batch.num_rows:
-                yield from common.batches(pa.schema([("a", pa.int64()), ("b", pa.int64())]), links(batch))
+                yield from common.batches(pa.schema([("a", pa.binary()), ("b", pa.binary())]), links(batch))
 
-    out = both.repartition("head", "block").sortWithinPartitions("head", "block", "asks").mapInArrow(run, "a long, b long")
+    out = both.repartition("head", "block").sortWithinPartitions("head", "block", "asks").mapInArrow(run, "a binary, b binary")
     return scratch.keep(out, "links2")
 
 
@@ -244,15 +263,15 @@ def components(links: DataFrame, scratch: common.Scratch, tag: str) -> DataFrame
             return label
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
+def _judged(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, node for each row."""
     spark, scratch, t = docs.sparkSession, common.Scratch(docs.sparkSession, "minhash"), percent / 100
     rows = scratch.keep(profiles(docs, key, text, shingle), "profiles")
-    classes = scratch.keep(rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = scratch.keep(rows.where("doc_id is not null").join(classes.select(F.col("rep").alias("doc_id"), F.col("digest")), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig", "bands"), "reps")
-    members = reps.select("doc_id", F.explode("bands").alias("band"))
-    buckets = scratch.keep(members.groupBy("band").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("band", "head"), "buckets")
-    stars = members.join(buckets, "band").where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    classes = scratch.keep(rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("node").alias("rep")), "classes")
+    reps = scratch.keep(rows.where("doc_id is not null").join(classes.select(F.col("rep").alias("node")), "node", "left_semi").dropDuplicates(["node"]).select("node", "sig", "bands"), "reps")
+    members = reps.select("node", F.explode("bands").alias("band"))
+    buckets = scratch.keep(members.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("band", "head"), "buckets")
+    stars = members.join(buckets, "band").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     judged = scratch.keep(_survivors(stars, reps, t), "judged")
     links = _linked(judged.where("alive"), docs, scratch, key, text, shingle, percent)
     comp = components(links, scratch, "1")
@@ -261,15 +280,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     more = _across(star, comp, rows, docs, scratch, key, text, shingle, percent)
     if not more.isEmpty():
         comp = components(links.unionByName(more), scratch, "2")
-    final = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
+    final = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", _key(F.coalesce("comp", "rep")).alias("component"))
+    out = rows.select("doc_id", "n_shingles", "digest", "node").join(final, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "node")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row."""
+    return _judged(docs, key, text, shingle, percent).drop("node")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component: that with the smallest key."""
-    found = near_duplicates(docs, key, text, shingle, percent)
-    gone = common.Scratch(docs.sparkSession, "minhash").keep(found.where("not kept").select(F.col("doc_id").alias("__sonca_key")).distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= MOST else gone
-    return docs.join(side, docs[key].cast("long") == side["__sonca_key"], "left_anti")
+    """docs with one document of each component: that with the smallest key.
+
+    Where a key stands on kept rows and on others, its rows go by their words; texts are read again for such keys only.
+    """
+    scratch = common.Scratch(docs.sparkSession, "minhash")
+    found = scratch.keep(_judged(docs, key, text, shingle, percent).where("doc_id is not null").select("doc_id", "node", "kept"), "found")
+    keys = scratch.keep(found.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every")).where("not every").select(F.col("doc_id").alias("__sonca_key"), "some"), "gone")
+    small = lambda t: F.broadcast(t) if t.count() <= MOST else t
+    gone, mixed = (small(keys.where(c).select("__sonca_key")) for c in ("not some", "some"))
+    left = docs.join(gone, docs[key].cast("long") == gone["__sonca_key"], "left_anti")
+    if mixed.isEmpty():
+        return left
+    digest = F.substring("node", 9, 16).alias("__sonca_digest")
+    nodes = scratch.keep(found.where("not kept").join(mixed, found["doc_id"] == mixed["__sonca_key"], "left_semi").select(F.col("doc_id").alias("__sonca_key"), digest).distinct(), "nodes")
+
+    @F.pandas_udf(BinaryType())
+    def digests(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles((t or "").encode(), shingle)[1] for t in texts], dtype=object)
+
+    flagged = left.join(mixed, left[key].cast("long") == mixed["__sonca_key"], "left")
+    own = flagged.withColumn("__sonca_digest", digests(F.when(F.col("__sonca_key").isNotNull(), F.col(text).cast("string"))))
+    return own.join(small(nodes), ["__sonca_key", "__sonca_digest"], "left_anti").select(*docs.columns)

@@ -321,6 +321,20 @@ def test_near_duplicates(spark, docs, rows):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_keys_with_several_texts(spark):
+    rng = random.Random(8)
+    base = [words(rng, 60) for _ in range(6)]
+    near = lambda b: " ".join([*b[:-1], "changed"])
+    whole = [" ".join(b) for b in base]
+    rows = [(k, t) for k, t in ((1, whole[0]), (1, whole[1]), (1, whole[2]), (8, near(base[0])), (9, near(base[1])), (10, near(base[2])))]  # copies of each text of key 1
+    rows += [(-(1 << 62) - 1, whole[3]), (5, near(base[3])), (5, whole[4]), (5, None), (1 << 62, whole[5]), ((1 << 62) + 1, near(base[5])), ((1 << 62) + 1, near(base[4]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = minhash.near_duplicates(d, shingle=4)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows, 4, 80)
+    left = {(r["doc_id"], r["text"]) for r in minhash.deduplicated(d, shingle=4).collect()}
+    assert left == {*rows[:3], rows[6], rows[8], rows[9], rows[10]}
+
+
 def test_chains_of_near_duplicates(spark):
     """Texts that drift: neighbours are alike, the ends are not."""
     rng = random.Random(4)
