@@ -122,6 +122,18 @@ def test_html():
     assert all(kept[p.parents[i]] for i in range(1, len(p.tags)) if kept[i])
 
 
+@pytest.mark.parametrize("name", ["select", "svg", "math", "canvas", "object", "audio", "video", "head", "button", "template", "noscript"])
+def test_html_after_an_element_without_end(name):
+    page = f"<html><body><article><p>A first sentence, long enough to be read as text.</p><{name}><p>All that follows, long enough to be read as well.</p></article></body></html>"
+    assert "All that follows, long enough to be read as well." in " ".join(t for _, t, _ in html_extract.Page(page).blocks)
+
+
+@pytest.mark.parametrize("name", ["script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"])
+def test_html_after_raw_text_without_end(name):
+    page = f"<body><p>Before.</p><{name}><p>Within.</p></body>"
+    assert [t for _, t, _ in html_extract.Page(page).blocks] == ["Before."]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_html_of_pages(spark):
     got = queries.op2(spark, SF).toPandas().set_index("page_id")
