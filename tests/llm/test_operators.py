@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from sonca.llm import decontamination, flac, html_extract, langid, minhash, packing, quality, queries, substring_dedup, token_counts, warc
 
@@ -270,36 +271,62 @@ def test_warc(spark):
 
 
 def brute_removed(rows, window):
-    seen, gone = set(), []
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
-    out = [None] * len(rows)
-    for i in order:
-        ws = [w for w in re.split(r"[\x20\x09-\x0D]+", rows[i][1] or "") if w]
+    """Rows in order of doc_id (null first) and a hash of the text; rows that repeat both are one document."""
+    hashed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+    seen, removed = set(), {}
+    for k, t in sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0, hashed(r[1]))):
+        ws = split(t)
         cover = [False] * len(ws)
         for j in range(len(ws) - window + 1):
             x = tuple(ws[j : j + window])
             if x in seen:
                 cover[j : j + window] = [True] * window
             seen.add(x)
-        out[i] = (rows[i][0], len(ws), sum(cover), hashlib.sha256(" ".join(w for w, c in zip(ws, cover, strict=True) if not c).encode()).hexdigest())
+        removed[k, t] = cover
+    out = []
+    for k, t, *_ in rows:
+        ws, cover = split(t), removed.get((k, t), [])
+        out.append((k, len(ws), sum(cover), hashlib.sha256(" ".join(w for w, c in zip(ws, cover, strict=True) if not c).encode()).hexdigest()))
     return Counter(out)
 
 
-@pytest.mark.parametrize("most", [2, 20_000])
-def test_substrings(spark, rows, most):
-    own = list({r[0]: r for r in rows}.values())  # rows of one doc_id count as one document
-    d = spark.createDataFrame(own, DOCS).repartition(3)
-    assert Counter(map(tuple, substring_dedup.digests(d, most=most).collect())) == brute_removed(own, 20)
-    out = substring_dedup.clean(d, window=50)
-    assert out.columns == d.columns
-    kept = Counter((k, sum(1 for _ in (t or "").split())) for k, t, *_ in map(tuple, out.collect()))
-    assert kept == Counter({(k, n - g): c for (k, n, g, _), c in brute_removed(own, 50).items()})
-    assert substring_dedup.digests(d.limit(0)).count() == 0
+#: As they are; split from the second string of a bucket on; parts taken apart at once; both.
+SIZES = [{}, {"hot": 1}, {"held_bytes": 1}, {"hot": 1, "held_bytes": 4000, "part_bytes": 2000}]
 
 
-def test_runs_and_headers():
-    for k, i, n in ((0, 0, 1), (-(1 << 63), 5, 65535), ((1 << 63) - 1, 1 << 40, 3), (300, 70_000, 19)):
-        assert substring_dedup._opened(substring_dedup._header(k, i, n) + b"a b") == (k, i, n, b"a b")
+@pytest.mark.parametrize("sizes", SIZES)
+def test_substrings(spark, rows, sizes):
+    d = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert Counter(map(tuple, substring_dedup.digests(d, **sizes).collect())) == brute_removed(rows, 20)
+    out = substring_dedup.clean(d, window=50, **sizes)
+    assert out.columns == d.columns
+    kept = Counter((k, sum(1 for _ in (t or "").split())) for k, t, *_ in map(tuple, out.collect()))
+    want = Counter()
+    for (k, n, g, _), c in brute_removed(rows, 50).items():
+        want[k, n - g] += c
+    assert kept == want
+    assert substring_dedup.digests(d.limit(0), **sizes).count() == 0 and substring_dedup.clean(d.limit(0), **sizes).count() == 0
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+@pytest.mark.parametrize("m", [1, 6, 20])
+def test_substrings_of_keys_with_several_texts(spark, sizes, m):
+    """Rows without a key, one key with texts of different lengths, repeated rows, and a passage in all of them."""
+    rng = random.Random(6)
+    a, b, c = (words(rng, n) for n in (60, 25, 300))
+    rows = [(5, " ".join(a)), (7, "x y " + " ".join(a)), (7, " ".join(b + [f"own{i}" for i in range(60)])), (7, " ".join(c)), (7, " ".join(b)), (7, " ".join(b))]
+    rows += [(None, " ".join(a[:30])), (None, " ".join(c + a)), (None, None), (None, ""), (9, " ".join(["same"] * 200)), (9, " ".join(["same"] * 30)), (-4, " ".join(c[::-1]))]
+    rows += [(100 + i, " ".join([f"n{i}", *a[10:35], f"m{i}"])) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(map(tuple, substring_dedup.digests(d, m=m, **sizes).collect())) == brute_removed(rows, 20)
+
+
+def test_records():
+    columns = [np.array(x) for x in ([7, (1 << 32) - 1], [-(1 << 63), 5], [3, -4], [0, 70_000], [1, 65_535])]
+    for strings in ([b"a b", b""], [b"", b"\xc3\xa9 x"]):
+        got, ends, raw = substring_dedup.opened_records(substring_dedup.packed_records(columns, strings))
+        assert [c.tolist() for c in got] == [c.tolist() for c in columns] and [raw[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)] == strings
 
 
 def brute_components(rows, n, percent):
