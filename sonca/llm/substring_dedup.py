@@ -5,7 +5,7 @@ smallest hash, the first of equals. Consecutive windows with the minimiser in th
 packed string that goes to its minimiser's bucket. Equal windows have equal minimisers at equal places inside them, so
 they meet in a bucket, where windows are sorted and compared as the strings they are; hashes only choose the bucket.
 
-Buckets travel in parts of about PART_BYTES, as many as the bytes of all texts ask for. A task packs the strings that it
+Buckets travel in parts of about PART_BYTES (up to LARGE times as many where there are very many parts). A task packs the strings that it
 has for a part together and compresses them. It sends a packed string again only for an earlier place; its later repeats
 are removed at once. A minimiser may stand in a third of all texts (what surrounds a common passage differs). A task that
 holds many strings of one bucket splits it by the finest minimiser, the whole window: it sends windows, and a mark so that
@@ -42,7 +42,9 @@ from . import common
 
 WINDOW, M = 20, 6
 #: Bytes of packed strings: of a part, on average; that a task holds of one part; that it packs at a time; that it remembers.
-PART_BYTES, HELD_BYTES, PACKED_BYTES, SEEN_BYTES = 8 << 20, 96 << 20, 16 << 20, 48 << 20
+PART_BYTES, HELD_BYTES, PACKED_BYTES, SEEN_BYTES = 2 << 20, 96 << 20, 16 << 20, 48 << 20
+#: More parts than MANY are made only once they would have LARGE times PART_BYTES: a task should have several strings for each.
+MANY, LARGE = 1 << 14, 16
 #: Strings of a bucket that a task sends at least before it splits the bucket; counters for that (a shared one only splits earlier).
 HOT, COUNTERS = 16, 1 << 21
 #: Stands for a null key, which so comes first.
@@ -345,7 +347,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NONE)).alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     run = (window - min(m, window) + 2) / 2  # windows of a super-k-mer, on average
-    parts = max(4 * spark.sparkContext.defaultParallelism, math.ceil(size * (1 + (window - 1) / run) / part_bytes))
+    share = size * (1 + (window - 1) / run) / part_bytes
+    parts = math.ceil(max(share / LARGE, min(share, MANY), 4 * spark.sparkContext.defaultParallelism))
     hot = max(HOT, part_bytes // (256 * max(1, rows.rdd.getNumPartitions()))) if hot is None else hot
     sent = rows.mapInArrow(_sent(window, m, parts, hot), SENT_SQL)
     dealt = sent.repartition("part").sortWithinPartitions("part", "kind")
