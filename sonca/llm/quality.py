@@ -1,18 +1,23 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
 Features are words and marks, their first 4, 5 and 6 characters, and pairs of neighbours, hashed into BUCKETS. The target
-model counts labelled rows of good quality that are not toxic (a hash sample of about LABELLED labelled rows at most; two
-thirds of it fit, a third calibrates). The raw model counts all rows, each language weighted by its share in the target,
-so that the two differ in kind of text and not in language. A row's weight is the mean of log p_target / p_raw over its
-n-grams; each ratio is shrunk by PRIOR counts, and ratios within NOISE count as none.
-
-Rows are drawn without replacement by Gumbel top-k: key = weight / TEMPERATURE + Gumbel(hash of the row), and the k
-largest are kept. k is counted over all rows: those whose weight reaches the cut that parts the calibration rows best.
-The k-th key is found by radix selection, four narrow aggregations; no row is sorted or sent to the driver.
+model counts labelled rows of good quality that are not toxic (a hash sample of about LABELLED labelled rows at most).
+The raw model counts all rows, each language weighted by its share in the target, so that the two differ in kind of text
+and not in language. Each ratio p_target / p_raw is shrunk by PRIOR counts, and log ratios within NOISE count as none:
+the raw text is for the most part target text, so that the small ratios of common words, of which there are many, would
+hide the few words that set a text apart. A row's weight is the mean of the log ratios over its n-grams, so that long and
+short texts compete on equal terms: LENGTH times it is the log of the importance weight of a text of LENGTH n-grams.
+
+Rows are drawn without replacement by Gumbel top-k: key = LENGTH * weight + Gumbel(hash of the row), and the rows with
+the k largest keys are kept. k is the wanted share of all rows that have words. The share is a parameter; it is the
+target's share among all labelled rows if not given. Nothing else of the labels takes part in the choice. The k-th key is
+found by radix selection, four narrow aggregations; no row is sorted or sent to the driver.
 
 Null text and text without words are rejected. Without labels of both kinds nothing is known and all other rows are
 kept. Repeated rows have the same key; rows that tie at the k-th key are all kept. A doc_id labelled twice takes the
-worse label. Columns other than the key, the text and the language are carried along untouched by `selected`.
+worse label. The LANGS languages with the most rows (ties go to the first in order) are weighted each by itself, all
+others and rows without a language together, so counts stay bounded whatever stands in the language column. Columns
+other than the key, the text and the language are carried along untouched by `selected`.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS, CHUNK, LABELLED, PRIOR, NOISE, TEMPERATURE, SALT, MOST = 1 << 18, 1 << 13, 30_000, 4.0, 0.4, 0.001, 23, 1_000_000
+BUCKETS, CHUNK, LABELLED, PRIOR, NOISE, LENGTH, LANGS, SALT, MOST = 1 << 18, 1 << 13, 20_000, 4.0, 0.4, 1000.0, 31, 23, 1_000_000
 PREFIXES, KNOWN = (4, 5, 6), 300_000
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
@@ -72,12 +77,16 @@ def ratios(target: np.ndarray, expected: np.ndarray) -> np.ndarray:
     return np.where(np.abs(out) < NOISE, 0.0, out).astype(np.float32)
 
 
-def sampled_labels(labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """id, good, fit: a hash sample of the labelled keys, about `most` at most."""
-    rows = labels.groupBy(labels["doc_id"].cast("long").alias("id")).agg(((F.min("quality") == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)).alias("good")).where("id is not null and good is not null")
-    n = rows.count()
+def judged_labels(labels: DataFrame) -> DataFrame:
+    """id, good: one row for each labelled key."""
+    rows = labels.groupBy(labels["doc_id"].cast("long").alias("id")).agg(((F.min("quality") == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)).alias("good"))
+    return rows.where("id is not null and good is not null")
+
+
+def sampled(judged: DataFrame, n: int, most: int = LABELLED) -> DataFrame:
+    """id of the good ones in a hash sample of n judged keys, about `most` at most."""
     h = F.pmod(F.xxhash64("id", F.lit(SALT)), F.lit(3 << 20))
-    return rows.where(h < int((3 << 20) * min(1.0, most / n)) if n else F.lit(False)).select("id", "good", (F.pmod(F.xxhash64("id", F.lit(SALT + 1)), F.lit(3)) < 2).alias("fit"))
+    return judged.where((h < int((3 << 20) * min(1.0, most / n))) & F.col("good")).select("id") if n else judged.where(F.lit(False)).select("id")
 
 
 VECTORS = pa.schema([("kind", pa.string()), ("chunk", pa.int32()), ("total", pa.float64()), ("counts", pa.binary())])
@@ -89,19 +98,23 @@ def _vectors(held: dict[tuple[str, int], np.ndarray]) -> Iterator[pa.RecordBatch
     yield from common.batches(VECTORS, rows, 64)
 
 
-def _count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to count vectors in chunks, one for each kind (r, or t for the target, and the language) and task."""
-    held: dict[str, np.ndarray] = {}
-    for batch in stream:
-        found: dict[str, list[np.ndarray]] = {}
-        for t, lang, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if t:
-                f = features(t)
-                for kind in ("r", "t") if target else ("r",):
-                    found.setdefault(f"{kind}{'' if lang is None else '=' + lang}", []).append(f)
-        for kind, fs in found.items():
-            held[kind] = held.get(kind, 0) + np.bincount(np.concatenate(fs), minlength=BUCKETS).astype(np.float64)
-    yield from _vectors({(k, c): x[c * CHUNK : (c + 1) * CHUNK] for k, x in held.items() for c in range(BUCKETS // CHUNK)})
+def _count(langs: dict[str, int]):
+    """mapInArrow: texts to count vectors in chunks, one for each kind (r, or t for the target, and the language) and task."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in stream:
+            found: dict[str, list[np.ndarray]] = {}
+            for t, lang, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if t:
+                    f = features(t)
+                    for kind in ("r", "t") if target else ("r",):
+                        found.setdefault(f"{kind}{langs.get(lang, len(langs))}", []).append(f)
+            for kind, fs in found.items():
+                held[kind] = held.get(kind, 0) + np.bincount(np.concatenate(fs), minlength=BUCKETS).astype(np.float64)
+        yield from _vectors({(k, c): x[c * CHUNK : (c + 1) * CHUNK] for k, x in held.items() for c in range(BUCKETS // CHUNK)})
+
+    return run
 
 
 def _summed(vectors: DataFrame, scale: dict[str, tuple[str, float]] | None = None) -> DataFrame:
@@ -118,12 +131,13 @@ def _summed(vectors: DataFrame, scale: dict[str, tuple[str, float]] | None = Non
     return vectors.repartition("kind", "chunk").mapInArrow(run, VECTORS_SQL) if scale is None else vectors.repartition("chunk").mapInArrow(run, VECTORS_SQL)
 
 
-def fit(docs: DataFrame, sample: DataFrame, scratch: common.Scratch, key: str = "doc_id", text: str = "text", lang: str = "lang") -> np.ndarray:
+def fit(docs: DataFrame, target: DataFrame, scratch: common.Scratch, key: str = "doc_id", text: str = "text", lang: str = "lang", langs: int = LANGS) -> np.ndarray:
     """The log ratio of each bucket; only sums over languages reach the driver."""
     rows = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("text"), docs[lang].cast("string").alias("lang"))
-    marked = rows.join(F.broadcast(sample.where("fit and good").select("id", F.lit(True).alias("target"))), "id", "left").select("text", "lang", F.coalesce("target", F.lit(False)).alias("target"))
-    sums = scratch.keep(_summed(marked.mapInArrow(_count, VECTORS_SQL)), "counts")
-    totals = {r["kind"]: r["n"] for r in sums.groupBy("kind").agg(F.sum("total").alias("n")).collect()}
+    own = {r["lang"]: i for i, r in enumerate(rows.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect())}
+    marked = rows.join(F.broadcast(target.select("id", F.lit(True).alias("target"))), "id", "left").select("text", "lang", F.coalesce("target", F.lit(False)).alias("target"))
+    sums = scratch.keep(_summed(marked.mapInArrow(_count(own), VECTORS_SQL)), "counts")
+    totals = {r["kind"]: r["n"] for r in sums.groupBy("kind").agg(F.sum("total").alias("n")).collect()}  # two for each language
     scale = {k: ("t", 1.0) if k[0] == "t" else ("r", totals.get("t" + k[1:], 0.0) / n) for k, n in totals.items()}
     out = {"r": np.zeros(BUCKETS), "t": np.zeros(BUCKETS)}
     for r in _summed(sums, scale).collect():
@@ -154,27 +168,12 @@ def scored(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str
             u = (batch.column(2).to_numpy().view(np.uint64) >> np.uint64(11)).astype(np.float64)
             gumbel = -np.log(-np.log((u + 0.5) / (1 << 53)))
             none = n == 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(s, mask=none), pa.array(ordered(s / TEMPERATURE + gumbel), mask=none)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(s, mask=none), pa.array(ordered(LENGTH * s + gumbel), mask=none)], schema=schema)
 
     k, t = docs[key].cast("long"), docs[text].cast("string")
     return docs.select(k.alias("doc_id"), F.xxhash64(t).alias("th"), F.xxhash64(k, t, F.lit(SALT)).alias("u"), t.alias("text")).mapInArrow(run, "doc_id long, th long, n_ngrams long, weight double, rank long")
 
 
-def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The weight that parts good rows from the others with the least sum of error rates; none if there is one kind."""
-    if good.all() or not good.any():
-        return -np.inf
-    order = np.argsort(weights, kind="stable")
-    w, g = weights[order], good[order]
-    lost = np.concatenate([[0], np.cumsum(g)]) / g.sum()
-    passed = 1 - np.concatenate([[0], np.cumsum(~g)]) / (~g).sum()
-    apart = np.concatenate([[True], w[1:] != w[:-1], [True]])
-    error = np.where(apart, lost + passed, np.inf)
-    at = np.flatnonzero(error == error.min())
-    i = int(at[len(at) // 2])
-    return -np.inf if i == 0 else np.inf if i == len(w) else float((w[i - 1] + w[i]) / 2)
-
-
 def kth_largest(ranks: DataFrame, k: int) -> int:
     """The k-th largest long of a column `rank`, by 16 bits at a time from the top."""
     prefix, left = None, k
@@ -189,16 +188,17 @@ def kth_largest(ranks: DataFrame, k: int) -> int:
     return prefix
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, th, n_ngrams, weight, kept for each row; written in the shared folder."""
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", share: float | None = None) -> DataFrame:
+    """doc_id, th, n_ngrams, weight, kept for each row; written in the shared folder. share: of the rows with words."""
     scratch = common.Scratch(docs.sparkSession, "quality")
-    sample = scratch.keep(sampled_labels(labels), "labels")
-    held = scratch.keep(scored(docs, fit(docs, sample, scratch, key, text, lang), key, text), "scored")
-    trial = held.join(F.broadcast(sample.where("not fit")), held["doc_id"] == sample["id"]).where("weight is not null").select("weight", "good").toArrow()
-    cut = best_cut(trial["weight"].to_numpy(), trial["good"].to_numpy())
-    k = held.where((F.col("weight") >= float(cut)) & F.col("weight").isNotNull()).count()
-    least = kth_largest(held.where("rank is not null"), k) if k else None
-    kept = F.coalesce(F.col("rank") >= F.lit(least), F.lit(False)) if k else F.lit(False)
+    judged = scratch.keep(judged_labels(labels), "labels")
+    seen = judged.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("good").cast("int")), F.lit(0)).alias("good")).first()
+    held = scratch.keep(scored(docs, fit(docs, scratch.keep(sampled(judged, seen["n"]), "target"), scratch, key, text, lang), key, text), "scored")
+    if share is None:
+        share = seen["good"] / seen["n"] if 0 < seen["good"] < seen["n"] else 1.0
+    ranks = held.where("rank is not null")
+    k = round(share * ranks.count())
+    kept = F.coalesce(F.col("rank") >= F.lit(kth_largest(ranks, k)), F.lit(False)) if k else F.lit(False)
     return held.select("doc_id", "th", "n_ngrams", "weight", kept.alias("kept"))
 
 

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out rows, on small inputs."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -167,6 +168,53 @@ def test_quality_of_odd_rows(spark, docs, rows):
     assert quality.selected(docs.limit(0), some).count() == 0
 
 
+@pytest.mark.parametrize("share", [None, 0.3])
+@pytest.mark.parametrize("langs", [31, 1])
+def test_quality_against_brute_force(spark, share, langs, monkeypatch):
+    """Counts, ratios, weights, Gumbel keys and the k largest, one row at a time; labels that repeat or lack something."""
+    monkeypatch.setattr(quality.fit, "__defaults__", (*quality.fit.__defaults__[:-1], langs))
+    rng = random.Random(12)
+    docs = [(i, " ".join(words(rng, rng.randint(1, 60)) + ["!!"] * (i % 3)), rng.choice(["en", "fr", "xx", None])) for i in range(150)]
+    docs += [(200, None, "en"), (201, "", "en"), (202, " \n", None), (203, "!?", "fr"), (None, "no key here", "en"), docs[5], docs[5]]
+    labels = [(i, int(i % 3 == 0), int(i % 7 == 0)) for i in range(0, 140, 2)] + [(6, 1, 1), (6, 1, None), (12, None, 0), (None, 1, 0), (999, 1, 0)]
+    judged = {}
+    for k, q, t in labels:
+        if k is not None:
+            judged.setdefault(k, []).append((q, t or 0))
+    good = {k: min(q for q, _ in x if q is not None) == 1 and max(t for _, t in x) == 0 for k, x in judged.items() if any(q is not None for q, _ in x)}
+    size = Counter(g for _, _, g in docs if g is not None)
+    own = {g: g for g in sorted(size, key=lambda g: (-size[g], g))[:langs]}
+    raw, target = {}, {}
+    for k, t, g in docs:
+        for counts in [raw] + [target] * bool(good.get(k)):
+            counts.setdefault(own.get(g), Counter()).update(quality.features(t or "").tolist())
+    ratio = {}
+    for b in {b for c in raw.values() for b in c}:
+        expected = sum(c[b] * sum(target.get(g, Counter()).values()) / sum(c.values()) for g, c in raw.items() if c)
+        x = math.log((sum(c[b] for c in target.values()) + quality.PRIOR) / (expected + quality.PRIOR))
+        ratio[b] = x if abs(x) >= quality.NOISE else 0.0
+    keys = []
+    for k, t, _ in docs:
+        f = quality.features(t or "").tolist()
+        weight = sum(ratio[b] for b in f) / len(f) if f else None
+        u = quality_hash(k, t)
+        keys.append((weight, None if weight is None else quality.LENGTH * weight - math.log(-math.log(((u >> 11) + 0.5) / (1 << 53)))))
+    n = sum(x is not None for _, x in keys)
+    least = sorted((x for _, x in keys if x is not None), reverse=True)[round((sum(good.values()) / len(good) if share is None else share) * n) - 1]
+    want = Counter((k, None if w is None else round(w, 4), x is not None and x >= least - 1e-3) for (k, _, _), (w, x) in zip(docs, keys, strict=True))
+    d, some = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.classify(d, some, share=share).collect()
+    assert Counter((r["doc_id"], None if r["weight"] is None else round(r["weight"], 4), r["kept"]) for r in got) == want
+
+
+def quality_hash(k, t):
+    """xxhash64 over the key, the text and the salt, each with the hash before as its seed; nulls are passed over."""
+    h = 42
+    for x in (None if k is None else k.to_bytes(8, "little", signed=True), None if t is None else t.encode(), quality.SALT.to_bytes(4, "little")):
+        h = h if x is None else xxhash.xxh64_intdigest(x, h)
+    return h
+
+
 def test_kth_largest(spark):
     values = [5, -3, 5, 1 << 60, -(1 << 62), 0, 7]
     df = spark.createDataFrame([(v,) for v in values], "rank long")
@@ -226,6 +274,66 @@ def test_language(spark):
     assert langid.identify(d, langid.fit(d.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def brute_grams(text):
+    """By bucket, n-grams of 1 to 3 code points, one at a time."""
+    out, x = Counter(), [ord(c) for c in f" {text.lower()} "]
+    for i in range(len(x)):
+        h = 0
+        for c in x[i : i + 3]:
+            h = (h ^ c) * 0x9E3779B1 % (1 << 32)
+            h ^= h >> 15
+            out[(h * 0x85EBCA77 % (1 << 32)) >> (32 - 15)] += 1
+    return out
+
+
+def test_language_counts_of_whole_texts():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 3, 50, 997, 998, 999, 1000, 1001, 2500):
+        t = "".join(rng.choice("abé ΣI漢😀") for _ in range(n))
+        for piece in (1, 2, 1000, 1 << 20):
+            got = langid.counted(t, piece)
+            assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == brute_grams(t)
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    """Naive Bayes with plain counters: ties, repeats, a language without a text, null keys; small blocks of the product."""
+    rng = random.Random(9)
+    rows = [(i, " ".join("".join(rng.choices(a, k=rng.randint(1, 6))) for _ in range(rng.randint(1, 30))), f"l{j}") for i in range(240) for j in [i % 6] for a in ["abcdefghijkl"[j : j + 7]]]
+    rows += [(500, None, "l0"), (501, "", "l1"), (502, None, "empty"), (503, "?! 12", None), (None, "abc def", "l1"), rows[3], rows[3], (504, "mnop", None), (505, "É", None)]
+    learned = [(k, t, g) for k, t, g in rows if g is not None and k is not None and zlib.crc32(str(k).encode()) % 4 != 2]
+    size = Counter(g for *_, g in learned)
+    for most in (512, 3):
+        langs = sorted(sorted(size, key=lambda g: (-size[g], g))[:most])
+        counts = {g: sum((brute_grams(t) for _, t, x in learned if x == g and t), Counter()) for g in langs}
+        want = Counter()
+        for k, t, _ in rows:
+            pred, score = "und", 0.0
+            if t and any(c.isalpha() for c in t):
+                f = brute_grams(t)
+                joint = {g: math.log(size[g] / sum(size[x] for x in langs)) + sum(n * math.log((c[b] + langid.ALPHA) / (sum(c.values()) + langid.ALPHA * langid.BUCKETS)) for b, n in f.items()) for g, c in counts.items()}
+                pred = max(langs, key=lambda g: joint[g])
+                score = 1 / sum(math.exp(x - joint[pred]) for x in joint.values())
+            want[k, k is not None and zlib.crc32(str(k).encode()) % 4 == 2, pred, round(score, 3)] += 1
+        d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = langid.identify(d, langid.fit(d, max_langs=most)).collect()
+        assert Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 3)) for r in got) == want
+        model = langid.fit(d, max_langs=most)
+        texts = [t for _, t, _ in rows]
+        whole = langid.predict(texts, *model)
+        with monkeypatch.context() as m:
+            m.setattr(langid, "HELD", 100)
+            assert [g for g, _ in langid.predict(texts, *model)] == [g for g, _ in whole]
+
+
+def test_language_of_very_long_texts(spark):
+    rows = [(i, g * 40, g) for i, g in enumerate(["ab ", "cd "] * 40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    (a, _), (b, _) = langid.predict(["ab " * (1 << 19), "cd " * (1 << 19)], *model)
+    assert (a, b) == ("ab ", "cd ")
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert langid.identify(empty, model).count() == 0
+
+
 def test_packing(spark, docs, rows):
     path = queries.vocabulary(queries.PACKING)
     tok, got = token_counts.tokenizer(path), packing.pack(docs, path).toPandas()
