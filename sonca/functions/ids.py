@@ -169,6 +169,11 @@ def syllable_dim(spark: SparkSession) -> DataFrame:
     return rows.select("syllable_id", "s.*", valid(s["dau"], s["giua"], s["cuoi"]).alias("is_valid"), dense(s).alias("dense"), dense(s, spare=True).alias("spare"), parts(s).alias("parts"), utf8(s).alias("utf8"))
 
 
+def renderings(spark: SparkSession, mode: str) -> list[str]:
+    """The rendering of each id, by id: MAX_ID short strings."""
+    return [r[mode] for r in syllable_dim(spark).select("syllable_id", mode).orderBy("syllable_id").collect()]
+
+
 def from_dense(rows: DataFrame, column: str = "dense") -> DataFrame:
     """rows with the syllable_id of a dense rendering, null if there is none: a join with the id space."""
     dim = syllable_dim(rows.sparkSession).where("is_valid").groupBy(F.col("dense").alias(column)).agg(F.min("syllable_id").alias("syllable_id"))

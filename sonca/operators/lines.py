@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import lines
+from ..functions.columns import let
+from ..schemas import AFTER, ALPHA, BEFORE, ESCAPED
+from .tokens import core, lines
 
 
-def stats(docs: DataFrame, key: str = "doc_id", text: str = "text", vietnamese: Column | None = None) -> DataFrame:
+def stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line_no, line_bytes, vi_bytes, n_tokens. Tokens of over 255 bytes count nowhere.
 
     A token is Vietnamese if it has marks and at most 20 bytes (the surface variant; syllables come from the parser).
     """
-    # `tokens` becomes an array of numbers before it is summed, so that a line is read once.
-    sized = F.transform("tokens", lambda t: F.struct(F.octet_length(t["token"]).alias("b"), (t["fenced"] % 2).alias("after"), (t["category"] == "alphmark").alias("marked")))
-    rows = lines(docs, key, text).select(key, "line_no", F.filter(sized, lambda t: t["b"] <= 255).alias("t"))
-    total = lambda f: F.aggregate(F.transform("t", f), F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select(
-        key,
-        "line_no",
-        total(lambda t: (t["b"] + t["after"]).cast("long")).alias("line_bytes"),
-        total(lambda t: F.when(t["marked"] & (t["b"] <= 20), t["b"] + 1).otherwise(0).cast("long")).alias("vi_bytes"),
-        F.size("t").cast("long").alias("n_tokens"),
-    )
+
+    def figures(p: Column) -> Column:
+        own = p == ESCAPED
+        after = (p.endswith(AFTER) | own).cast("int")
+        b = F.when(own, 2).otherwise(F.octet_length(p) - 3 * (p.startswith(BEFORE).cast("int") + p.endswith(AFTER).cast("int")))
+        marked = p.rlike(f"^{BEFORE}?[{ALPHA}]") & ~p.rlike(f"^{BEFORE}?[A-Za-z]+{AFTER}?$")
+        return F.struct(b.alias("b"), after.alias("after"), marked.alias("marked"))
+
+    def added(sums: Column, x: Column) -> Column:
+        vi = F.when(x["marked"] & (x["b"] <= 20), x["b"] + 1).otherwise(0)
+        more = F.struct((sums["line"] + x["b"] + x["after"]).alias("line"), (sums["vi"] + vi).alias("vi"), (sums["n"] + 1).alias("n"))
+        return F.when(x["b"] <= 255, more).otherwise(sums)
+
+    none = F.struct(*[F.lit(0).cast("long").alias(x) for x in ("line", "vi", "n")])
+    rows = lines(docs, key, text).select(key, "line_no", F.aggregate(F.transform("pieces", figures), none, added).alias("t"))
+    return rows.select(key, "line_no", F.col("t.line").alias("line_bytes"), F.col("t.vi").alias("vi_bytes"), F.col("t.n").alias("n_tokens"))
 
 
 def route(found: DataFrame) -> DataFrame:
@@ -34,5 +41,5 @@ def route(found: DataFrame) -> DataFrame:
 
 def rebuilt(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line_no, line: each line from its tokens, a space after those that had one."""
-    joined = F.array_join(F.transform("tokens", lambda t: F.concat(t["token"], F.when(t["fenced"] % 2 == 1, " ").otherwise(""))), "")
-    return lines(docs, key, text).select(key, "line_no", F.rtrim(joined).alias("line"))
+    shown = lambda p: let(core(p), lambda c: F.concat(F.when(c == ESCAPED, F.lit("\\n")).otherwise(c), F.when(p.endswith(AFTER) | (c == ESCAPED), " ").otherwise("")))
+    return lines(docs, key, text).select(key, "line_no", F.rtrim(F.array_join(F.transform("pieces", shown), "")).alias("line"))

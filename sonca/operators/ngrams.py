@@ -1,18 +1,21 @@
 """n-gram counts with blanks, over arrays of a document's symbols: one shuffle, on the gram.
 
 Symbols are token surfaces (or syllable ids as strings) with BLANK for what is no word. Windows never cross documents.
+A document's array is zipped with itself moved on, and becomes a row for each place; grams of several lengths are made
+of the same row, so that a text is read once however many lengths are counted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import let
 from ..functions.ids import decode, dense
 from ..schemas import BLANK, NONE_ID
+from . import tokens
 from .syllables import document_ids
-from .tokens import token_array
 
 MIN_COUNT, MIN_DISTINCT = 10, 100_000
 BUCKETS = (("a", 2), ("b", 5), ("c", 11), ("d", 25), ("e", 80))
@@ -20,7 +23,7 @@ BUCKETS = (("a", 2), ("b", 5), ("c", 11), ("d", 25), ("e", 80))
 
 def symbols(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, s: the symbols of each document in order."""
-    return docs.select(F.col(key), F.transform(token_array(F.col(text)), lambda t: F.when(t["category"] == "nonalpha", BLANK).otherwise(t["token"])).alias("s"))
+    return docs.select(F.col(key), tokens.symbols(F.col(text)).alias("s"))
 
 
 def syllable_symbols(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -30,46 +33,76 @@ def syllable_symbols(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 
 def collapsed(s: Column) -> Column:
-    """Symbols with runs of blanks made one, and a blank at either end."""
-    padded = F.concat(F.array(F.lit(BLANK)), s, F.array(F.lit(BLANK)))
-    return let(padded, lambda s: F.filter(s, lambda x, i: ~((x == BLANK) & (i > 0) & (F.get(s, i - 1) == BLANK))))
+    """Symbols with runs of blanks made one, and a blank at either end. Symbols hold no spaces."""
+    joined = F.concat(F.lit(f"{BLANK} "), F.array_join(s, " "), F.lit(f" {BLANK}"))
+    return F.split(F.regexp_replace(joined, f"{BLANK}[ {BLANK}]*{BLANK}", BLANK), " ")
+
+
+def _places(docs: DataFrame, s: Column, n: int) -> DataFrame:
+    """s0 ... s(n-1): the symbols from each place on; null beyond the end."""
+    names = [f"s{i}" for i in range(n)]
+    rows = docs.select(s.alias("s0")).select("s0", *[F.slice("s0", i + 1, F.size("s0")).alias(names[i]) for i in range(1, n)])
+    return rows.select(F.explode(F.arrays_zip(*names)).alias("z")).select("z.*")
+
+
+def _counted(places: DataFrame, counts: dict[int, Column]) -> DataFrame:
+    """n, gram, n_count: of each length, the grams that count."""
+    gram = lambda n: F.concat_ws(" ", *[F.col(f"s{i}") for i in range(n)])
+    if len(counts) == 1:
+        ((n, good),) = counts.items()
+        rows = places.where(good).select(F.lit(n).alias("n"), gram(n).alias("gram"))
+    else:
+        each = F.explode(F.array(*[F.when(good, F.struct(F.lit(n).alias("n"), gram(n).alias("gram"))) for n, good in counts.items()]))
+        rows = places.select(each.alias("g")).where("g is not null").select("g.*")
+    return rows.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("n_count"))
+
+
+def _symbol(i: int) -> Column:
+    return F.col(f"s{i}")
+
+
+def _word(i: int) -> Column:
+    return _symbol(i) != BLANK
 
 
-def _windows(s: Column, n: int) -> Column:
-    """Arrays of n symbols that follow each other; none if there are fewer."""
-    runs = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - n, F.lit(0))), lambda i: F.slice(s, i + 1, n))
-    return let(s, lambda s: F.when(F.size(s) >= n, runs(s)).otherwise(F.array().cast("array<array<string>>")))
+def _all(conditions: Iterable[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+def grams_of(docs: DataFrame, lengths: Iterable[int]) -> DataFrame:
+    """n, gram, n_count: up to three symbols without blanks; longer ones with blanks at one end at most."""
+    lengths = list(lengths)
+
+    def counts(n: int) -> Column:
+        inner = _all(_word(i) for i in (range(n) if n < 4 else range(1, n - 1)))
+        ends = F.lit(True) if n < 4 else _word(0) | _word(n - 1)
+        return _symbol(n - 1).isNotNull() & inner & ends
+
+    return _counted(_places(docs, F.concat(F.array(F.lit(BLANK)), F.col("s")), max(lengths)), {n: counts(n) for n in lengths})
 
 
 def grams(docs: DataFrame, n: int) -> DataFrame:
-    """gram, n_count: up to three symbols without blanks; longer ones with blanks at one end at most."""
-    s = F.col("s") if n < 4 else F.concat(F.array(F.lit(BLANK)), F.col("s"))
-    inner = (lambda g: ~F.array_contains(g, BLANK)) if n < 4 else (lambda g: ~F.array_contains(F.slice(g, 2, n - 2), BLANK) & ~((F.element_at(g, 1) == BLANK) & (F.element_at(g, -1) == BLANK)))
-    return _counted(docs.select(F.explode(F.filter(_windows(s, n), inner)).alias("g")))
+    """gram, n_count of one length."""
+    return grams_of(docs, [n]).drop("n")
 
 
-def blank_aware(docs: DataFrame, n: int, padded: bool = False) -> DataFrame:
-    """gram, n_count for n of 1 to 4 over collapsed symbols.
+def blank_aware_of(docs: DataFrame, lengths: Iterable[int], padded: bool = False) -> DataFrame:
+    """n, gram, n_count for lengths of 1 to 4 over collapsed symbols.
 
     Padded symbols are collapsed already. After a blank all further symbols must be words; after a word the second may be blank in pairs, and the last in fours.
     """
-    rows = docs.select(_windows(F.col("s") if padded else collapsed(F.col("s")), n).alias("w"))
-
-    def counts(g: Column) -> Column:
-        at = lambda i: F.element_at(g, i) == BLANK
-        if n == 1:
-            return F.lit(True)
-        if n == 2:
-            return ~at(1) | ~at(2)
-        if n == 3:
-            return ~at(2) & ~at(3)
-        return ~at(2) & ~at(3) & (~at(1) | ~at(4))
+    lengths = list(lengths)
+    rule: dict[int, Callable[[], Column]] = {1: lambda: F.lit(True), 2: lambda: _word(0) | _word(1), 3: lambda: _word(1) & _word(2), 4: lambda: _word(1) & _word(2) & (_word(0) | _word(3))}
+    s = F.col("s") if padded else collapsed(F.col("s"))
+    return _counted(_places(docs, s, max(lengths)), {n: _symbol(n - 1).isNotNull() & rule[n]() for n in lengths})
 
-    return _counted(rows.select(F.explode(F.filter("w", counts)).alias("g")))
 
-
-def _counted(rows: DataFrame) -> DataFrame:
-    return rows.select(F.array_join("g", " ").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n_count"))
+def blank_aware(docs: DataFrame, n: int, padded: bool = False) -> DataFrame:
+    """gram, n_count of one length."""
+    return blank_aware_of(docs, [n], padded).drop("n")
 
 
 def pruned(counts: DataFrame, least: int = MIN_COUNT, distinct: int = MIN_DISTINCT) -> DataFrame:
@@ -78,8 +111,10 @@ def pruned(counts: DataFrame, least: int = MIN_COUNT, distinct: int = MIN_DISTIN
     return counts.where((F.col("n_count") >= least) | (size < distinct))
 
 
-def without_singles(counts: DataFrame, n: int) -> DataFrame:
-    return counts.where("n_count > 1") if n in (3, 4) else counts
+def without_singles(counts: DataFrame, n: int | None = None) -> DataFrame:
+    """counts without the threes and fours that stand once; of one length n, or of the lengths in column n."""
+    long = F.col("n").isin(3, 4) if n is None else F.lit(n in (3, 4))
+    return counts.where((F.col("n_count") > 1) | ~long)
 
 
 def bucket(n_count: Column) -> Column:
@@ -89,12 +124,12 @@ def bucket(n_count: Column) -> Column:
     return out.otherwise("f")
 
 
-def bucket_sizes(counts: DataFrame) -> DataFrame:
-    return counts.groupBy(bucket(F.col("n_count")).alias("bucket")).agg(F.count(F.lit(1)).alias("n_grams"), F.sum("n_count").alias("n_total"))
+def bucket_sizes(counts: DataFrame, *by: str) -> DataFrame:
+    return counts.groupBy(*by, bucket(F.col("n_count")).alias("bucket")).agg(F.count(F.lit(1)).alias("n_grams"), F.sum("n_count").alias("n_total"))
 
 
-def summary(counts: DataFrame) -> DataFrame:
-    return counts.agg(F.count(F.lit(1)).alias("n_distinct"), F.coalesce(F.sum("n_count"), F.lit(0)).alias("n_total"))
+def summary(counts: DataFrame, *by: str) -> DataFrame:
+    return counts.groupBy(*by).agg(F.count(F.lit(1)).alias("n_distinct"), F.coalesce(F.sum("n_count"), F.lit(0)).alias("n_total"))
 
 
 def bucket_scores(queries: DataFrame, counts: DataFrame) -> DataFrame:

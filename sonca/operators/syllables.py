@@ -6,11 +6,14 @@ nothing is shuffled or broadcast. Vocabularies parse the types that are left aft
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
@@ -19,8 +22,8 @@ from ..functions import ids
 from ..functions.columns import let
 from ..functions.syllable import can_be_vietnamese, lookup
 from ..functions.telex import MAX_LEN
-from ..schemas import NONE_ID
-from .tokens import token_array
+from ..schemas import AFTER, ALPHA, BEFORE, ESCAPED, NONE_ID
+from .tokens import lines, pieces
 
 #: A type and not its text, which could only be read in a session.
 PARSED = StructType([StructField("syllable_id", IntegerType()), *[StructField(x, BooleanType()) for x in ("marked", "first_upper", "all_upper")]])
@@ -100,30 +103,60 @@ def rime_types(syllables: DataFrame) -> DataFrame:
     return syllables.groupBy(F.regexp_replace(lower, "^[^aeyuio]+", "").alias("vocab")).agg(F.sum("n").alias("n"))
 
 
-IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+class Piece(NamedTuple):
+    """What a piece of a cut text is: a token, whether it is fenced, and the syllable that it spells."""
 
+    token: str
+    fenced: int
+    category: str
+    syllable_id: int | None
+    first_upper: bool
+    all_upper: bool
+
+
+def read_piece(piece: str) -> Piece:
+    core = piece.strip(BEFORE + AFTER)
+    fenced = 3 if core in ("\n", ESCAPED) else 2 * piece.startswith(BEFORE) + piece.endswith(AFTER)
+    category = "nonalpha" if not _IS_ALPHA(core) else "alph0m0t" if core.isascii() else "alphmark"
+    i, marked, first, every = (None, False, False, False) if category == "nonalpha" else lookup(core)
+    if i is not None:
+        category = "syllmark" if marked else "syll0m0t"
+    return Piece("\\n" if core == ESCAPED else core, fenced, category, i, first, every)
+
+
+_IS_ALPHA = re.compile(f"[{ALPHA}]").match
+
+
+def piecewise(rows: DataFrame, keys: str, columns: str, of: Callable[[list[str]], Callable[[np.ndarray, np.ndarray], list]]) -> DataFrame:
+    """rows (keys, pieces) with columns from their pieces. `of` reads the distinct pieces of a batch, each once, and
+    returns what makes the columns out of each piece's number and of where each row's pieces begin."""
+    names = [x.split(" ")[0] for x in f"{keys}, {columns}".split(", ")]
 
-def _per_document(parse: Callable[[list[str]], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            tokens = batch.column(1)
-            coded = tokens.flatten().dictionary_encode()
-            of = np.append(parse(coded.dictionary.to_pylist()), np.int32(NONE_ID))
-            codes = coded.indices.fill_null(len(of) - 1).to_numpy()
-            offsets = pa.array(np.concatenate([[0], np.cumsum(tokens.value_lengths().fill_null(0).to_numpy())]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(of[codes], pa.int32()))], schema=IDS)
+            pieces = batch.column(batch.num_columns - 1)
+            coded = pieces.flatten().dictionary_encode()
+            starts = np.concatenate([[0], np.cumsum(pieces.value_lengths().fill_null(0).to_numpy())])
+            made = of(coded.dictionary.to_pylist())(coded.indices.to_numpy(), starts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
 
-    return run
+    return rows.mapInArrow(run, f"{keys}, {columns}")
 
 
 def document_ids(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids: a syllable id, or NONE_ID, for each token of a document in order; no shuffle.
+    """doc_id, ids: a syllable id, or NONE_ID, for each token of a document in order; no shuffle."""
 
-    Words that cannot be syllables go to Python as nulls, not as text.
-    """
-    kept = F.transform(token_array(F.col(text)), lambda t: F.when(candidate(t["token"], t["category"]), t["token"]))
-    parse = lambda types: np.array([NONE_ID if (i := lookup(t)[0]) is None else i for t in types], np.int32)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), kept.alias("t")).mapInArrow(_per_document(parse), "doc_id long, ids array<int>")
+    def of(distinct: list[str]):
+        ids = np.array([NONE_ID if (i := read_piece(p).syllable_id) is None else i for p in distinct], np.int32)
+        return lambda codes, starts: [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids[codes], pa.int32()))]
+
+    return piecewise(docs.select(F.col(key).cast("long").alias("doc_id"), pieces(F.col(text)).alias("pieces")), "doc_id long", "ids array<int>", of)
+
+
+def joined(texts: list[str], codes: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """For each row, its pieces' texts one after the other."""
+    flat = pa.array(texts, pa.string()).take(pa.array(codes)) if len(texts) else pa.array([], pa.string())
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), flat), "")
 
 
 def rendered_lines(docs: DataFrame, mode: str = "dense", key: str = "doc_id", text: str = "text", keep_origin: bool = True) -> DataFrame:
@@ -131,22 +164,35 @@ def rendered_lines(docs: DataFrame, mode: str = "dense", key: str = "doc_id", te
 
     Bytes count what is written; a Vietnamese token counts with the space after it. Without keep_origin a syllable
     stands between two delimiter bytes (in the dense mode). Tokens of over 255 bytes are written and count nowhere.
+    A line is made where it is read: nothing is shuffled, and the renderings of the id space are a broadcast of fixed size.
     """
-    from .tokens import line_tokens, lines
-
-    rows = with_syllables(line_tokens(docs, key, text))
-    shown = F.coalesce(transform(F.col("syllable_id"), F.col("first_upper"), F.col("all_upper"), mode), F.col("token"))
-    rows = rows.select(key, "line_no", "pos", "category", "token", (F.col("fenced") % 2 == 1).alias("after"), shown.alias("shown"), F.col("syllable_id").isNotNull().alias("is_syllable"))
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
     edge = "\x10" if mode == "dense" and not keep_origin else ""
-    size, counts = F.octet_length("shown"), F.octet_length("token") <= 255
-    vi = F.col("is_syllable") | ((F.col("category") == "alphmark") & (size <= 20))
-    written = F.concat(F.when(F.col("is_syllable"), F.lit(edge)).otherwise(""), "shown", F.when(F.col("is_syllable"), F.lit(edge)).otherwise(""), F.when(F.col("after") | ~counts, " ").otherwise(""))
-    found = rows.groupBy(key, "line_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", written.alias("w")))), lambda x: x["w"]), "").alias("line"),
-        F.sum(F.when(counts, size + 2 * len(edge) * F.col("is_syllable").cast("int") + F.col("after").cast("int")).otherwise(0)).cast("long").alias("line_bytes"),
-        F.sum(F.when(counts & vi, size + 1).otherwise(0)).cast("long").alias("vi_bytes"),
-        F.sum(counts.cast("long")).alias("n_tokens"),
-        F.sum((counts & F.col("is_syllable")).cast("long")).alias("n_syllables"),
-    )
-    blank = lines(docs, key, text).where(F.size("tokens") == 0).select(key, "line_no", F.lit("").alias("line"), *[F.lit(0).cast("long").alias(c) for c in ("line_bytes", "vi_bytes", "n_tokens", "n_syllables")])
-    return found.unionByName(blank)
+    shared = docs.sparkSession.sparkContext.broadcast(ids.renderings(docs.sparkSession, mode))
+
+    def written(p: Piece) -> tuple[str, int, int, int, int]:
+        """What is written for a piece; its bytes, bytes as Vietnamese, whether it counts, and counts as a syllable."""
+        syllable, counts, after = p.syllable_id is not None, len(p.token.encode("utf-8", "surrogatepass")) <= 255, p.fenced % 2
+        shown = p.token
+        if syllable:
+            gap = " " if mode == "spare" else ""
+            caret = "" if mode in ("parts", "utf8") or not p.first_upper else f"^^{gap}" if p.all_upper else f"^{gap}"
+            shown = caret + shared.value[p.syllable_id]
+        size = len(shown.encode("utf-8", "surrogatepass"))
+        vietnamese = syllable or (p.category == "alphmark" and size <= 20)
+        mark = edge if syllable else ""
+        return mark + shown + mark + (" " if after or not counts else ""), counts * (size + 2 * len(mark) + after), counts * vietnamese * (size + 1), int(counts), int(counts and syllable)
+
+    def of(distinct: list[str]):
+        found = [written(read_piece(p)) for p in distinct]
+        figures = np.array([x[1:] for x in found], np.int64).reshape(-1, 4)
+
+        def columns(codes: np.ndarray, starts: np.ndarray) -> list:
+            sums = np.vstack([np.zeros((1, 4), np.int64), np.cumsum(figures[codes], axis=0)])
+            return [joined([x[0] for x in found], codes, starts), *(sums[starts[1:]] - sums[starts[:-1]]).T.copy()]
+
+        return lambda codes, starts: [x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns(codes, starts)]
+
+    rows = lines(docs, key, text).select(F.col(key).cast("long").alias(key), "line_no", "pieces")
+    return piecewise(rows, f"{key} long, line_no int", "line string, line_bytes long, vi_bytes long, n_tokens long, n_syllables long", of)

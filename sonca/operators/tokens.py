@@ -3,6 +3,10 @@
 Tabs, spaces and U+00A0 separate; a newline separates and is a token; a literal backslash-n separates and is a token
 that ends no line; literal backslash-r and backslash-t separate. Runs of letters and of other characters alternate
 inside what stands between separators. A document's last token is kept whether or not a newline follows.
+
+A text is cut by three replacements and one split, none of which calls a lambda for a token: its pieces are tokens, with
+a mark before or after those that a separator stands beside. What a piece says is read after it has become a row, in
+generated code. The marks are noncharacters, which no text holds that is meant to be exchanged.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
-from ..schemas import ALPHA, ESCAPED, SPACE, TOKEN
+from ..schemas import AFTER, ALPHA, BEFORE, BLANK, CUT, ESCAPED, SPACE
 
 
 def prepared(text: Column) -> Column:
@@ -24,42 +28,82 @@ def category(token: Column) -> Column:
     return F.when(token.rlike("^[A-Za-z]+$"), "alph0m0t").when(token.rlike(f"^[{ALPHA}]"), "alphmark").otherwise("nonalpha")
 
 
+def pieces(text: Column, end: str = "\n") -> Column:
+    """An array of the tokens of a text that `end` is added to, with their marks."""
+    t = F.concat(F.lit(" "), prepared(text), F.lit(end or " "))  # edges are like spaces
+    t = F.regexp_replace(t, f"[{ALPHA}]+", f"{CUT}$0{CUT}")
+    t = F.regexp_replace(t, f"{CUT}?[{SPACE}]+{CUT}?", AFTER + CUT + BEFORE)
+    t = F.regexp_replace(t, f"{CUT}?([\n{ESCAPED}]){CUT}?", f"{AFTER}{CUT}$1{CUT}{BEFORE}")
+    return _without(F.split(t, CUT, -1), "", AFTER, BEFORE, BEFORE + AFTER)
+
+
+def _without(array: Column, *values: str) -> Column:
+    for x in values:
+        array = F.array_remove(array, x)
+    return array
+
+
+def token_columns(core: Column, before: Column, after: Column) -> list[Column]:
+    """token, category, fenced of what a piece holds."""
+    ends = core.isin("\n", ESCAPED)
+    fenced = F.when(ends, 3).otherwise(F.when(before, 2).otherwise(0) + F.when(after, 1).otherwise(0))
+    return [F.when(core == ESCAPED, F.lit("\\n")).otherwise(core).alias("token"), category(core).alias("category"), fenced.alias("fenced")]
+
+
+def core(piece: Column) -> Column:
+    """A piece without its marks."""
+    return F.trim(piece, F.lit(BEFORE + AFTER))
+
+
 def token_array(text: Column, end: str = "\n") -> Column:
     """An array of (token, category, fenced) of a text that `end` is added to."""
-    raw = F.regexp_extract_all(F.concat(prepared(text), F.lit(end)), F.lit(TOKEN), F.lit(0))
-    return let(raw, _classified)
+    return F.transform(pieces(text, end), lambda p: let(core(p), lambda c: F.struct(*token_columns(c, p.startswith(BEFORE), p.endswith(AFTER)))))
 
 
-def _classified(raw: Column) -> Column:
-    # Only the first character of a neighbour matters: what separates is a space, a newline, an escape or the edge.
-    edge = lambda x: (x.isNull() | x.substr(1, 1).isin(*SPACE, "\n", ESCAPED)).cast("int")
-    parts = F.transform(raw, lambda x, i: F.struct(x.alias("token"), (edge(F.get(raw, i - 1)) * 2 + edge(F.get(raw, i + 1))).alias("fenced")))
-    kept = F.filter(parts, lambda p: ~p["token"].substr(1, 1).isin(*SPACE))
-    return F.transform(
-        kept,
-        lambda p: F.struct(
-            F.when(p["token"] == ESCAPED, F.lit("\\n")).otherwise(p["token"]).alias("token"),
-            category(p["token"]).alias("category"),
-            F.when(p["token"].isin("\n", ESCAPED), 3).otherwise(p["fenced"]).alias("fenced"),
-        ),
-    )
+def _opened(rows: DataFrame, *keys: str, array: Column) -> DataFrame:
+    """keys, pos, token, category, fenced: a row for each piece of an array."""
+    p = F.col("__sonca_piece")
+    found = rows.select(*keys, F.posexplode(array).alias("pos", "__sonca_piece"))
+    found = found.select(*keys, "pos", core(p).alias("__sonca_core"), p.startswith(BEFORE).alias("__sonca_before"), p.endswith(AFTER).alias("__sonca_after"))
+    return found.select(*keys, "pos", *token_columns(*map(F.col, ("__sonca_core", "__sonca_before", "__sonca_after"))))
 
 
 def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, pos, token, category, fenced: a row for each token; pos counts from 0 in each document."""
-    return docs.select(F.col(key), F.posexplode(token_array(F.col(text))).alias("pos", "t")).select(key, "pos", "t.*")
+    return _opened(docs, key, array=pieces(F.col(text)))
+
+
+def token_at(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, token, category, fenced of each document's token number n, from 0; documents with fewer have none."""
+    p = F.col("__sonca_piece")
+    found = docs.select(key, F.get(pieces(F.col(text)), n).alias("__sonca_piece")).where(p.isNotNull())
+    return found.select(key, *token_columns(core(p), p.startswith(BEFORE), p.endswith(AFTER)))
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line_no, tokens: a row for each line, with its tokens but the newline."""
-    return docs.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line")).select(key, "line_no", token_array(F.col("line"), "").alias("tokens"))
+    """doc_id, line_no, pieces: a row for each line, with the pieces of all its tokens but the newline."""
+    rows = docs.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
+    return rows.select(key, "line_no", pieces(F.col("line"), "").alias("pieces"))
 
 
 def line_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", max_lines: int = 0) -> DataFrame:
     """doc_id, line_no, pos (in its line), token, category, fenced; of the first max_lines lines if that isn't 0."""
     found = lines(docs, key, text)
     found = found.where(F.col("line_no") < max_lines) if max_lines else found
-    return found.select(key, "line_no", F.posexplode("tokens").alias("pos", "t")).select(key, "line_no", "pos", "t.*")
+    return _opened(found, key, "line_no", array=F.col("pieces"))
+
+
+def line_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, line_no, words: the words of each line in lower case."""
+    rows = docs.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
+    return rows.select(key, "line_no", F.array_remove(F.split(F.lower(F.regexp_replace(prepared(F.col("line")), f"[^{ALPHA}]+", " ")), " "), "").alias("words"))
+
+
+def symbols(text: Column) -> Column:
+    """The words of a text, BLANK for each other token."""
+    t = F.concat(prepared(text), F.lit("\n"))
+    t = F.regexp_replace(t, f"[\n{ESCAPED}]|[^{ALPHA}{SPACE}\n{ESCAPED}]+", f" {BLANK} ")
+    return F.array_remove(F.split(F.translate(t, SPACE, " " * len(SPACE)), " "), "")
 
 
 def attrs_byte(code: Column, fenced: Column) -> Column:

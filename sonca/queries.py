@@ -42,10 +42,6 @@ def on_space(*columns: str) -> Query:
     return lambda spark, _: ids.syllable_dim(spark).select("syllable_id", *columns)
 
 
-def _each(ns: range | tuple[int, ...], f: Callable[[int], DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, (f(n).select(F.lit(n).alias("n"), "*") for n in ns))
-
-
 def _escaped(d: DataFrame) -> DataFrame:
     """The texts with escapes put in."""
     t = F.replace(F.replace("text", F.lit(". "), F.lit(".\\n ")), F.lit(" the "), F.lit("\\tthe\\r "))
@@ -94,7 +90,14 @@ def _backoff(s: DataFrame) -> DataFrame:
 
 
 def _buckets(s: DataFrame) -> DataFrame:
-    return _each((2, 3, 4), lambda n: ngrams.bucket_sizes(ngrams.without_singles(ngrams.blank_aware(s, n), n)))
+    return ngrams.bucket_sizes(ngrams.without_singles(ngrams.blank_aware_of(s, (2, 3, 4))), "n")
+
+
+def _summaries(s: DataFrame) -> DataFrame:
+    """Of each length, zeros where no gram stands."""
+    found = ngrams.summary(ngrams.grams_of(s, range(1, 6)), "n")
+    lengths = s.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("n"))
+    return lengths.join(found, "n", "left").select("n", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_distinct", "n_total")])
 
 
 def _collapse(s: DataFrame) -> DataFrame:
@@ -146,8 +149,7 @@ def _ids_by_document(d: DataFrame) -> DataFrame:
 
 def _round_trip(d: DataFrame) -> DataFrame:
     """Ids of each line after writing and reading the compact encoding."""
-    coded = cdx.write_lines(syllables.with_syllables(tokens.line_tokens(d)))
-    return cdx.read(coded).select("doc_id", "line_no", F.size("ids").alias("n_symbols"), F.size(F.filter("ids", lambda x: x != 32767)).alias("n_syllables"))
+    return cdx.read(cdx.encoded_lines(d)).select("doc_id", "line_no", F.size("ids").alias("n_symbols"), F.size(F.filter("ids", lambda x: x != 32767)).alias("n_syllables"))
 
 
 def _rare(d: DataFrame) -> DataFrame:
@@ -160,14 +162,14 @@ def _oov(t: DataFrame) -> DataFrame:
 
 def _sentences(d: DataFrame) -> DataFrame:
     """sent_id, syllables: the words of each line that has some."""
-    rows = tokens.lines(d).select(F.concat_ws(":", "doc_id", "line_no").alias("sent_id"), F.transform(F.filter("tokens", lambda t: t["category"] != "nonalpha"), lambda t: F.lower(t["token"])).alias("syllables"))
+    rows = tokens.line_words(d).select(F.concat_ws(":", "doc_id", "line_no").alias("sent_id"), F.col("words").alias("syllables"))
     return rows.where(F.size("syllables") > 0)
 
 
 def _dictionary(d: DataFrame) -> DataFrame:
     """word, n: the pairs and triples of words that are frequent."""
     s = _sentences(d).select(F.col("syllables").alias("s"))
-    return ngrams.grams(s, 2).where("n_count >= 5").union(ngrams.grams(s, 3).where("n_count >= 5")).toDF("word", "n")
+    return ngrams.grams_of(s, (2, 3)).where("n_count >= 5").select(F.col("gram").alias("word"), F.col("n_count").alias("n"))
 
 
 def _segmented(d: DataFrame) -> DataFrame:
@@ -243,10 +245,10 @@ QUERIES: dict[str, Query] = {
     "trigrams": on_symbols(lambda s: ngrams.grams(s, 3)),
     "fourgrams": on_symbols(lambda s: ngrams.grams(s, 4)),
     "fivegrams": on_symbols(lambda s: ngrams.grams(s, 5)),
-    "ngrams_6_8": on_symbols(lambda s: _each(range(6, 9), lambda n: ngrams.grams(s, n))),
-    "ngrams_blank_aware": on_symbols(lambda s: _each(range(1, 5), lambda n: ngrams.blank_aware(s, n))),
+    "ngrams_6_8": on_symbols(lambda s: ngrams.grams_of(s, range(6, 9))),
+    "ngrams_blank_aware": on_symbols(lambda s: ngrams.blank_aware_of(s, range(1, 5))),
     "blank_collapse": on_symbols(_collapse),
-    "ngram_summary": on_symbols(lambda s: _each(range(1, 6), lambda n: ngrams.summary(ngrams.grams(s, n)))),
+    "ngram_summary": on_symbols(_summaries),
     "ngram_min_count": on_symbols(lambda s: ngrams.pruned(ngrams.grams(s, 2), distinct=1000)),
     "count_buckets": on_symbols(_buckets),
     "ngram_semi": on_symbols(_semi),
@@ -278,7 +280,7 @@ QUERIES: dict[str, Query] = {
     "vocab_syllow00": on_tokens(lambda t: syllables.bare_types(_syllable_types(t))),
     "vocab_syllovan": on_tokens(lambda t: syllables.rime_types(_syllable_types(t))),
     "oov_types": on_tokens(_oov),
-    "syllable_ngrams": on_documents(lambda d: _each(range(1, 4), lambda n: ngrams.shown(ngrams.grams(ngrams.syllable_symbols(d), n)))),
+    "syllable_ngrams": on_documents(lambda d: ngrams.shown(ngrams.grams_of(ngrams.syllable_symbols(d), range(1, 4)))),
     "rendered_lines": on_documents(lambda d: lines.route(syllables.rendered_lines(d))),
     "cdx_roundtrip": on_documents(_round_trip),
     "rarely_used_ids": on_documents(_rare),

@@ -6,6 +6,8 @@ from __future__ import annotations
 ALPHA = "A-Za-zÀ-ýĀ-Ľŀ-Žƀ-ƽ̀-̣̀-ͣẀ-ỿ"
 #: Stands for the two characters backslash and n while a text is cut; a private-use code point.
 ESCAPED = ""
+#: Marks in a text that is cut: where, and which tokens have a separator after and before them.
+CUT, AFTER, BEFORE = "\ufdd0", "\ufdd1", "\ufdd2"
 SPACE = " \t "
 TOKEN = f"[{SPACE}]+|\n|{ESCAPED}|[{ALPHA}]+|[^{ALPHA}{SPACE}\n{ESCAPED}]+"
 BLANK, NONE_ID, MAX_ID = "#", 32767, 26250
