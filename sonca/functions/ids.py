@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schemas import BASE64, FINALS, INITIALS, MAX_ID, NUCLEI, TONES
 from .columns import let
-from .syllable import ALLOWED, BARRED, FOLD, WITH_ONSET
+from .syllable import ALLOWED, BARRED, FOLD, MARKED, OPEN_ONSETS, STOPS, WIDTH, WITH_ONSET
 from .telex import VOWELS, toned
 
 #: What folding has made one, taken apart again: nucleus and folded coda to nucleus and coda.
@@ -169,6 +169,17 @@ def syllable_dim(spark: SparkSession) -> DataFrame:
     return rows.select("syllable_id", "s.*", valid(s["dau"], s["giua"], s["cuoi"]).alias("is_valid"), dense(s).alias("dense"), dense(s, spare=True).alias("spare"), parts(s).alias("parts"), utf8(s).alias("utf8"))
 
 
+def features(s: Column) -> dict[str, Column]:
+    """What the parts of a syllable are, by name."""
+    dau, giua, cuoi, tone = (s[x] for x in ("dau", "giua", "cuoi", "tone"))
+    return {
+        "onset_len": F.length(dau), "nucleus_len": _mapped({k: str(v) for k, v in WIDTH.items()}, giua, F.length(giua).cast("string")).cast("int"), "coda_len": F.length(cuoi), "tone_len": F.length(tone),
+        "onset_closed": ~dau.isin(*OPEN_ONSETS), "coda_closed": (F.length(cuoi) == 2) | ((F.length(cuoi) == 1) & ~cuoi.isin("c", "n")),
+        "bare_onset": F.when(dau == "zd", "d").otherwise(dau), "starts_front": giua.isin("i", "y", "ia", "iez"), "has_mark": (dau == "zd") | giua.isin(*MARKED),
+        "has_glide": giua.isin("uaz", "uez", "uy", "uyez", "uya", "oa", "oaw", "oe", "ooo"), "has_tone": tone != "", "is_stop": cuoi.isin(*STOPS), "tone_may_stop": tone.isin("s", "j", ""), "is_harsh": tone.isin("x", "j"),
+    }
+
+
 def renderings(spark: SparkSession, mode: str) -> list[str]:
     """The rendering of each id, by id: MAX_ID short strings."""
     return [r[mode] for r in syllable_dim(spark).select("syllable_id", mode).orderBy("syllable_id").collect()]

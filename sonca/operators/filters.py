@@ -1,19 +1,21 @@
 """Sets that answer membership: exact semi-joins, and binary fuse filters where an approximate answer will do.
 
 A filter has three segments' worth of fingerprints; a key belongs if the fingerprints at its three places combine to its
-own. No key is missed. Filters are built for hash shards of bounded size, so no shard grows with the data, and are
-broadcast only if all of them together stay within a size; beyond that, membership is the exact join.
+own. No key is missed. Filters are built for hash shards of bounded size, so no shard grows with the data. They are
+broadcast in blocks of bounded size, each asked about the rows of its own shards; how many blocks there are changes
+nothing that is found.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -88,11 +90,21 @@ class BinaryFuse:
         a, b, c = self._places(h)
         return fingerprint(h).astype(self.prints.dtype) == self.prints[a] ^ self.prints[b] ^ self.prints[c]
 
+    @classmethod
+    def of(cls, keys: Iterable[int], bits: int = 8) -> "BinaryFuse":
+        """A filter of keys that come one by one."""
+        return cls(np.fromiter(keys, U64), bits)
+
     @property
     def n_bytes(self) -> int:
         return self.prints.nbytes
 
 
+def shard_of(key: Column, shards: int) -> Column:
+    """The shard of a key, by a hash that any engine has."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(shards)).cast("int")
+
+
 def build(keys: DataFrame, key: str = "key", bits: int = 8, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
     """(shard, n_keys, seed, prints), and how many shards there are. Keys are made distinct first."""
     rows = keys.select(F.col(key).cast("long").alias("key")).where("key is not null").distinct()
@@ -103,34 +115,45 @@ def build(keys: DataFrame, key: str = "key", bits: int = 8, shard_keys: int = SH
         f = BinaryFuse(table["key"].to_numpy().view(U64), bits)
         return pa.table([[table["shard"][0].as_py()], [f.n], [str(f.seed)], [f.prints.tobytes()]], schema=schema)
 
-    sharded = rows.select("key", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"))
+    sharded = rows.select("key", shard_of(F.col("key"), shards).alias("shard"))
     return sharded.groupBy("shard").applyInArrow(one, "shard int, n_keys long, seed string, prints binary"), shards
 
 
-def members(rows: DataFrame, keys: DataFrame, key: str = "key", bits: int = 16, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """rows whose key is among keys: by broadcast filters (and a few more), or exactly where those would be too large."""
-    filters, shards = build(keys, key, bits)
-    size = keys.select(key).distinct().count() * bits // 8 * 5 // 4
-    if size > most_bytes:
-        return rows.join(keys.select(key).distinct(), key, "left_semi")
-    held: dict[int, BinaryFuse] = {}
-    for r in filters.collect():  # at most most_bytes
-        f = held[r["shard"]] = BinaryFuse.__new__(BinaryFuse)
-        f.bits, f.n, f.seed = bits, r["n_keys"], int(r["seed"])
-        (f.segment, f.count, _), f.prints = layout(f.n), np.frombuffer(r["prints"], DTYPES[bits])
-    shared = rows.sparkSession.sparkContext.broadcast(held)
+def members(rows: DataFrame, keys: DataFrame, key: str = "key", bits: int = 16, exact: bool = False, most_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """rows whose key is among keys: by filters, with a few more, or exactly if that is asked for.
 
+    Filters are taken in blocks of at most most_bytes (a shard at least); each reads the rows once.
+    """
+    if exact:
+        return semi(rows, keys.distinct(), key)
+    filters, shards = build(keys, key, bits, shard_keys)
+    filters, out = filters.persist(StorageLevel.DISK_ONLY), None
+    each = max(1, int(most_bytes / (layout(shard_keys)[2] * bits / 8)))
+    for first in range(0, shards, each):
+        held: dict[int, BinaryFuse] = {}
+        for r in filters.where(F.col("shard").between(first, first + each - 1)).collect():  # at most most_bytes, or one shard
+            f = held[r["shard"]] = BinaryFuse.__new__(BinaryFuse)
+            f.bits, f.n, f.seed = bits, r["n_keys"], int(r["seed"])
+            (f.segment, f.count, _), f.prints = layout(f.n), np.frombuffer(r["prints"], DTYPES[bits])
+        found = _asked(rows, key, shards, rows.sparkSession.sparkContext.broadcast(held))
+        out = found if out is None else out.unionByName(found)
+    filters.unpersist()
+    return out
+
+
+def _asked(rows: DataFrame, key: str, shards: int, shared) -> DataFrame:
     @F.pandas_udf(BooleanType())
     def among(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for k, shard in parts:
-            out = np.zeros(len(k), bool)
-            for s, f in shared.value.items():
-                at = np.flatnonzero((shard == s).to_numpy())
-                out[at] = f.contains(k.to_numpy()[at].astype(np.int64).view(U64))
+            out, k, shard = np.zeros(len(k), bool), k.to_numpy(), shard.to_numpy()
+            for s in np.unique(shard).tolist():
+                if f := shared.value.get(s):
+                    at = np.flatnonzero(shard == s)
+                    out[at] = f.contains(k[at].astype(np.int64).view(U64))
             yield pd.Series(out)
 
     k = F.col(key).cast("long")
-    return rows.where(F.col(key).isNotNull()).where(among(k, F.pmod(F.xxhash64(k), F.lit(shards)).cast("int")))
+    return rows.where(F.col(key).isNotNull()).where(among(k, shard_of(k, shards)))
 
 
 def semi(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -145,3 +168,8 @@ def hash_counts(rows: DataFrame, ids: str = "ids") -> DataFrame:
     """
     fold = lambda start: F.aggregate(F.col(ids), F.lit(start).cast("long"), lambda h, x: (h.bitwiseXOR(x.cast("long")) * 0x01000193).bitwiseAND(0xFFFFFFFF))
     return rows.groupBy(fold(0x9DC5811C).alias("hash"), fold(0x811C9DC5).bitwiseAND(0xFFFF).alias("fp")).agg(F.count(F.lit(1)).alias("n_count"))
+
+
+def in_hash_order(counts: DataFrame) -> DataFrame:
+    """hash, fp, n_count in ascending order of the hash."""
+    return counts.orderBy("hash", "fp")

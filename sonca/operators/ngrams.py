@@ -167,3 +167,20 @@ def backoff_score(queries: DataFrame, uni: DataFrame, bi: DataFrame, tri: DataFr
     q = q.join(named(tri, "gram", "c3"), "gram", "left").join(named(bi, "h", "ch"), "h", "left").join(named(bi, "t", "ct"), "t", "left").join(named(uni, "m", "cm"), "m", "left").join(named(uni, "w", "cw"), "w", "left")
     score = F.coalesce(F.col("c3") / F.col("ch"), alpha * F.col("ct") / F.col("cm"), alpha * alpha * F.col("cw") / total, F.lit(0.0))
     return q.select("gram", F.round(score, 9).alias("score"))
+
+
+def discount(n_count: Column) -> Column:
+    """What absolute discounting takes of a count: half of one that stands once, three quarters of a larger one."""
+    return F.when(n_count == 1, 0.5).otherwise(0.75)
+
+
+def absolute_discount(queries: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame:
+    """gram, score of given pairs: the discounted share of the pair after its first word, and what was taken there times
+    the share of the second word among all; after an unseen word, that share alone."""
+    total = uni.agg(F.sum("n_count").cast("double").alias("total")).scalar()
+    after = bi.groupBy(F.substring_index("gram", " ", 1).alias("h")).agg(F.sum("n_count").alias("ch"), F.sum(discount(F.col("n_count"))).alias("taken"))
+    q = queries.withColumns({"h": F.substring_index("gram", " ", 1), "w": F.substring_index("gram", " ", -1)})
+    q = q.join(bi.select("gram", F.col("n_count").alias("c")), "gram", "left").join(after, "h", "left").join(uni.select(F.col("gram").alias("w"), F.col("n_count").alias("cw")), "w", "left")
+    own = F.coalesce((F.col("c") - discount(F.col("c"))) / F.col("ch"), F.lit(0.0))
+    rest = F.coalesce(F.col("taken") / F.col("ch"), F.lit(1.0)) * F.coalesce(F.col("cw"), F.lit(0)) / total
+    return q.select("gram", F.round(own + rest, 9).alias("score"))

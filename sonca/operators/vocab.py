@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def types(tokens: DataFrame, where: Column | None = None) -> DataFrame:
@@ -44,14 +45,40 @@ def with_marks(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where(marked), found.where(~marked)
 
 
-def wrapped(found: DataFrame, width: int = 80) -> DataFrame:
-    """token, line: a listing by length, wrapped at `width` bytes with two spaces between types.
+#: Bytes between two types of a listing, and those that a line stays under.
+PAD, WIDTH = 2, 80
+
+
+def line_starts(lengths: list[tuple[int, int]], width: int = WIDTH) -> list[tuple[int, int, int, int]]:
+    """(bytes, line, fit, per) by length from (bytes, types) with the longest first, as lines are filled one type after the
+    other: `fit` types of a length still go to the line begun, the others fill the next ones with `per` each."""
+    out, line, used = [], 0, 0
+    for size, n in lengths:
+        per = max(1, (width - 1 - size) // (size + PAD) + 1)
+        fit = 0 if used + size >= width and used else max(1 if not used else 0, (width - 1 - size - used) // (size + PAD) + 1)
+        out.append((size, line, fit, per))
+        if n <= fit:
+            used += n * (size + PAD)
+        else:
+            more = n - fit
+            line += -(-more // per)
+            used = ((more - 1) % per + 1) * (size + PAD)
+    return out
 
-    Lines follow from running byte sums within lengths; presentation only, so one ordered partition is used.
-    """
-    from pyspark.sql.window import Window
 
-    rows = found.withColumn("bytes", F.octet_length("token"))
-    w = Window.partitionBy("bytes").orderBy("token")
-    per = F.greatest(F.lit(1), F.floor((F.lit(width) + 2) / (F.col("bytes") + 2)))
-    return rows.select("token", "bytes", F.floor((F.row_number().over(w) - 1) / per).cast("long").alias("line"))
+def wrapped(found: DataFrame, width: int = WIDTH) -> DataFrame:
+    """token, bytes, line: a listing by length, the longest first, wrapped greedily: a type goes to the line begun if the
+    line stays under `width` bytes, with two spaces between types.
+
+    Lines follow from the rank of a type in its length. Ranks are found within short prefixes of types and moved on by
+    what stands before, so that no task has to sort a whole length. Only counts by length reach the driver.
+    """
+    rows = found.select("token", F.octet_length("token").alias("bytes"), F.substring("token", 1, 3).alias("prefix"))
+    counts = rows.groupBy("bytes", "prefix").agg(F.count(F.lit(1)).alias("types"))
+    before = counts.select("bytes", "prefix", (F.sum("types").over(Window.partitionBy("bytes").orderBy("prefix")) - F.col("types")).alias("before"))
+    lengths = [(r["bytes"], r["types"]) for r in counts.groupBy("bytes").agg(F.sum("types").alias("types")).orderBy(F.desc("bytes")).collect()]
+    starts = found.sparkSession.createDataFrame(line_starts(lengths, width), "bytes int, first long, fit long, per long")
+    ranked = rows.withColumn("own", F.row_number().over(Window.partitionBy("bytes", "prefix").orderBy("token")) - 1).join(before, ["bytes", "prefix"]).join(F.broadcast(starts), "bytes")
+    rank = F.col("before") + F.col("own")
+    line = F.when(rank < F.col("fit"), F.col("first")).otherwise(F.col("first") + 1 + F.floor((rank - F.col("fit")) / F.col("per")))
+    return ranked.select("token", "bytes", line.cast("long").alias("line"))

@@ -1,8 +1,8 @@
 """Words over syllables: dictionary lattice, best segmentation, and restoring tones and marks.
 
-Sentences are rows with arrays; a dictionary is a table (word, n) whose words join their syllables with a space. What a
-dictionary holds is looked up through joins on n-grams of positions, so it may be of any size; paths are then found in
-one row's lattice.
+Sentences are rows with arrays; a dictionary is a table (word, n) whose words join their syllables with a space. A
+dictionary of at most MOST words and MOST_BYTES is a broadcast, and a sentence's lattice is made in its row: nothing is
+shuffled. A larger one is looked up through joins on n-grams of positions. Both ways find the same.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.columns import let
 
-LONGEST = 4
+LONGEST, MOST, MOST_BYTES = 4, 1_000_000, 64 << 20
 #: Flags of a syllable's place in words of two or more: it begins, is inside, ends one, or stands alone.
 BEGINS, INSIDE, ENDS, ALONE = 1, 2, 4, 8
 
@@ -33,8 +33,56 @@ def spans(syllables: Column, longest: int = LONGEST) -> Column:
     return let(syllables, every)
 
 
-def lattice(sentences: DataFrame, dictionary: DataFrame, key: str = "sent_id", syllables: str = "syllables", longest: int = LONGEST) -> DataFrame:
+class Dictionary:
+    """Words of two or more syllables, and their beginnings, so that a search ends where no word goes on."""
+
+    def __init__(self, words: dict[str, int]) -> None:
+        self.words = {w: n for w, n in words.items() if " " in w}
+        self.begun = {w[:i] for w in self.words for i, c in enumerate(w) if c == " "}
+
+    def found(self, syllables: list[str], longest: int) -> Iterator[tuple[int, int, int]]:
+        """(pos, len, n) of every word that stands in a sentence."""
+        for i, gram in enumerate(syllables):
+            for size, x in enumerate(syllables[i + 1 : i + longest], 2):
+                if gram not in self.begun:
+                    break
+                gram = f"{gram} {x}"
+                if gram in self.words:
+                    yield i, size, self.words[gram]
+
+
+def small(table: DataFrame, *texts: str, most: int = MOST, most_bytes: int = MOST_BYTES) -> bool:
+    """Whether a table is so small that the driver and each task may hold it."""
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum((F.octet_length(t) for t in texts), F.lit(0))), F.lit(0)).alias("bytes")).first()
+    return size["n"] <= most and size["bytes"] <= most_bytes
+
+
+def held(dictionary: DataFrame, most: int = MOST):
+    """A broadcast of a dictionary, or None if it is too large for one."""
+    if not small(dictionary, "word", most=most):
+        return None
+    return dictionary.sparkSession.sparkContext.broadcast(Dictionary({r["word"]: r["n"] for r in dictionary.select("word", "n").collect()}))
+
+
+def _in_rows(of, returns):
+    """A UDF over arrays of syllables."""
+
+    @F.pandas_udf(returns)
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else of(list(s)) for s in rows], dtype=object)
+
+    return run
+
+
+FOUND = ArrayType(StructType([StructField("pos", IntegerType()), StructField("len", IntegerType()), StructField("n", LongType())]))
+
+
+def lattice(sentences: DataFrame, dictionary: DataFrame, key: str = "sent_id", syllables: str = "syllables", longest: int = LONGEST, most: int = MOST) -> DataFrame:
     """sent_id, pos, len, n: every dictionary word that stands in a sentence."""
+    shared = held(dictionary, most)
+    if shared is not None:
+        each = _in_rows(lambda s: [{"pos": p, "len": size, "n": n} for p, size, n in shared.value.found(s, longest)], FOUND)
+        return sentences.select(key, F.explode(each(F.col(syllables))).alias("w")).select(key, "w.*")
     rows = sentences.select(key, F.explode(spans(F.col(syllables), longest)).alias("s")).select(key, "s.*")
     return rows.join(dictionary.select(F.col("word").alias("gram"), "n"), "gram").select(key, "pos", "len", "n")
 
@@ -47,6 +95,26 @@ def position_flags(found: DataFrame, key: str = "sent_id") -> DataFrame:
     return rows.groupBy(key, (F.col("pos") + F.col("k")).alias("pos")).agg(F.bit_or(flag).alias("flags"))
 
 
+def flags_of(n: int, words: Iterator[tuple[int, int, int]]) -> list[int]:
+    """What each syllable is in the words; 0 if in none."""
+    out = [0] * n
+    for pos, size, _ in words:
+        out[pos] |= BEGINS
+        out[pos + size - 1] |= ENDS
+        for i in range(pos + 1, pos + size - 1):
+            out[i] |= INSIDE
+    return out
+
+
+def flagged(sentences: DataFrame, dictionary: DataFrame, key: str = "sent_id", syllables: str = "syllables", longest: int = LONGEST, most: int = MOST) -> DataFrame:
+    """`position_flags` of the lattice of sentences, whose keys are distinct."""
+    shared = held(dictionary, most)
+    if shared is None:
+        return position_flags(lattice(sentences, dictionary, key, syllables, longest, most), key)
+    each = _in_rows(lambda s: flags_of(len(s), shared.value.found(s, longest)), ArrayType(IntegerType()))
+    return sentences.select(key, F.posexplode(each(F.col(syllables))).alias("pos", "flags")).where("flags <> 0")
+
+
 def best_path(n: int, words: list[tuple[int, int, int]], penalty: float) -> list[str]:
     """Tags of n syllables on the best path: a word of l syllables adds 100 (l - 1) + log10 n, a single costs the penalty."""
     at: dict[int, list[tuple[int, float]]] = {}
@@ -65,9 +133,13 @@ def best_path(n: int, words: list[tuple[int, int, int]], penalty: float) -> list
     return out
 
 
-def segmented(sentences: DataFrame, dictionary: DataFrame, key: str = "sent_id", syllables: str = "syllables", longest: int = LONGEST, penalty: float = 1.0) -> DataFrame:
+def segmented(sentences: DataFrame, dictionary: DataFrame, key: str = "sent_id", syllables: str = "syllables", longest: int = LONGEST, penalty: float = 1.0, most: int = MOST) -> DataFrame:
     """sent_id, syllables, tags: B where a word begins, I inside it."""
-    words = lattice(sentences, dictionary, key, syllables, longest).groupBy(key).agg(F.collect_list(F.struct("pos", "len", "n")).alias("words"))
+    shared = held(dictionary, most)
+    if shared is not None:
+        each = _in_rows(lambda s: best_path(len(s), list(shared.value.found(s, longest)), penalty), ArrayType(StringType()))
+        return sentences.select(key, syllables, each(F.col(syllables)).alias("tags"))
+    words = lattice(sentences, dictionary, key, syllables, longest, most).groupBy(key).agg(F.collect_list(F.struct("pos", "len", "n")).alias("words"))
 
     @F.pandas_udf(ArrayType(StringType()))
     def tags(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -77,20 +149,33 @@ def segmented(sentences: DataFrame, dictionary: DataFrame, key: str = "sent_id",
     return sentences.join(words, key, "left").withColumn("tags", tags(F.size(syllables), "words")).select(key, syllables, "tags")
 
 
-def greedy(sentences: DataFrame, dictionary: DataFrame, key: str = "sent_id", syllables: str = "syllables", longest: int = LONGEST) -> DataFrame:
-    """As `segmented`, by the longest word from the left on; column functions over the lattice."""
-    longest_at = lattice(sentences, dictionary, key, syllables, longest).groupBy(key, "pos").agg(F.max("len").alias("len"))
-    held = longest_at.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "len"))).alias("at"))
-    rows = sentences.join(held, key, "left")
-    start = F.struct(F.array().cast("array<string>").alias("tags"), F.lit(0).alias("until"))
+def greedy_path(n: int, words: Iterator[tuple[int, int, int]]) -> list[str]:
+    """Tags of n syllables by the longest word from the left on."""
+    at: dict[int, int] = {}
+    for pos, size, _ in words:
+        at[pos] = max(size, at.get(pos, 1))
+    out, i = [], 0
+    while i < n:
+        size = at.get(i, 1)
+        out += ["B", *["I"] * (size - 1)]
+        i += size
+    return out
+
+
+def greedy(sentences: DataFrame, dictionary: DataFrame, key: str = "sent_id", syllables: str = "syllables", longest: int = LONGEST, most: int = MOST) -> DataFrame:
+    """As `segmented`, by the longest word from the left on."""
+    shared = held(dictionary, most)
+    if shared is not None:
+        each = _in_rows(lambda s: greedy_path(len(s), shared.value.found(s, longest)), ArrayType(StringType()))
+        return sentences.select(key, syllables, each(F.col(syllables)).alias("tags"))
+    words = lattice(sentences, dictionary, key, syllables, longest, most).groupBy(key).agg(F.collect_list(F.struct("pos", "len", "n")).alias("words"))
 
-    def step(acc: Column, i: Column) -> Column:
-        inside = i < acc["until"]
-        size = F.coalesce(F.try_element_at(F.col("at"), i), F.lit(1))
-        return F.struct(F.concat(acc["tags"], F.array(F.when(inside, "I").otherwise("B"))).alias("tags"), F.when(inside, acc["until"]).otherwise(i + size).cast("int").alias("until"))
+    @F.pandas_udf(ArrayType(StringType()))
+    def tags(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for sizes, found in parts:
+            yield pd.Series([greedy_path(int(n), [] if w is None else [(x["pos"], x["len"], x["n"]) for x in w]) for n, w in zip(sizes, found, strict=True)])
 
-    places = F.when(F.size(syllables) > 0, F.sequence(F.lit(0), F.size(syllables) - 1)).otherwise(F.array().cast("array<int>"))
-    return rows.select(key, syllables, F.aggregate(places, start, step)["tags"].alias("tags"))
+    return sentences.join(words, key, "left").withColumn("tags", tags(F.size(syllables), "words")).select(key, syllables, "tags")
 
 
 def variants(vocabulary: DataFrame) -> DataFrame:
@@ -101,19 +186,61 @@ def variants(vocabulary: DataFrame) -> DataFrame:
     return rows.groupBy("bare").agg(F.sort_array(F.collect_list(F.struct("n", "vocab")), asc=False).alias("variants"))
 
 
-def restored_path(options: list[list[tuple[str, float]]], pairs: dict[tuple[str, str], float]) -> list[str]:
-    """The best choice of one option each: the sum of log counts of choices and of pairs of neighbours."""
-    best = [(math.log1p(n), [x]) for x, n in options[0]] if options else []
-    for here in options[1:]:
-        best = [max(((s + math.log1p(n) + 2 * math.log1p(pairs.get((path[-1], x), 0)), [*path, x]) for s, path in best), key=lambda y: (y[0], y[1])) for x, n in here]
-    return max(best, key=lambda y: (y[0], y[1]))[1] if best else []
+def gain(n: float) -> int:
+    """log(1 + n) in millionths: sums of whole numbers are the same in any order."""
+    return round(1e6 * math.log1p(n))
 
 
-def restored(sentences: DataFrame, options_of: DataFrame, bigrams: DataFrame, key: str = "sent_id", syllables: str = "syllables") -> DataFrame:
+def restored_path(options: list[list[tuple[str, float]]], pairs: dict[tuple[str, str], float]) -> list[str]:
+    """The best choice of one option each: the sum of log counts of choices and of pairs of neighbours.
+
+    Of equal sums the path that is last in order wins. Each option keeps one step back and its path's place among the
+    paths in order, so a sentence costs no more than its options and pairs of them.
+    """
+    if not options:
+        return []
+    best = [(gain(n), 0) for _, n in options[0]]  # score, place in order
+    back, order = [], sorted(range(len(options[0])), key=lambda j: options[0][j][0])
+    best = [(score, order.index(j)) for j, (score, _) in enumerate(best)]
+    before = options[0]
+    for here in options[1:]:
+        steps = []
+        for x, n in here:
+            own = gain(n)
+            steps.append(max((score + own + 2 * gain(pairs.get((before[j][0], x), 0)), place, j) for j, (score, place) in enumerate(best)))
+        ranks = {k: i for i, k in enumerate(sorted((place, here[j][0]) for j, (_, place, _) in enumerate(steps)))}
+        back.append([j for _, _, j in steps])
+        best = [(score, ranks[place, here[j][0]]) for j, (score, place, _) in enumerate(steps)]
+        before = here
+    j = max(range(len(best)), key=lambda j: best[j])
+    out = [options[-1][j][0]]
+    for here, steps in zip(options[-2::-1], reversed(back), strict=True):
+        j = steps[j]
+        out.append(here[j][0])
+    return out[::-1]
+
+
+def restored(sentences: DataFrame, options_of: DataFrame, bigrams: DataFrame, key: str = "sent_id", syllables: str = "syllables", most: int = MOST) -> DataFrame:
     """sent_id, syllables, restored: bare syllables with the tones and marks of the most likely path.
 
-    options_of is (bare, variants), as `variants` makes it; bigrams is (gram, n_count) over renderings; only the pairs of a sentence's own options reach it.
+    options_of is (bare, variants), as `variants` makes it; bigrams is (gram, n_count) over renderings. Where options and
+    the pairs that decide between some fit a broadcast, each row is done by itself; else only the pairs of a sentence's
+    own options reach it, by joins. A pair of two syllables without other options decides nothing.
     """
+    several = options_of.where(F.size("variants") > 1).select(F.explode("variants.vocab").alias("x"))
+    pair = F.split("gram", " ")
+    open_pairs = bigrams.withColumns({"a": F.get(pair, 0), "b": F.get(pair, 1)})
+    open_pairs = open_pairs.join(several.select(F.col("x").alias("a"), F.lit(True).alias("first")).distinct(), "a", "left").join(several.select(F.col("x").alias("b"), F.lit(True).alias("second")).distinct(), "b", "left").where("first or second").select("a", "b", "n_count")
+    if small(options_of.select("bare", F.array_join("variants.vocab", "").alias("all")), "bare", "all", most=most) and small(open_pairs, "a", "b", most=most):
+        options = {r["bare"]: [(v["vocab"], float(v["n"])) for v in r["variants"]] for r in options_of.collect()}
+        pairs = {(r["a"], r["b"]): float(r["n_count"]) for r in open_pairs.collect()}
+        shared = sentences.sparkSession.sparkContext.broadcast((options, pairs))
+        each = _in_rows(lambda s: restored_path([shared.value[0].get(x) or [(x, 0.0)] for x in s], shared.value[1]), ArrayType(StringType()))
+        return sentences.select(key, syllables, each(F.col(syllables)).alias("restored"))
+    return _restored_by_joins(sentences, options_of, bigrams, key, syllables)
+
+
+def _restored_by_joins(sentences: DataFrame, options_of: DataFrame, bigrams: DataFrame, key: str, syllables: str) -> DataFrame:
     at = sentences.select(key, F.posexplode(syllables).alias("pos", "bare")).join(options_of, "bare", "left")
     options = F.coalesce(F.transform("variants", lambda v: F.struct(v["vocab"].alias("x"), v["n"].cast("double").alias("n"))), F.array(F.struct(F.col("bare").alias("x"), F.lit(0.0).alias("n"))))
     held = at.select(key, F.struct("pos", options.alias("o")).alias("p")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["o"]).alias("options"))

@@ -41,8 +41,11 @@ def telexify(docs: DataFrame, out: str, mode: str = "dense", grams: bool = False
     io.write_routed(lines.route(shown) if routed else shown.withColumn("route", F.lit("main")), at("text"))
     if grams:
         s = ngrams.syllable_symbols(docs)
+        counts = ngrams.grams_of(s, range(1, 9)).persist(StorageLevel.DISK_ONLY)
         for n in range(1, 9):
-            io.write_grams(ngrams.shown(ngrams.pruned(ngrams.grams(s, n))).select("n_count", F.col("shown").alias("gram")), at("grams", n=n))
+            own = counts.where(F.col("n") == n).select("gram", "n_count")
+            io.write_grams(ngrams.shown(ngrams.pruned(own)).select("n_count", F.col("shown").alias("gram")), at("grams", n=n))
+        counts.unpersist()
     totals = {r["category"]: r["n"] for r in types.groupBy("category").agg(F.sum("n").alias("n")).collect()}  # three rows at most
     types.unpersist()
     return totals
@@ -68,10 +71,12 @@ def stats(spark: SparkSession, frequencies: DataFrame | None = None) -> dict[str
     return out
 
 
-def rarely_used(frequencies: DataFrame) -> DataFrame:
-    """syllable_id, utf8, tone of the valid ids that no listed token (token, category) has."""
+def rarely_used(frequencies: DataFrame, tone: str | None = None) -> DataFrame:
+    """syllable_id, utf8, tone of the valid ids that no listed token (token, category) has; with one tone, if it is given."""
     seen = syllables.with_syllables(frequencies).where("syllable_id is not null").select("syllable_id").distinct()
-    return ids.syllable_dim(frequencies.sparkSession).where("is_valid").join(seen, "syllable_id", "left_anti").select("syllable_id", "utf8", "tone")
+    dim = ids.syllable_dim(frequencies.sparkSession).where("is_valid")
+    dim = dim if tone is None else dim.where(F.col("tone") == tone)
+    return dim.join(seen, "syllable_id", "left_anti").select("syllable_id", "utf8", "tone")
 
 
 def unreadable(spark: SparkSession) -> DataFrame:

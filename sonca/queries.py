@@ -115,11 +115,12 @@ def _route_check(d: DataFrame) -> DataFrame:
     return r.agg(F.count(F.lit(1)).alias("n_lines"), F.sum("k").alias("n_routed"), F.sum((F.col("k") > 1).cast("long")).alias("n_twice"))
 
 
-def _index(t: DataFrame) -> DataFrame:
-    """Figures of each posting list."""
-    p = index.postings(t.where("category <> 'nonalpha'"))
-    at = F.flatten(F.transform("docs", lambda d: d["at"]))
-    return p.select("token", "n_docs", "n_tokens", F.element_at("docs", 1)["doc_id"].alias("first_doc"), F.element_at("docs", -1)["doc_id"].alias("last_doc"), F.aggregate(at, F.lit(0).cast("long"), lambda a, x: a + x).alias("pos_sum"))
+def _index(d: DataFrame) -> DataFrame:
+    """Figures of each posting list, which lies in parts by document."""
+    p = index.gathered(index.document_postings(d), spread=8)
+    first, last = F.element_at("docs", 1)["doc_id"], F.element_at("docs", -1)["doc_id"]
+    total = F.aggregate("docs", F.lit(0).cast("long"), lambda a, x: a + F.aggregate(x["at"], F.lit(0).cast("long"), lambda b, y: b + y))
+    return p.groupBy("token").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min(first).alias("first_doc"), F.max(last).alias("last_doc"), F.sum(total).alias("pos_sum"))
 
 
 def _fnv(t: DataFrame) -> DataFrame:
@@ -143,8 +144,12 @@ def _syllable_types(t: DataFrame) -> DataFrame:
 
 
 def _ids_by_document(d: DataFrame) -> DataFrame:
+    """Sums that tell whether each id stands in its place."""
     i = syllables.document_ids(d)
-    return i.select("doc_id", F.size("ids").alias("n_tokens"), F.size(F.filter("ids", lambda x: x != 32767)).alias("n_syllables"), F.xxhash64("ids").alias("ids_hash"))
+    added = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
+    placed = F.transform("ids", lambda v, at: F.when(v == 32767, 0).otherwise(v * (at % 1000 + 1)).cast("long"))
+    syllable = F.filter("ids", lambda v: v != 32767)
+    return i.select("doc_id", F.size("ids").alias("n_tokens"), F.size(syllable).alias("n_syllables"), added(syllable).alias("id_sum"), added(placed).alias("placed_sum"))
 
 
 def _round_trip(d: DataFrame) -> DataFrame:
@@ -181,7 +186,7 @@ def _greedy(d: DataFrame) -> DataFrame:
 
 
 def _flags(d: DataFrame) -> DataFrame:
-    return words.position_flags(words.lattice(_sentences(d), _dictionary(d)))
+    return words.flagged(_sentences(d), _dictionary(d))
 
 
 def _restored(d: DataFrame) -> DataFrame:
@@ -195,9 +200,24 @@ def _restored(d: DataFrame) -> DataFrame:
     return out.select("sent_id", F.array_join("restored", " ").alias("restored"))
 
 
+#: Rules in the public text form, made up for words of the test tables.
+RULES = """
+True : object.conclusion = ""
+	object.tag == "B" : object.conclusion = "B"
+		object.prevWord1 == "of" and object.word == "the" : object.conclusion = "I"
+			object.nextTag1 == "I" : object.conclusion = "B"
+			object.prevWord2 == "and" : object.conclusion = "B"
+		object.word == "de" and object.prevTag1 == "I" : object.conclusion = "I"
+	object.tag == "I" : object.conclusion = "I"
+		object.word == "and" : object.conclusion = "B"
+			object.prevTag2 == "B" and object.nextWord1 == "the" : object.conclusion = "I"
+"""
+
+
 def _retagged(d: DataFrame) -> DataFrame:
-    """Tags of a segmentation, corrected by the starter rules."""
-    tagged = rdr.retag(words.segmented(_sentences(d), _dictionary(d)), rdr.STARTER)
+    """Tags of a segmentation by longest words, corrected by rules."""
+    (top,) = rdr.load(RULES)
+    tagged = rdr.retag(words.greedy(_sentences(d), _dictionary(d)), top.exceptions)
     return tagged.select("sent_id", F.array_join("tags", "").alias("tags"), F.array_join("new_tags", "").alias("new_tags"))
 
 
@@ -206,17 +226,23 @@ def _hash_counts(d: DataFrame) -> DataFrame:
 
 
 def _fuse(s: DataFrame) -> DataFrame:
-    """Trigrams whose first two words are in a filter of frequent pairs: all that are, and a few more."""
+    """Trigrams whose first two words are in a filter of frequent pairs: how many are, are missed, and whether few others are."""
     key = lambda c: F.xxhash64(c).alias("key")
-    pairs = ngrams.grams(s, 2).where("n_count >= 5").select(key(F.col("gram")))
-    tri = ngrams.grams(s, 3).select("gram", "n_count", key(F.substring_index("gram", " ", 2)))
-    return filters.members(tri, pairs).select("gram", "n_count")
+    both = ngrams.grams_of(s, (2, 3))
+    pairs = both.where("n = 2 and n_count >= 5").select(key(F.col("gram")))
+    tri = both.where("n = 3").select("gram", key(F.substring_index("gram", " ", 2)))
+    exact = filters.members(tri, pairs, exact=True).select("gram", F.lit(True).alias("exact"))
+    near = filters.members(tri, pairs, shard_keys=1 << 10).select("gram", F.lit(True).alias("near"))
+    found = tri.select("gram").join(exact, "gram", "left").join(near, "gram", "left").select(F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"))
+    count = lambda c: F.count(F.when(c, 1))
+    return found.agg(count(F.col("exact")).alias("n_exact"), count(F.col("exact") & ~F.col("near")).alias("n_missed"), (count(~F.col("exact") & F.col("near")) <= 5 + 0.001 * F.count(F.lit(1))).alias("few_more"))
 
 
 def _fuse_sizes(s: DataFrame) -> DataFrame:
-    pairs = ngrams.grams(s, 2).select(F.xxhash64("gram").alias("key"))
+    text = F.md5(F.encode("gram", "UTF-8"))
+    pairs = ngrams.grams(s, 2).select(F.conv(F.substring(text, 1, 15), 16, 10).cast("long").alias("key"))
     built, _ = filters.build(pairs, shard_keys=1 << 14)
-    return built.select("shard", "n_keys", F.octet_length("prints").alias("n_bytes"))
+    return built.select("shard", "n_keys", F.octet_length("prints").cast("long").alias("n_bytes"))
 
 
 def _hashes(t: DataFrame) -> DataFrame:
@@ -224,6 +250,43 @@ def _hashes(t: DataFrame) -> DataFrame:
     return types.select("token", hashes.of_text("xxh32")(F.col("token")).alias("xxh32"), hashes.of_text("city32")(F.col("token")).alias("city32"))
 
 
+def _discounted(s: DataFrame) -> DataFrame:
+    """Scores of the pairs and of what they are when turned round."""
+    both = ngrams.grams_of(s, (1, 2))
+    uni, bi = (both.where(F.col("n") == n).select("gram", "n_count") for n in (1, 2))
+    return ngrams.absolute_discount(bi.select("gram").union(_turned(bi)).distinct(), uni, bi)
+
+
+def _attributes(t: DataFrame) -> DataFrame:
+    """The bytes of all tokens' attributes, and what is read from them."""
+    a = cdx.attribute(F.col("attrs_byte"))
+    return _attribute_bytes(t).select("attrs_byte", "n").select("attrs_byte", a["category"].alias("category"), a["fenced"].alias("fenced"), "n")
+
+
+def _features(spark: SparkSession, _: str) -> DataFrame:
+    rows = ids.syllable_dim(spark).withColumn("s", F.struct("dau", "giua", "cuoi", "tone"))
+    return rows.select("syllable_id", *[c.alias(k) for k, c in ids.features(F.col("s")).items()])
+
+
+def _from_dense(spark: SparkSession, _: str) -> DataFrame:
+    """Each rendering of the space, read again."""
+    return ids.from_dense(ids.syllable_dim(spark).select("dense").distinct()).select("dense", "syllable_id")
+
+
+def vietnamese(spark: SparkSession, _: str) -> DataFrame:
+    """doc_id, text: made-up documents of all renderings of the id space, in lower, capital and upper case."""
+    dim = ids.syllable_dim(spark).where(~F.col("giua").isin("ah", "oah")).select("syllable_id", "utf8")
+    case = F.col("syllable_id") % 3
+    word = F.when(case == 1, F.initcap("utf8")).when(case == 2, F.upper("utf8")).otherwise(F.col("utf8"))
+    stop = F.when(F.col("syllable_id") % 11 == 0, ".\n").when(F.col("syllable_id") % 5 == 0, ", ").otherwise(" ")
+    rows = dim.select((F.col("syllable_id") % 100).cast("long").alias("doc_id"), F.struct("syllable_id", F.concat(word, stop).alias("w")).alias("x"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["w"]), "").alias("text"))
+
+
+def on_vietnamese(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(vietnamese(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "tokenize": on_tokens(lambda t: t),
     "tokenize_escapes": on_documents(lambda d: tokens.tokenize(_escaped(d))),
@@ -231,8 +294,10 @@ QUERIES: dict[str, Query] = {
     "token_fencing": on_tokens(_fencing),
     "limit_lines": on_documents(lambda d: tokens.line_tokens(d, max_lines=2)),
     "line_numbers": on_documents(lambda d: tokens.line_tokens(d).groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("n_tokens"))),
+    "token_at": on_documents(lambda d: tokens.token_at(d, 3)),
     "case_flags": on_tokens(_case_flags),
     "attribute_bytes": on_tokens(_attribute_bytes),
+    "attribute_decode": on_tokens(_attributes),
     "vocab_alphabet": on_tokens(vocab.alphabet_types),
     "vocab_nonalpha": on_tokens(vocab.nonalpha_types),
     "token_totals": on_tokens(vocab.totals),
@@ -254,6 +319,8 @@ QUERIES: dict[str, Query] = {
     "ngram_semi": on_symbols(_semi),
     "lm_bucket_score": on_symbols(_bucket_score),
     "stupid_backoff": on_symbols(_backoff),
+    "absolute_discount": on_symbols(_discounted),
+    "ngram_pruned": on_symbols(lambda s: ngrams.pruned(ngrams.grams(s, 2))),
     "line_stats": on_documents(lines.stats),
     "line_route": on_documents(_routes),
     "route_union_check": on_documents(_route_check),
@@ -268,7 +335,7 @@ QUERIES: dict[str, Query] = {
     "id_base64": _base64,
     "strip_tone_mark": lambda spark, _: ids.syllable_dim(spark).select("syllable_id", ids.without_tone_and_mark(F.col("dense")).alias("bare")),
     "dedup_lines": on_documents(index.first_lines),
-    "inverted_index": on_tokens(_index),
+    "inverted_index": on_documents(_index),
     "phrase_search": on_tokens(lambda t: index.phrase(t, ["of", "the"])),
     "fnv1a32": on_tokens(_fnv),
     "hashes": on_tokens(_hashes),
@@ -284,6 +351,12 @@ QUERIES: dict[str, Query] = {
     "rendered_lines": on_documents(lambda d: lines.route(syllables.rendered_lines(d))),
     "cdx_roundtrip": on_documents(_round_trip),
     "rarely_used_ids": on_documents(_rare),
+    "rarely_used_of_tone": on_documents(lambda d: jobs.rarely_used(vocab.alphabet_types(tokens.tokenize(d)), "s")),
+    "syllable_features": _features,
+    "dense_to_id": _from_dense,
+    "vietnamese_parse": on_vietnamese(lambda d: _parsed_types(tokens.tokenize(d))),
+    "vietnamese_lines": on_vietnamese(lambda d: lines.route(syllables.rendered_lines(d))),
+    "vietnamese_ngrams": on_vietnamese(lambda d: ngrams.shown(ngrams.grams_of(ngrams.syllable_symbols(d), (1, 2)))),
     "invalid_ids": lambda spark, _: jobs.unreadable(spark),
     "hash_count": on_documents(_hash_counts),
     "fuse_membership": on_symbols(_fuse),

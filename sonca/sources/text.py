@@ -52,10 +52,10 @@ def write_frequencies(types: DataFrame, path: str, token: str = "token") -> None
 
 
 def write_listing(types: DataFrame, path: str) -> None:
-    """Types by length, wrapped at 80 bytes with two spaces between them; an empty line between lengths."""
-    rows = vocab.wrapped(types)
-    listed = rows.groupBy("bytes", "line").agg(F.array_join(F.array_sort(F.collect_list("token")), "  ").alias("value"))
-    listed.orderBy(F.desc("bytes"), "line").select("value").write.mode("overwrite").text(path)
+    """Types by length, the longest first, wrapped with two spaces between them; an empty line after each line."""
+    one = F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("by"), "token")))
+    listed = vocab.wrapped(types).groupBy("line").agg(F.array_join(F.transform(one, lambda x: x["token"]), "  ").alias("value"))
+    listed.orderBy("line").select(F.concat("value", F.lit("\n"))).write.mode("overwrite").text(path)
 
 
 def write_with_marks(types: DataFrame, path: str, skip_syllables: bool = False) -> None:

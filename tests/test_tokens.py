@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+import xxhash
 
 from sonca.functions import hashes
 from sonca.operators import cdx, filters, index, lines, ngrams, rdr, syllables, tokens, vocab, words
@@ -78,20 +79,54 @@ def test_encoding_round_trip(spark):
     assert row["ids"] == [32767, 13064, 17210, 12436, 32767, 6689, 32767]
 
 
-RDR = [("- quan|zj cong|z - -", "NBINN", "B"), ("- le|z - - -", "NNBNN", "I"), ("- le|z - - -", "NIBNN", "B"), ("- le|z , - -", "NBBBN", "B"), ("keo|s le|z - - -", "NNBNN", "B"), ("- le|z bao|r - -", "NNBNN", "B"), ("- le|z . - -", "BBBNN", "B"), ("- le|z - - -", "NNBNI", "B"), ("- - an| ( -", "NNBNN", "I"), ("- ho|zf thanh| son|w -", "NNBNN", "I"), ("- chinh|s gian|s - -", "NNBNN", "I"), ("- con| gai|s - -", "NNINN", "B"), ("- chu|r ddau|zf - -", "NNINN", "B"), ("chat|zs ddoc|zj da| - -", "NNINN", "B"), ("- tai|s ddinh|j cu|w -", "NNINN", "B"), ("- - - - -", "NNBNN", "B"), ("- - - - -", "NNINN", "I")]
+MODEL = """True : object.conclusion = ""
+\tobject.tag == "B" : object.conclusion = "B"
+\t\tobject.prevWord1 == "con" and object.word == "gái" : object.conclusion = "I"
+\t\t\tobject.prevTag1 == "I" : object.conclusion = "B"
+\t\t\tobject.nextWord1 == "út" and object.nextTag1 == "I" : object.conclusion = "B"
+\t\tobject.prevWord2 == "một" and object.nextTag2 == "N" : object.conclusion = "I"
+\tobject.tag == "I" : object.conclusion = "I"
+\t\tobject.word == "," : object.conclusion = "B"
+"""
 
 
 def test_rules(spark):
-    rows = [([("" if w == "-" else w) for w in ws.split()], list(ts)) for ws, ts, _ in RDR]
-    got = rdr.retag(spark.createDataFrame(rows, "syllables array<string>, tags array<string>"), rdr.STARTER).collect()
-    assert [r["new_tags"][2] for r in got] == [want for _, _, want in RDR]
-    model = rdr.load('True : object.conclusion = "B"\n\tobject.word == "gái" and object.prevWord1 == "con" : object.conclusion = "I"\n\t\tobject.tag == "B" : object.conclusion = "B"\n')
-    assert rdr.Rules(model).tag(rdr.window(["con", "gái"], ["B", "I"], 1)) == "I"
-    assert rdr.Rules(model).tag(rdr.window(["con", "gái"], ["B", "B"], 1)) == "B"
+    (top,) = rdr.load(MODEL)
+    ask = lambda ws, ts, i: rdr.Rules(top.exceptions).tag(rdr.window(ws.split(), list(ts), i))
+    assert ask("con gái út", "BBB", 1) == "I"  # the rule
+    assert ask("con gái út", "BBI", 1) == "B"  # its second exception
+    assert ask("con gái", "IB", 1) == "B"  # its first exception
+    assert ask("một con gà", "BBB", 2) == "I" and ask("một con gà mái ạ", "BBBBB", 2) == "B"  # beyond the end tags are N
+    assert ask("a , b", "BIB", 1) == "B" and ask("a b", "NN", 1) == "N"
+    rows = [(["con", "gái", "út"], ["B", "B", "I"]), ([], []), (None, None)]
+    got = rdr.retag(spark.createDataFrame(rows, "syllables array<string>, tags array<string>"), top.exceptions).collect()
+    assert [r["new_tags"] for r in got] == [["B", "B", "I"], [], None]
     with pytest.raises(ValueError):
         rdr.load("what is this")
 
 
+def test_models_of_thousands_of_rules(spark):
+    """A model as large as a trained one: every rule is found, as one by one, and by a table of positions."""
+    rng = np.random.default_rng(7)
+    names, word = list(rdr.NAMES), lambda: f"w{rng.integers(40)}"
+    lines, flat = ['True : object.conclusion = ""'], []
+    for tag in "BI":
+        lines.append(f'\tobject.tag == "{tag}" : object.conclusion = "{tag}"')
+        for _ in range(1500):
+            when = {n: word() if "ord" in n else "NBI"[rng.integers(3)] for n in rng.choice(names[:5] + names[6:], rng.integers(1, 4), replace=False)}
+            out = "BI"[rng.integers(2)]
+            lines.append("\t\t" + " and ".join(f'object.{k} == "{v}"' for k, v in when.items()) + f' : object.conclusion = "{out}"')
+            flat.append((tag, {rdr.NAMES[k]: v for k, v in when.items()}, out))
+    (top,) = rdr.load("\n".join(lines))
+    model = rdr.Rules(top.exceptions)
+    for _ in range(300):
+        ws, ts = [word() for _ in range(7)], ["BI"[rng.integers(2)] for _ in range(7)]
+        for i in range(7):
+            at = rdr.window(ws, ts, i)
+            want = next((out for tag, when, out in flat if tag == ts[i] and all(at[k] == v for k, v in when.items())), ts[i])
+            assert model.tag(at) == want
+
+
 def test_hashes():
     assert [hashes.fnv1a32(x) for x in (b"", b"a", b"foobar")] == [0x811C9DC5, 0xE40C292C, 0xBF9CF968]
     assert [hashes.xxh32(b""), hashes.xxh32(bytes([42])), hashes.xxh32(b"", 2654435761)] == [0x02CC5D05, 0xE0FE705F, 0x36B78AE7]
@@ -102,7 +137,11 @@ def test_hashes():
         state, x = hashes.splitmix64(state)
         drawn.append(x)
     assert drawn == [8862613829200693549, 1009918040199880802, 8603670078971061766]
-    assert 0 <= hashes.city32(b"abcdefgh") < 1 << 32 and hashes.multiply_shift32(5) != hashes.multiply_shift32(5, True)
+    for n in range(40):
+        data = bytes(range(n))
+        assert hashes.xxh32(data, 7) == xxhash.xxh32_intdigest(data, 7)
+    with pytest.raises(ValueError):
+        hashes.city32(bytes(13))
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 1000, 100_000])
@@ -123,29 +162,102 @@ def test_fuse_layout_and_repeats():
 
 def test_members(spark):
     rows, keys = spark.range(1000).withColumnRenamed("id", "key"), spark.range(0, 1000, 7).withColumnRenamed("id", "key")
-    exact = {r["key"] for r in filters.members(rows, keys, most_bytes=0).collect()}
+    exact = {r["key"] for r in filters.members(rows, keys, exact=True).collect()}
     near = {r["key"] for r in filters.members(rows, keys).collect()}
     assert exact == set(range(0, 1000, 7)) <= near and len(near) < 160
+    blocks = [r["key"] for r in filters.members(rows, keys, shard_keys=40, most_bytes=100).collect()]
+    assert exact <= set(blocks) and len(blocks) == len(set(blocks)) < 160
     assert filters.members(rows, keys.limit(0)).count() == 0
+    f = filters.BinaryFuse.of(x * x for x in range(500))
+    assert f.n == 500 and f.contains(np.arange(500, dtype=np.uint64) ** np.uint64(2)).all()
+    counts = spark.createDataFrame([([5],), ([3],), ([5],), ([9],)], "ids array<int>")
+    ordered = [r["hash"] for r in filters.in_hash_order(filters.hash_counts(counts)).collect()]
+    assert ordered == sorted(ordered) and len(ordered) == 3
 
 
-def test_words(spark):
+@pytest.mark.parametrize("most", [words.MOST, 0])
+def test_words(spark, most):
+    """A dictionary that is held in each task, and one that is joined."""
     s = spark.createDataFrame([(1, ["học", "sinh", "học", "sinh", "học"]), (2, ["a"]), (3, [])], "sent_id long, syllables array<string>")
     d = spark.createDataFrame([("học sinh", 100), ("sinh học", 50)], "word string, n long")
-    got = {r["sent_id"]: "".join(r["tags"]) for r in words.segmented(s, d).collect()}
+    got = {r["sent_id"]: "".join(r["tags"]) for r in words.segmented(s, d, most=most).collect()}
     assert got == {1: "BIBIB", 2: "B", 3: ""}
-    assert {r["sent_id"]: "".join(r["tags"]) for r in words.greedy(s, d).collect()} == got
-    flags = {r["pos"]: r["flags"] for r in words.position_flags(words.lattice(s, d)).collect()}
-    assert flags == {0: words.BEGINS, 1: words.BEGINS | words.ENDS, 2: words.BEGINS | words.ENDS, 3: words.BEGINS | words.ENDS, 4: words.ENDS}
+    assert {r["sent_id"]: "".join(r["tags"]) for r in words.greedy(s, d, most=most).collect()} == got
+    want = {0: words.BEGINS, 1: words.BEGINS | words.ENDS, 2: words.BEGINS | words.ENDS, 3: words.BEGINS | words.ENDS, 4: words.ENDS}
+    for found in (words.position_flags(words.lattice(s, d, most=most)), words.flagged(s, d, most=most)):
+        assert {r["pos"]: r["flags"] for r in found.collect()} == want
     v = words.variants(spark.createDataFrame([("toi|z", 9), ("toi|s", 3)], "vocab string, n long"))
     pairs = spark.createDataFrame([("toi|z toi|s", 50)], "gram string, n_count long")
-    out = words.restored(spark.createDataFrame([(1, ["toi|", "toi|", "x"])], "sent_id long, syllables array<string>"), v, pairs).first()
+    out = words.restored(spark.createDataFrame([(1, ["toi|", "toi|", "x"])], "sent_id long, syllables array<string>"), v, pairs, most=most).first()
     assert out["restored"] == ["toi|z", "toi|s", "x"]
 
 
+def test_longer_words_both_ways(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [f"s{x}" for x in rng.integers(4, size=rng.integers(0, 30))]) for i in range(60)]
+    s = spark.createDataFrame(rows, "sent_id long, syllables array<string>")
+    d = spark.createDataFrame([(" ".join(f"s{x}" for x in rng.integers(4, size=n)), int(rng.integers(1, 50))) for n in (2, 2, 2, 3, 3, 3, 4, 4, 4, 4)], "word string, n long").dropDuplicates(["word"])
+    for f in (words.lattice, words.segmented, words.greedy, words.flagged):
+        a, b = (sorted(map(str, f(s, d, most=most).collect())) for most in (words.MOST, 0))
+        assert a == b
+    rows = {r["sent_id"]: r["syllables"] for r in s.collect()}
+    held = {r["word"]: r["n"] for r in d.collect()}
+    for r in words.segmented(s, d).collect():  # against all ways to cut a short sentence
+        w = rows[r["sent_id"]]
+        if len(w) <= 10:
+            cuts = lambda i: [[]] if i == len(w) else [[k, *c] for k in (1, 2, 3, 4) if i + k <= len(w) and (k == 1 or " ".join(w[i : i + k]) in held) for c in cuts(i + k)]
+            def score(c):
+                at, total = 0, 0.0
+                for k in c:
+                    total += -1.0 if k == 1 else 100.0 * (k - 1) + np.log10(held[" ".join(w[at : at + k])])
+                    at += k
+                return total
+            best = max(map(score, cuts(0)))
+            sizes = [len(x) for x in "".join(r["tags"]).replace("B", " B").split()]
+            assert abs(score(sizes) - best) < 1e-9
+
+
+def test_restored_paths_against_all():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        options = [[(f"x{j}", float(rng.integers(1, 4))) for j in rng.permutation(rng.integers(1, 4))] for _ in range(rng.integers(1, 6))]
+        pairs = {(f"x{a}", f"x{b}"): float(rng.integers(0, 3)) for a in range(3) for b in range(3)}
+        score = lambda p: sum(words.gain(n) for _, n in p) + sum(2 * words.gain(pairs[a[0], b[0]]) for a, b in itertools.pairwise(p))
+        assert words.restored_path(options, pairs) == [x for x, _ in max(itertools.product(*options), key=lambda p: (score(p), [x for x, _ in p]))]
+    assert words.restored_path([], {}) == []
+
+
+def test_listing_is_filled_greedily(spark):
+    rng = np.random.default_rng(4)
+    types = sorted({"".join(rng.choice(list("abcé"), rng.integers(1, 12))) for _ in range(400)} | {"x" * 79, "y" * 78, "z" * 200, "w" * 39, "v" * 38})
+    size = lambda t: len(t.encode())
+    want, line, used = {}, 0, 0
+    for t in sorted(types, key=lambda t: (-size(t), t)):
+        if used and used + size(t) >= 80:
+            line, used = line + 1, 0
+        want[t] = line
+        used += size(t) + 2
+    got = vocab.wrapped(spark.createDataFrame([(t,) for t in types], "token string"))
+    assert {r["token"]: r["line"] for r in got.collect()} == want
+    assert vocab.wrapped(got.limit(0)).count() == 0
+
+
+def test_smoothing(spark):
+    uni = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "gram string, n_count long")
+    bi = spark.createDataFrame([("a b", 2), ("a c", 1), ("b a", 1)], "gram string, n_count long")
+    q = spark.createDataFrame([("a b",), ("a a",), ("c b",), ("x y",)], "gram string")
+    got = {r["gram"]: r["score"] for r in ngrams.absolute_discount(q, uni, bi).collect()}
+    assert got == {"a b": round(1.25 / 3 + 1.25 / 3 * 2 / 6, 9), "a a": round(1.25 / 3 * 3 / 6, 9), "c b": round(2 / 6, 9), "x y": 0.0}
+
+
 def test_index(spark):
     t = tokens.tokenize(docs(spark, "a b a b", "b a"))
     p = {r["token"]: r for r in index.postings(t.where("category <> 'nonalpha'")).collect()}
+    d = docs(spark, "a b, a b", "b a", "", ".")
+    assert sorted(map(str, index.gathered(index.document_postings(d)).collect())) == sorted(map(str, index.postings(tokens.tokenize(d).where("category <> 'nonalpha'")).collect()))
+    assert [tuple(r) for r in tokens.token_at(d, 2).orderBy("doc_id").collect()] == [(0, ",", "nonalpha", 1), (1, "\n", "nonalpha", 3)]
     assert [(d["doc_id"], d["at"]) for d in p["a"]["docs"]] == [(0, [0, 2]), (1, [1])]
     assert sorted(map(tuple, index.phrase(t, ["a", "b", "a"]).collect())) == [(0, 0)]
     assert {(r["line"], r["doc_id"], r["n"]) for r in index.first_lines(docs(spark, "x\ny", "x\nx\n")).collect()} == {("x", 0, 3), ("y", 0, 1)}
