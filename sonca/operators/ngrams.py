@@ -22,7 +22,7 @@ BUCKETS = (("a", 2), ("b", 5), ("c", 11), ("d", 25), ("e", 80))
 
 
 def symbols(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, s: the symbols of each document in order."""
+    """doc_id, s: the symbols of each document in order, collapsed: no gram depends on how many blanks stand together."""
     return docs.select(F.col(key), tokens.symbols(F.col(text)).alias("s"))
 
 

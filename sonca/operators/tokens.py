@@ -93,17 +93,22 @@ def line_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", max_li
     return _opened(found, key, "line_no", array=F.col("pieces"))
 
 
+def _words_marked(text: Column) -> Column:
+    """A text with a mark before and after each word; what is no word stands between a mark after and one before."""
+    return F.concat(F.lit(f"{AFTER}\n"), F.regexp_replace(text, f"[{ALPHA}]+", f"{BEFORE}$0{AFTER}"), F.lit(f"\n{BEFORE}"))
+
+
 def line_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line_no, words: the words of each line in lower case."""
     rows = docs.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
-    return rows.select(key, "line_no", F.array_remove(F.split(F.lower(F.regexp_replace(prepared(F.col("line")), f"[^{ALPHA}]+", " ")), " "), "").alias("words"))
+    words = F.lower(F.regexp_replace(_words_marked(prepared(F.col("line"))), f"{AFTER}[^{BEFORE}]*{BEFORE}", " "))
+    return rows.select(key, "line_no", F.array_remove(F.split(words, " "), "").alias("words"))
 
 
 def symbols(text: Column) -> Column:
-    """The words of a text, BLANK for each other token."""
-    t = F.concat(prepared(text), F.lit("\n"))
-    t = F.regexp_replace(t, f"[\n{ESCAPED}]|[^{ALPHA}{SPACE}\n{ESCAPED}]+", f" {BLANK} ")
-    return F.array_remove(F.split(F.translate(t, SPACE, " " * len(SPACE)), " "), "")
+    """The words of a text; BLANK where other tokens stand, once for all that follow each other, and at either end."""
+    t = F.regexp_replace(_words_marked(prepared(text)), f"{AFTER}[{SPACE}]*{BEFORE}", " ")
+    return F.array_remove(F.split(F.regexp_replace(t, f"{AFTER}[^{BEFORE}]*{BEFORE}", f" {BLANK} "), " "), "")
 
 
 def attrs_byte(code: Column, fenced: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,13 +74,18 @@ def wrapped(found: DataFrame, width: int = WIDTH) -> DataFrame:
     line stays under `width` bytes, with two spaces between types.
 
     Lines follow from the rank of a type in its length. Ranks are found within short prefixes of types and moved on by
-    what stands before, so that no task has to sort a whole length. Only counts by length reach the driver.
+    what stands before, so that no task has to sort a whole length. Only the counts by length come together in one task.
     """
     rows = found.select("token", F.octet_length("token").alias("bytes"), F.substring("token", 1, 3).alias("prefix"))
     counts = rows.groupBy("bytes", "prefix").agg(F.count(F.lit(1)).alias("types"))
     before = counts.select("bytes", "prefix", (F.sum("types").over(Window.partitionBy("bytes").orderBy("prefix")) - F.col("types")).alias("before"))
-    lengths = [(r["bytes"], r["types"]) for r in counts.groupBy("bytes").agg(F.sum("types").alias("types")).orderBy(F.desc("bytes")).collect()]
-    starts = found.sparkSession.createDataFrame(line_starts(lengths, width), "bytes int, first long, fit long, per long")
+    def starts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths = sorted((x for b in stream for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), reverse=True)
+        names, rows = ("bytes", "first", "fit", "per"), line_starts(lengths, width)
+        yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int32() if n == "bytes" else pa.int64()) for i, n in enumerate(names)})
+
+    lengths = counts.groupBy("bytes").agg(F.sum("types").alias("types")).coalesce(1)  # a row for each length that occurs
+    starts = lengths.mapInArrow(starts, "bytes int, first long, fit long, per long")
     ranked = rows.withColumn("own", F.row_number().over(Window.partitionBy("bytes", "prefix").orderBy("token")) - 1).join(before, ["bytes", "prefix"]).join(F.broadcast(starts), "bytes")
     rank = F.col("before") + F.col("own")
     line = F.when(rank < F.col("fit"), F.col("first")).otherwise(F.col("first") + 1 + F.floor((rank - F.col("fit")) / F.col("per")))

@@ -11,6 +11,8 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -51,17 +53,22 @@ class Dictionary:
                     yield i, size, self.words[gram]
 
 
-def small(table: DataFrame, *texts: str, most: int = MOST, most_bytes: int = MOST_BYTES) -> bool:
-    """Whether a table is so small that the driver and each task may hold it."""
-    size = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum((F.octet_length(t) for t in texts), F.lit(0))), F.lit(0)).alias("bytes")).first()
-    return size["n"] <= most and size["bytes"] <= most_bytes
+def small_table(table: DataFrame, *texts: str, most: int = MOST, most_bytes: int = MOST_BYTES) -> pa.Table | None:
+    """A table so small that the driver and each task may hold it; None if it is larger. It is made once."""
+    held = table.persist(StorageLevel.DISK_ONLY)
+    try:
+        size = held.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum((F.octet_length(t) for t in texts), F.lit(0))), F.lit(0)).alias("bytes")).first()
+        return held.toArrow() if size["n"] <= most and size["bytes"] <= most_bytes else None
+    finally:
+        held.unpersist()
 
 
 def held(dictionary: DataFrame, most: int = MOST):
     """A broadcast of a dictionary, or None if it is too large for one."""
-    if not small(dictionary, "word", most=most):
+    found = small_table(dictionary.select("word", F.col("n").cast("long").alias("n")), "word", most=most)
+    if found is None:
         return None
-    return dictionary.sparkSession.sparkContext.broadcast(Dictionary({r["word"]: r["n"] for r in dictionary.select("word", "n").collect()}))
+    return dictionary.sparkSession.sparkContext.broadcast(Dictionary(dict(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True))))
 
 
 def _in_rows(of, returns):
@@ -227,16 +234,22 @@ def restored(sentences: DataFrame, options_of: DataFrame, bigrams: DataFrame, ke
     the pairs that decide between some fit a broadcast, each row is done by itself; else only the pairs of a sentence's
     own options reach it, by joins. A pair of two syllables without other options decides nothing.
     """
-    several = options_of.where(F.size("variants") > 1).select(F.explode("variants.vocab").alias("x"))
-    pair = F.split("gram", " ")
-    open_pairs = bigrams.withColumns({"a": F.get(pair, 0), "b": F.get(pair, 1)})
-    open_pairs = open_pairs.join(several.select(F.col("x").alias("a"), F.lit(True).alias("first")).distinct(), "a", "left").join(several.select(F.col("x").alias("b"), F.lit(True).alias("second")).distinct(), "b", "left").where("first or second").select("a", "b", "n_count")
-    if small(options_of.select("bare", F.array_join("variants.vocab", "").alias("all")), "bare", "all", most=most) and small(open_pairs, "a", "b", most=most):
-        options = {r["bare"]: [(v["vocab"], float(v["n"])) for v in r["variants"]] for r in options_of.collect()}
-        pairs = {(r["a"], r["b"]): float(r["n_count"]) for r in open_pairs.collect()}
-        shared = sentences.sparkSession.sparkContext.broadcast((options, pairs))
-        each = _in_rows(lambda s: restored_path([shared.value[0].get(x) or [(x, 0.0)] for x in s], shared.value[1]), ArrayType(StringType()))
-        return sentences.select(key, syllables, each(F.col(syllables)).alias("restored"))
+    # A syllable whose only form is itself needs no options.
+    some = options_of.where((F.size("variants") > 1) | (F.col("variants")[0]["vocab"] != F.col("bare"))).select("bare", F.col("variants.vocab").alias("x"), F.col("variants.n").alias("n"), F.array_join("variants.vocab", "").alias("all"))
+    options = small_table(some, "bare", "all", most=most)
+    if options is not None:
+        options = {b: [(x, float(n)) for x, n in zip(xs, ns, strict=True)] for b, xs, ns in zip(*(options[c].to_pylist() for c in ("bare", "x", "n")), strict=True)}
+        several = sentences.sparkSession.createDataFrame(pa.table({"x": pa.array([x for o in options.values() if len(o) > 1 for x, _ in o], pa.string())}))
+        pair = F.split("gram", " ")
+        open_pairs = bigrams.select(F.get(pair, 0).alias("a"), F.get(pair, 1).alias("b"), F.col("n_count").cast("long").alias("n"))
+        for side in ("a", "b"):
+            open_pairs = open_pairs.join(F.broadcast(several.select(F.col("x").alias(side), F.lit(True).alias(f"open_{side}"))), side, "left")
+        pairs = small_table(open_pairs.where("open_a or open_b").select("a", "b", "n"), "a", "b", most=most)
+        if pairs is not None:
+            pairs = {(a, b): float(n) for a, b, n in zip(*(pairs[c].to_pylist() for c in ("a", "b", "n")), strict=True)}
+            shared = sentences.sparkSession.sparkContext.broadcast((options, pairs))
+            each = _in_rows(lambda s: restored_path([shared.value[0].get(x) or [(x, 0.0)] for x in s], shared.value[1]), ArrayType(StringType()))
+            return sentences.select(key, syllables, each(F.col(syllables)).alias("restored"))
     return _restored_by_joins(sentences, options_of, bigrams, key, syllables)
 
 

@@ -54,12 +54,10 @@ def telexify(docs: DataFrame, out: str, mode: str = "dense", grams: bool = False
 def telegram(spark: SparkSession, path: str, out: str) -> dict[int, int]:
     """Writes the blank-aware 1- to 4-grams of encoded text by bucket; returns how many distinct ones there are."""
     held = io.encoded(spark, path).select(F.transform("ids", lambda i: F.when(i == 32767, "#").otherwise(i.cast("string"))).alias("s"))
-    sizes = {}
-    for n in range(1, 5):
-        counts = ngrams.without_singles(ngrams.blank_aware(held, n, padded=True), n)
-        io.write_buckets(counts, n, out)
-        sizes[n] = spark.read.parquet(out).where(F.col("n") == n).count()
-    return sizes
+    counts = ngrams.without_singles(ngrams.blank_aware_of(held, range(1, 5), padded=True))
+    io.write_buckets(counts, out)
+    sizes = {r["n"]: r["count"] for r in spark.read.parquet(out).groupBy("n").count().collect()}
+    return {n: sizes.get(n, 0) for n in range(1, 5)}
 
 
 def stats(spark: SparkSession, frequencies: DataFrame | None = None) -> dict[str, int]:

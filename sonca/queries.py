@@ -90,7 +90,7 @@ def _backoff(s: DataFrame) -> DataFrame:
 
 
 def _buckets(s: DataFrame) -> DataFrame:
-    return ngrams.bucket_sizes(ngrams.without_singles(ngrams.blank_aware_of(s, (2, 3, 4))), "n")
+    return ngrams.bucket_sizes(ngrams.without_singles(ngrams.blank_aware_of(s, (2, 3, 4), padded=True)), "n")
 
 
 def _summaries(s: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def _summaries(s: DataFrame) -> DataFrame:
 
 def _collapse(s: DataFrame) -> DataFrame:
     c = s.select("doc_id", ngrams.collapsed(F.col("s")).alias("c"))
-    return c.select("doc_id", F.size("c").alias("n_symbols"), F.size(F.filter("c", lambda x: x != "#")).alias("n_words"))
+    return c.select("doc_id", F.size("c").alias("n_symbols"), F.size(F.array_remove("c", "#")).alias("n_words"))
 
 
 def _routes(d: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ QUERIES: dict[str, Query] = {
     "fourgrams": on_symbols(lambda s: ngrams.grams(s, 4)),
     "fivegrams": on_symbols(lambda s: ngrams.grams(s, 5)),
     "ngrams_6_8": on_symbols(lambda s: ngrams.grams_of(s, range(6, 9))),
-    "ngrams_blank_aware": on_symbols(lambda s: ngrams.blank_aware_of(s, range(1, 5))),
+    "ngrams_blank_aware": on_symbols(lambda s: ngrams.blank_aware_of(s, range(1, 5), padded=True)),
     "blank_collapse": on_symbols(_collapse),
     "ngram_summary": on_symbols(_summaries),
     "ngram_min_count": on_symbols(lambda s: ngrams.pruned(ngrams.grams(s, 2), distinct=1000)),

@@ -80,6 +80,6 @@ def write_grams(counts: DataFrame, path: str) -> None:
     ngrams.listing(counts).write.mode("overwrite").text(path)
 
 
-def write_buckets(counts: DataFrame, n: int, path: str) -> None:
-    """Grams in a folder for each length and bucket of counts."""
-    counts.withColumns({"n": F.lit(n), "bucket": ngrams.bucket(F.col("n_count"))}).write.mode("append").partitionBy("n", "bucket").parquet(path)
+def write_buckets(counts: DataFrame, path: str) -> None:
+    """Grams (n, gram, n_count) in a folder for each length and bucket of counts."""
+    counts.withColumn("bucket", ngrams.bucket(F.col("n_count"))).write.mode("append").partitionBy("n", "bucket").parquet(path)
