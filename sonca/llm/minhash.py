@@ -10,7 +10,8 @@
 4. Links become components by repeated minima over neighbours with pointer jumping, in tables of the shared folder.
 5. Members that share a smallest key but not its component are gone over again: each that is not linked with that key
    is held against the others of different components, in blocks of bounded size with an index of their shingles, so
-   that no pairs are formed but those that link two components. Linked members are left out if a triangle of Jaccard
+   that no pairs are formed but those that link two components. Both those that are held against others and the others
+   are dealt into blocks; each two blocks of a group meet in a task of their own. Linked members are left out if a triangle of Jaccard
    distances rules the link out, that is if the other is surely further than twice the allowed distance from the key.
 
 With 32 bands of 5 rows a pair at similarity 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6.
@@ -40,7 +41,9 @@ from pyspark.sql.types import BinaryType
 
 from . import common
 
-SHINGLE, PERCENT, BANDS, ROWS, STEP, MISS, MOST, BLOCK = 5, 80, 32, 5, 16, 1e-6, 1_000_000, 2_000_000
+SHINGLE, PERCENT, BANDS, ROWS, STEP, MISS, MOST = 5, 80, 32, 5, 16, 1e-6, 1_000_000
+#: Shingles of a block: where a group has up to SHARES blocks, and at most.
+LEAST, BLOCK, SHARES = 16_000, 2_000_000, 8
 SIZE = BANDS * ROWS
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, SIZE, dtype=np.uint64) | np.uint64(1)
@@ -179,7 +182,7 @@ class _Block:
     """Shingle sets of some members of a group, indexed by shingle."""
 
     def __init__(self, members: list[tuple]) -> None:
-        _, _, _, ids, comps, links, _, sets = zip(*members, strict=True)
+        ids, comps, links, _, sets = zip(*(m[4:] for m in members), strict=True)
         self.ids, self.codes, self.links = ids, {c: i for i, c in enumerate(dict.fromkeys(comps))}, np.array(links)
         self.comps = np.array([self.codes[c] for c in comps])
         arrays = [np.frombuffer(x, np.uint64) for x in sets]
@@ -201,6 +204,11 @@ class _Block:
             yield min(self.ids[i], node), max(self.ids[i], node)
 
 
+def _blocks(shingles: Column) -> Column:
+    """How many blocks a group of so many shingles is dealt into: small ones while these are few, then larger ones."""
+    return F.greatest(F.lit(1), F.least(F.ceil(shingles / LEAST), F.greatest(F.lit(SHARES), F.ceil(shingles / BLOCK)))).cast("int")
+
+
 def _across(star: DataFrame, comp: DataFrame, rows: DataFrame, docs: DataFrame, scratch: common.Scratch, key: str, text: str, n: int, percent: int) -> DataFrame:
     """Links between components among the members of a star: head, id, link, far."""
     of = comp.select(F.col("node"), F.col("comp"))
@@ -208,12 +216,14 @@ def _across(star: DataFrame, comp: DataFrame, rows: DataFrame, docs: DataFrame,
     tagged = tagged.join(of.select(F.col("node").alias("head"), F.col("comp").alias("own")), "head", "left").withColumn("own", F.coalesce("own", "head"))
     tagged = tagged.withColumn("query", ~F.col("link") & (F.col("comp") != F.col("own")))
     tagged = tagged.join(rows.select(F.col("node").alias("id"), "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
-    heads = tagged.groupBy("head").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.max(F.col("query").cast("int")).alias("open"), F.count(F.lit(1)).alias("members")).where("open = 1 and members > 1").select("head", "blocks")
-    rest = scratch.keep(tagged.join(heads, "head").select("head", "blocks", "id", "comp", "link", "far", "query"), "rest")
+    heads = tagged.groupBy("head").agg(_blocks(F.sum("n")).alias("blocks"), _blocks(F.sum(F.when(F.col("query"), F.col("n")).otherwise(0))).alias("slices"), F.max(F.col("query").cast("int")).alias("open"), F.count(F.lit(1)).alias("members")).where("open = 1 and members > 1").select("head", "blocks", "slices")
+    rest = scratch.keep(tagged.join(heads, "head").select("head", "blocks", "slices", "id", "comp", "link", "far", "query"), "rest")
     held = _sets(rest.select("id"), docs, scratch, "2", key, text, n)
-    target = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(0))
-    asking = rest.where("query").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(1))
-    cols = ["head", "block", "asks", "id", "comp", "link", "far"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    target = rest.withColumn("block", own("blocks", 1)).withColumn("slice", every("slices")).withColumn("asks", F.lit(0))
+    asking = rest.where("query").withColumn("slice", own("slices", 2)).withColumn("block", every("blocks")).withColumn("asks", F.lit(1))
+    cols = ["head", "block", "slice", "asks", "id", "comp", "link", "far"]
     both = target.select(*cols).unionByName(asking.select(*cols)).join(held, "id").select(*cols, "set")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,21 +232,21 @@ def _across(star: DataFrame, comp: DataFrame, rows: DataFrame, docs: DataFrame,
         def links(batch: pa.RecordBatch) -> Iterator[tuple]:
             nonlocal group, members, block
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] != group:
-                    group, members, block = row[:2], [], None
-                if row[2] == 0:
+                if row[:3] != group:
+                    group, members, block = row[:3], [], None
+                if row[3] == 0:
                     members.append(row)
                     continue
                 if block is None:
                     block, members = _Block(members) if members else None, []
                 if block is not None:
-                    yield from block.linked(row[3], row[4], row[6], row[7], percent)
+                    yield from block.linked(row[4], row[5], row[7], row[8], percent)
 
         for batch in stream:
             if batch.num_rows:
                 yield from common.batches(pa.schema([("a", pa.binary()), ("b", pa.binary())]), links(batch))
 
-    out = both.repartition("head", "block").sortWithinPartitions("head", "block", "asks").mapInArrow(run, "a binary, b binary")
+    out = both.repartition("head", "block", "slice").sortWithinPartitions("head", "block", "slice", "asks").mapInArrow(run, "a binary, b binary")
     return scratch.keep(out, "links2")
 
 
