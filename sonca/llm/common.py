@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -56,10 +57,16 @@ def _conf(spark: SparkSession, **values: str) -> Iterator[None]:
 
 
 class Scratch:
-    """Tables in the shared folder that cut lineage: a lost executor's work is read again, not redone."""
+    """Tables in the shared folder that cut lineage: a lost executor's work is read again, not redone.
+
+    What an operator returns may read its tables at any time, so they stay until `dropped` is left or the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if not _made:
+            atexit.register(_end)
+        _made.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns the written table; shuffle files of the write go with it."""
@@ -71,8 +78,37 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def end(self) -> None:
+        """Deletes all tables."""
+        self._delete(self.root)
+        _made.remove(self)
+
+    def _delete(self, place: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_made: list[Scratch] = []
+
+
+def _end() -> None:
+    """At the driver's end, as far as its context still runs."""
+    for scratch in list(_made):
+        if scratch.spark.sparkContext._jsc is not None:
+            scratch.end()
+
+
+@contextmanager
+def dropped() -> Iterator[None]:
+    """Deletes the tables of all scratch spaces that are made inside, once nothing made there is read any more."""
+    before = list(_made)
+    try:
+        yield
+    finally:
+        for scratch in [x for x in _made if x not in before]:
+            scratch.end()
 
 
 def batches(schema: pa.Schema, rows: Iterable[tuple], size: int = 4096) -> Iterator[pa.RecordBatch]:

@@ -235,6 +235,8 @@ def _subframe(data: bytes, n: int) -> tuple[np.ndarray, int]:
     bits, at, shift, taps = np.unpackbits(np.frombuffer(data, np.uint8)), 8 + 8 * order, 0, FIXED[order] if kind < 32 else ()
     if kind >= 32:
         precision, shift, at = _value(bits, at, 4) + 1, _signed(_value(bits, at + 4, 5), 5), at + 9
+        if precision == 16 or shift < 0:
+            raise ValueError("a reserved predictor")
         taps = [_signed(_value(bits, at + i * precision, precision), precision) for i in range(order)]
         at += precision * order
     residual, at = _residual(bits, at, n, order)
@@ -260,6 +262,8 @@ def _fixed(head: np.ndarray, residual: np.ndarray, order: int) -> np.ndarray:
 
 def _residual(bits: np.ndarray, at: int, n: int, order: int) -> tuple[np.ndarray, int]:
     wide, parts, find, out = 4 + _value(bits, at, 2), _value(bits, at + 2, 4), bits.tobytes().find, []
+    if wide > 5:
+        raise ValueError("a reserved residual coding")
     at += 6
     for p in range(1 << parts):
         m, k, at = (n >> parts) - (order if p == 0 else 0), _value(bits, at, wide), at + wide
