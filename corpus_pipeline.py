@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonca.llm import decontamination, minhash, packing, quality, substring_dedup
-from sonca.llm.common import Scratch, small_batches, table
+from sonca.llm.common import Scratch, dropped, small_batches, table
 from sonca.llm.queries import PACKING, vocabulary
 
 #: Words of a passage that is cut where it repeats.
@@ -57,7 +57,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with dropped():  # what a stage has set aside is not read once its result is written
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
         if i:
             scratch.drop(STAGES[i - 1][0])
     return docs
