@@ -147,7 +147,7 @@ def _survivors(pairs: DataFrame, reps: DataFrame, t: float) -> DataFrame:
 def _sets(ids: DataFrame, docs: DataFrame, scratch: common.Scratch, tag: str, key: str, text: str, n: int) -> DataFrame:
     """id, set: the full shingle sets of the given nodes, written; only the texts of their keys are read again."""
     ids = scratch.keep(ids.distinct(), f"ids{tag}")
-    side = F.broadcast(ids) if ids.count() <= MOST else ids
+    side = _small(ids)
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text")).join(side.select(_key(F.col("id")).alias("key")), "key", "left_semi")
 
     def sets(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -204,6 +204,11 @@ class _Block:
             yield min(self.ids[i], node), max(self.ids[i], node)
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table as a broadcast if it has at most MOST rows, of a few bytes each."""
+    return F.broadcast(table) if table.count() <= MOST else table
+
+
 def _blocks(shingles: Column) -> Column:
     """How many blocks a group of so many shingles is dealt into: small ones while these are few, then larger ones."""
     return F.greatest(F.lit(1), F.least(F.ceil(shingles / LEAST), F.greatest(F.lit(SHARES), F.ceil(shingles / BLOCK)))).cast("int")
@@ -213,11 +218,14 @@ def _across(star: DataFrame, comp: DataFrame, rows: DataFrame, docs: DataFrame,
     """Links between components among the members of a star: head, id, link, far."""
     of = comp.select(F.col("node"), F.col("comp"))
     tagged = star.join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    tagged = tagged.join(of.select(F.col("node").alias("head"), F.col("comp").alias("own")), "head", "left").withColumn("own", F.coalesce("own", "head"))
-    tagged = tagged.withColumn("query", ~F.col("link") & (F.col("comp") != F.col("own")))
     tagged = tagged.join(rows.select(F.col("node").alias("id"), "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
+    # A head may be that of a third of all rows, so its own rows are not dealt by it: what is known of heads is joined as
+    # a broadcast of checked size; more of them are joined by Spark, which splits a head that is too frequent.
+    known = star.select("head").distinct().join(of.select(F.col("node").alias("head"), F.col("comp").alias("own")), "head", "left")
+    tagged = tagged.join(_small(scratch.keep(known.select("head", F.coalesce("own", "head").alias("own")), "heads")), "head")
+    tagged = scratch.keep(tagged.withColumn("query", ~F.col("link") & (F.col("comp") != F.col("own"))), "tagged")
     heads = tagged.groupBy("head").agg(_blocks(F.sum("n")).alias("blocks"), _blocks(F.sum(F.when(F.col("query"), F.col("n")).otherwise(0))).alias("slices"), F.max(F.col("query").cast("int")).alias("open"), F.count(F.lit(1)).alias("members")).where("open = 1 and members > 1").select("head", "blocks", "slices")
-    rest = scratch.keep(tagged.join(heads, "head").select("head", "blocks", "slices", "id", "comp", "link", "far", "query"), "rest")
+    rest = scratch.keep(tagged.join(_small(scratch.keep(heads, "open")), "head").select("head", "blocks", "slices", "id", "comp", "link", "far", "query"), "rest")
     held = _sets(rest.select("id"), docs, scratch, "2", key, text, n)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
@@ -309,8 +317,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     scratch = common.Scratch(docs.sparkSession, "minhash")
     found = scratch.keep(_judged(docs, key, text, shingle, percent).where("doc_id is not null").select("doc_id", "node", "kept"), "found")
     keys = scratch.keep(found.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every")).where("not every").select(F.col("doc_id").alias("__sonca_key"), "some"), "gone")
-    small = lambda t: F.broadcast(t) if t.count() <= MOST else t
-    gone, mixed = (small(keys.where(c).select("__sonca_key")) for c in ("not some", "some"))
+    gone, mixed = (_small(keys.where(c).select("__sonca_key")) for c in ("not some", "some"))
     left = docs.join(gone, docs[key].cast("long") == gone["__sonca_key"], "left_anti")
     if mixed.isEmpty():
         return left
@@ -323,4 +330,4 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
 
     flagged = left.join(mixed, left[key].cast("long") == mixed["__sonca_key"], "left")
     own = flagged.withColumn("__sonca_digest", digests(F.when(F.col("__sonca_key").isNotNull(), F.col(text).cast("string"))))
-    return own.join(small(nodes), ["__sonca_key", "__sonca_digest"], "left_anti").select(*docs.columns)
+    return own.join(_small(nodes), ["__sonca_key", "__sonca_digest"], "left_anti").select(*docs.columns)
