@@ -90,9 +90,10 @@ def test_count_filter_loses_no_match_beside_a_shorter_item(short):
 
 def test_recall_at_all_the_edits_allowed():
     rng, found, planted = random.Random(11), Counter(), Counter()
-    for n in (8, 14, 20, 40, 60, 100):
+    tried = {8: 100, 14: 100, 20: 100, 40: 100, 60: 100, 100: 60, 150: 40, 300: 20}
+    for n, most in tried.items():
         d = decontamination.allowed(n)
-        while planted[n] < 100:
+        while planted[n] < most:
             item = [f"w{rng.randrange(10**6)}" for _ in range(n)]
             x = list(item)
             for _ in range(d):
@@ -105,7 +106,7 @@ def test_recall_at_all_the_edits_allowed():
                 planted[n] += 1
                 found[n] += [(k, e, m) for k, e, m, _ in block.matches(" ".join(text))] == [(1, d, n)]
     print(dict(found))
-    assert sum(found.values()) >= 0.99 * sum(planted.values()) and min(found.values()) >= 97, found
+    assert sum(found.values()) >= 0.99 * sum(planted.values()) and all(found[n] >= 0.95 * tried[n] for n in tried), found
 
 
 def test_walks_are_the_same_for_the_same_strings():
@@ -148,6 +149,24 @@ def test_html_of_pages(spark):
                 assert " ".join(p.split()) in got.text[k]
 
 
+def test_html_of_odd_rows(spark):
+    """Nulls, empty and repeated rows, clashing columns, a very long page, elements that never end; no pages at all."""
+    p = "<p>A paragraph that is long enough to be read as a part of the text, number %d.</p>"
+    long = "<html><body><article>" + "".join(p % i for i in range(20_000)) + "</article></body></html>"
+    open_ = "<html><body><article>" + p % 1 + "<button>" * 20_000 + p % 2 + "</article></body></html>"
+    rows = [(1, "u", long, "x", 5), (2, None, None, "y", 6), (3, "", "", None, None), (None, "n", "<body><article>" + p % 7 + "</article>", "z", 1), (1, "u", long, "x", 5), (4, "o", open_, "t", 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = html_extract.main_text(pages).collect()
+    assert Counter((r["page_id"], r["url"]) for r in got) == Counter(r[:2] for r in rows)
+    by = {r["page_id"]: r for r in got}
+    assert by[1]["text"].count("number") == 20_000 and by[1]["text"].endswith("number 19999.")
+    assert by[2]["text"] == by[3]["text"] == "" and by[2]["n_chars"] == 0
+    assert by[None]["text"] == "A paragraph that is long enough to be read as a part of the text, number 7."
+    assert "number 2" in by[4]["text"]
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    assert html_extract.main_text(pages.limit(0)).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
@@ -250,6 +269,76 @@ def test_flac_round_trip(seed):
             flac.decode(bytes(broken))
 
 
+def flac_bits(value, size):
+    return [(value >> i) & 1 for i in range(size - 1, -1, -1)]
+
+
+def rice_bits(r, k):
+    u = 2 * r if r >= 0 else -2 * r - 1
+    return [0] * (u >> k) + [1] + flac_bits(u & ((1 << k) - 1), k)
+
+
+def hand_made(x, taps, shift, precision, wide, plan):
+    """The bits of a subframe with a general predictor; plan: for each partition a Rice parameter, or an escape's width."""
+    order, out = len(taps), []
+    out += flac_bits((31 + len(taps)) << 1, 8)
+    for v in x[:order]:
+        out += flac_bits(v & 255, 8)
+    out += flac_bits(precision - 1, 4) + flac_bits(shift & 31, 5)
+    for c in taps:
+        out += flac_bits(c & ((1 << precision) - 1), precision)
+    out += flac_bits(wide - 4, 2) + flac_bits(len(plan).bit_length() - 1, 4)
+    residual = [x[i] - (sum(c * x[i - 1 - j] for j, c in enumerate(taps)) >> shift) for i in range(order, len(x))]
+    at, size = 0, len(x) // len(plan)
+    for p, (kind, k) in enumerate(plan):
+        part = residual[at : at + size - (order if p == 0 else 0)]
+        at += len(part)
+        if kind == "rice":
+            out += flac_bits(k, wide)
+            for r in part:
+                out += rice_bits(r, k)
+        else:
+            out += [1] * wide + flac_bits(k, 5)
+            for r in part:
+                out += flac_bits(r & ((1 << k) - 1), k)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_flac_streams_made_by_hand(seed):
+    """General predictors, escaped partitions and five-bit Rice parameters, which the writer never makes."""
+    rng = np.random.default_rng(seed)
+    order, n, precision, shift = int(rng.integers(1, 9)), 64 * int(rng.integers(1, 5)), int(rng.integers(3, 13)), int(rng.integers(0, 8))
+    x = (np.cumsum(rng.integers(-3, 4, n)) % 200 - 100).tolist()
+    taps = rng.integers(-(1 << (precision - 1)), 1 << (precision - 1), order).tolist()
+    wide, parts = (4, 5)[seed % 2], 1 << int(rng.integers(0, 3))
+    plan = [("rice", int(rng.integers(4, 15 if wide == 4 else 25))) if rng.random() < 0.6 else ("escape", 24) for _ in range(parts)]
+    bits = hand_made(x, taps, shift, precision, wide, plan)
+    body = np.packbits(np.array(bits, np.uint8)).tobytes()
+    got, used = flac._subframe(body + b"rest", n)
+    assert got.tolist() == x and used == len(body)
+    samples = np.array(x, np.int8).tobytes()
+    head = b"\xff\xf8\x70\x02" + b"\x00" + (n - 1).to_bytes(2, "big")
+    frame = head + bytes([flac.crc8(head)]) + body
+    frame += flac.crc16(frame).to_bytes(2, "big")
+    info = n.to_bytes(2, "big") * 2 + len(frame).to_bytes(3, "big") * 2 + ((8000 << 44) | (7 << 36) | n).to_bytes(8, "big") + hashlib.md5(samples).digest()
+    stream = b"fLaC\x80" + len(info).to_bytes(3, "big") + info + frame
+    assert flac.decode(stream) == bytes((v + 128) for v in x)
+    with pytest.raises(ValueError):
+        flac.decode(stream[:-1] + bytes([stream[-1] ^ 1]))
+
+
+def test_flac_codings_that_are_reserved():
+    for bits in ([*flac_bits(63 << 1, 8)] + [0] * 400, flac_bits(8 << 1, 8) + flac_bits(2, 2) + [0] * 400, flac_bits(32 << 1, 8) + flac_bits(0, 8) + [1] * 4 + [0] * 400, flac_bits(32 << 1, 8) + flac_bits(0, 8) + flac_bits(3, 4) + flac_bits(31, 5) + [0] * 400):
+        with pytest.raises((ValueError, IndexError)):
+            flac._subframe(np.packbits(np.array(bits, np.uint8)).tobytes(), 64)
+
+
+def test_flac_of_no_documents(spark, docs):
+    assert flac.digests(flac.media_columns(docs.limit(0))).count() == 0
+    assert flac.pcm_blocks(flac.media_columns(docs.limit(0))).count() == 0
+
+
 def test_flac_of_documents(spark, docs, rows):
     got = flac.digests(flac.media_columns(docs)).collect()
     assert len(got) == len(rows)
