@@ -68,6 +68,7 @@ class Page:
                     self.blocks.append((stack[-1], text, linked))
                 held, linked = [], 0
 
+        endless, body = set(), False
         for m in _TAG.finditer(html):
             if m.start() < at:
                 continue
@@ -90,11 +91,13 @@ class Page:
                 continue
             if name in RAW:
                 if not end and not (m[3] or m[6] or "").rstrip().endswith("/"):
-                    close = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+                    close = None if name in endless else re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
                     if close:
                         at = close.end()
                     elif name in TO_END:
                         at = len(html)
+                    else:
+                        endless.add(name)  # nor will a later one find its end
                 continue
             flush()
             if end:
@@ -107,8 +110,9 @@ class Page:
             if name == "html":
                 continue
             if name == "body":
-                if any(t == "body" for t in self.tags):
+                if body:
                     continue
+                body = True
             if name in CLOSES_P:
                 for i in range(len(stack) - 1, 0, -1):
                     if self.tags[stack[i]] == "p":

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -131,6 +132,17 @@ def test_html_after_an_element_without_end(name):
     assert "All that follows, long enough to be read as well." in " ".join(t for _, t, _ in html_extract.Page(page).blocks)
 
 
+def test_html_takes_time_in_proportion():
+    def took(n):
+        page = "<body><article><p>Text.</p>" + "<button>x</button><button><svg><body>" * n
+        began = time.process_time()
+        html_extract.Page(page)
+        return time.process_time() - began
+
+    took(100)
+    assert min(took(16_000) for _ in range(3)) < 10 * min(took(4_000) for _ in range(3)) + 0.05
+
+
 @pytest.mark.parametrize("name", ["script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"])
 def test_html_after_raw_text_without_end(name):
     page = f"<body><p>Before.</p><{name}><p>Within.</p></body>"
