@@ -180,6 +180,31 @@ known as (select token, case when marked then 'syllmark' else 'syll0m0t' end as
   token = upper(token) and token <> lower(token) and (length(token) > 1 or regexp_matches(l, '[{doubled}]')) as all_upper from bare_types join sp using (letters, tone))"""
 
 
+#: Nuclei in Telex, as they may be typed.
+TYPED = "a:a aa:az az:az aw:aw e:e ee:ez ez:ez i:i ia:ia ie:iez iee:iez iez:iez y:y ye:iez yee:iez yez:iez o:o oo:ooo oz:oz ow:ow oe:oe oa:oa oaz:uaz oaw:oaw u:u ua:ua uaa:uaz uaz:uaz uaw:uaw ue:uez uee:uez uez:uez uw:uw uwa:uaw uwo:uow uwow:uow uoo:uoz uoz:uoz uow:uow uoww:uow uy:uy uya:uya uye:uyez uyee:uyez uyez:uyez"
+
+
+def _loose(texts: str) -> str:
+    """loose: token of each token of texts(token) that may be Vietnamese, marks and tones in ASCII as well."""
+    onsets = ", ".join(f"({_q(a)}, {_q(b)})" for a, b in [("", ""), *_pairs(ONSETS.replace("đ:", "dd:"))])
+    nuclei = ", ".join(f"({_q(a)}, {_q(b)})" for a, b in _pairs(TYPED))
+    takes = ", ".join(f"({_q(d)}, {_q(g)}, {_q(c)})" for d, g, c in [("*", g, c) for g, cs in ALLOWED.items() for c in cs] + [(d, g, c) for (d, g), cs in WITH_ONSET.items() for c in cs])
+    own = " or ".join(f"(dau = {_q(d)} and giua = {_q(g)})" for d, g in WITH_ONSET)
+    barred = ", ".join(f"({_q(d)}, {_q(g)})" for d, gs in BARRED.items() for g in gs)
+    tone = "".join(f" || case when regexp_matches(l, '[{v}]') then {_q(t)} else '' end" for t, v in TONED.items())
+    turned = "b"
+    for a, first in (("ă", "a"), ("ơ", "o"), ("ư", "u"), ("w", "")):
+        turned = f"regexp_replace(regexp_replace({turned}, '{a}[oơô]', '{first}ow', 'g'), '{a}[ăâ]', '{first}aw', 'g')"
+    for a, telex in (("ă", "aw"), ("â", "az"), ("ê", "ez"), ("ô", "oz"), ("ơ", "ow"), ("ư", "uw"), ("đ", "dd"), ("ð", "dd")):
+        turned = f"replace({turned}, '{a}', '{telex}')"
+    return f"""
+lo_on(o, dau) as (values {onsets}), lo_nu(v, giua) as (values {nuclei}), lo_takes(d, g, c) as (values {takes}), lo_tones(t) as (values {", ".join(f"({_q(t)})" for t in TONES)}),
+typed as (select o || v || c || t as letters, t, c in ('c', 'ch', 'p', 't') as stop from lo_on, lo_nu, lo_takes, lo_tones
+  where g = case when giua = 'uow' and c = '' and t = '' then 'ua' else giua end and d = (case when {own} then dau else '*' end) and (dau, giua) not in ({barred}) and not (o = 'g' and regexp_matches(v || c, '^i[eyuioa]'))),
+lo_text as (select token, {turned} as letters, tone from (select token, translate(l, '{"".join(TONED.values())}', '{UNTONED * len(TONED)}') as b, ''{tone} as tone from (select token, nfc_normalize(lower(token)) as l from ({texts})))),
+loose as (select distinct token from lo_text join typed using (letters) where length(letters) <= 10 and length(tone) <= 1 and (t = '' or (tone = '' and right(token, 1) = t)) and (not stop or tone || t in ('s', 'j')))"""
+
+
 _SHOWN_IDS = f"shown_ids as (select syllable_id as id, {_DENSE} as dense from spelt)"
 _TYPES = """
 all_types as (select token, category, count(*) as n from tok where category <> 'nonalpha' group by all),
@@ -395,4 +420,7 @@ pairs as materialized (select gram, round(1e6 * ln(1.0::double + count(*)))::big
 rp(sent_id, i, x, score, path) as (select sent_id, 1::bigint, w, own, [w] from sent join opts on bare = translate(s[1], 'àáâäéèêëíìîïóòôöúùûüñç', 'aaaaeeeeiiiioooouuuunc') union all
   select sent_id, i, x, best.a, best.p from (select rp.sent_id, i + 1 as i, w as x, max({'a': score + own + 2 * coalesce(both_, 0), 'p': path || [w]}) as best
     from rp join sent using (sent_id) join opts on bare = translate(s[rp.i + 1], 'àáâäéèêëíìîïóòôöúùûüñç', 'aaaaeeeeiiiioooouuuunc') left join pairs on gram = x || ' ' || w where i < len(s) group by all))"""),
+    "can_be_vietnamese": _on_tokens("select token, category, n, token in (select token from loose) as can_be_vietnamese from t", "t as (" + _types("category <> 'nonalpha'") + ")", _loose("select token from t")),
+    "invalid_ids": _on_space("select syllable_id, utf8 from every_id where utf8 not in (select token from loose)", _utf8(),
+        f"every_id as (select syllable_id, utf8 from written union all select syllable_id, {_onset('left(giua, 1)', _q('đ'))} || giua || cuoi from space where giua in ('ah', 'oah'))", _loose("select utf8 as token from every_id")),
 }
