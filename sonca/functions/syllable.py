@@ -7,11 +7,12 @@ on. Only what holds at the end decides: what is left must be a coda of the rime
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from typing import NamedTuple
 
 from ..schemas import FINALS, INITIALS, NUCLEI, TONES
-from .telex import MAX_LEN, Stream
+from .telex import MAX_LEN, Stream, letters
 
 #: Onsets by spelling. Those that a longer spelling may replace stay open.
 ONSETS = {x: x for x in "b c d g h l m n p r s t v x ch zd kh gh ng nh ngh ph qu th tr".split()} | {"k": "c", "dd": "zd"}
@@ -154,10 +155,27 @@ def normalized(s: Syllable) -> Syllable:
     return Syllable({"ngh": "ng", "gh": "g"}.get(dau, dau), giua, s.cuoi, s.tone)
 
 
+def _shape() -> re.Pattern[str]:
+    """What every syllable looks like, in lower case: consonants, vowels and marks, consonants and a tone."""
+    vowels = "".join(c for c, x in letters().items() if x.base[0] in "aeiouy" and not x.upper)
+    return re.compile(f"[bcdđðghklmnpqrstvx]{{0,3}}[{vowels}wz]+[nghmcptsfrxj]{{0,3}}")
+
+
+_is_shaped = _shape().fullmatch
+_has_combining = re.compile("[\u0300-\u0362]").search
+
+
 def parse(token: str, strict: bool = True) -> Parsed | None:
-    """The normalised syllable of a token, or None. Without `strict`, ASCII Telex counts as well."""
-    if not token:
+    """The normalised syllable of a token, or None. Without `strict`, ASCII Telex counts as well.
+
+    Most tokens that are none don't even look like one, which is found out at once.
+    """
+    if not token or (not _is_shaped(token.lower()) and not _has_combining(token)):
         return None
+    return _parse(token, strict)
+
+
+def _parse(token: str, strict: bool) -> Parsed | None:
     stream, dau, giua = Stream(), "", ""
     for char in token:
         if not stream.push(char):

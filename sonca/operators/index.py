@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .syllables import read_piece
+from ..schemas import AFTER, BEFORE
+from .syllables import is_word
 from .tokens import pieces
 
 
@@ -38,8 +39,9 @@ def document_postings(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def read_word(piece: str) -> str | None:
-    p = read_piece(piece)
-    return None if p.category == "nonalpha" else p.token
+    """The word of a piece, None for other tokens."""
+    core = piece.strip(BEFORE + AFTER)
+    return core if is_word(core) else None
 
 
 def gathered(by_doc: DataFrame, key: str = "doc_id", spread: int = 1) -> DataFrame:

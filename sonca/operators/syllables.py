@@ -103,6 +103,10 @@ def rime_types(syllables: DataFrame) -> DataFrame:
     return syllables.groupBy(F.regexp_replace(lower, "^[^aeyuio]+", "").alias("vocab")).agg(F.sum("n").alias("n"))
 
 
+#: Whether a token's first character is a letter, and so all of them.
+is_word = re.compile(f"[{ALPHA}]").match
+
+
 class Piece(NamedTuple):
     """What a piece of a cut text is: a token, whether it is fenced, and the syllable that it spells."""
 
@@ -117,16 +121,13 @@ class Piece(NamedTuple):
 def read_piece(piece: str) -> Piece:
     core = piece.strip(BEFORE + AFTER)
     fenced = 3 if core in ("\n", ESCAPED) else 2 * piece.startswith(BEFORE) + piece.endswith(AFTER)
-    category = "nonalpha" if not _IS_ALPHA(core) else "alph0m0t" if core.isascii() else "alphmark"
+    category = "nonalpha" if not is_word(core) else "alph0m0t" if core.isascii() else "alphmark"
     i, marked, first, every = (None, False, False, False) if category == "nonalpha" else lookup(core)
     if i is not None:
         category = "syllmark" if marked else "syll0m0t"
     return Piece("\\n" if core == ESCAPED else core, fenced, category, i, first, every)
 
 
-_IS_ALPHA = re.compile(f"[{ALPHA}]").match
-
-
 def piecewise(rows: DataFrame, keys: str, columns: str, of: Callable[[list[str]], Callable[[np.ndarray, np.ndarray], list]]) -> DataFrame:
     """rows (keys, pieces) with columns from their pieces. `of` reads the distinct pieces of a batch, each once, and
     returns what makes the columns out of each piece's number and of where each row's pieces begin."""

@@ -1,9 +1,11 @@
 """Phonology: what is accepted, ids, renderings."""
 
+import random
+
 import pytest
 
 from sonca.functions import ids
-from sonca.functions.syllable import can_be_vietnamese, parse, syllable_id
+from sonca.functions.syllable import _parse, can_be_vietnamese, parse, syllable_id
 from sonca.functions.telex import Stream, letters
 from pyspark.sql import functions as F
 
@@ -69,3 +71,14 @@ def test_id_space(spark):
     again = dim.select("syllable_id", ids.from_base64(ids.to_base64(F.col("syllable_id"))).alias("x"))
     assert again.where("x <> syllable_id").count() == 0
     assert ids.from_dense(spark.createDataFrame([("nuoc|ws",), ("??",)], "dense string")).where("syllable_id is not null").count() == 1
+
+
+def test_nothing_that_parses_is_turned_away():
+    rng = random.Random(1)
+    onsets = ["", *"b c d đ g h k l m n p q r s t v x ch gh gi kh ng ngh nh ph qu th tr dd w z f j".split()]
+    marked = [c for c in letters()]
+    for i in range(200_000):
+        middle = "".join(rng.choices("aeiouywz" if i % 2 else marked, k=rng.randint(0, 4)))
+        word = rng.choice(onsets) + middle + "".join(rng.choices(["", *"iumnpcty", "ng", "nh", "ch"], k=rng.randint(0, 2))) + rng.choice(["", "", *"sfrxjw", chr(0x301), chr(0x302)])
+        for strict in (True, False):
+            assert parse(word, strict) == (_parse(word, strict) if word else None), word
