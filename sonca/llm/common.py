@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.thread = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", threading.get_ident()
         if not _made:
             atexit.register(_end)
         _made.append(self)
@@ -94,20 +95,21 @@ _made: list[Scratch] = []
 
 
 def _end() -> None:
-    """At the driver's end, as far as its context still runs."""
-    for scratch in list(_made):
-        if scratch.spark.sparkContext._jsc is not None:
-            scratch.end()
+    """At the driver's end, as far as its context still runs; what can't be reached any more stays."""
+    with suppress(Exception):
+        for scratch in list(_made):
+            if scratch.spark.sparkContext._jsc is not None:
+                scratch.end()
 
 
 @contextmanager
 def dropped() -> Iterator[None]:
-    """Deletes the tables of all scratch spaces that are made inside, once nothing made there is read any more."""
+    """Deletes the tables of all scratch spaces that its thread makes inside, once nothing made there is read any more."""
     before = list(_made)
     try:
         yield
     finally:
-        for scratch in [x for x in _made if x not in before]:
+        for scratch in [x for x in _made if x not in before and x.thread == threading.get_ident()]:
             scratch.end()
 
 
