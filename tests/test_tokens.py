@@ -137,6 +137,7 @@ def test_hashes():
         state, x = hashes.splitmix64(state)
         drawn.append(x)
     assert drawn == [8862613829200693549, 1009918040199880802, 8603670078971061766]
+    assert hashes.xxh32(b"Hello, world!\0") == 0x9E5E7E93 and hashes.xxh32(b"", 0x42C91977) == 0xD6BF8459
     for n in range(40):
         data = bytes(range(n))
         assert hashes.xxh32(data, 7) == xxhash.xxh32_intdigest(data, 7)
