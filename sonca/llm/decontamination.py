@@ -33,7 +33,7 @@ from pyspark.sql.types import BooleanType
 
 from . import common
 
-RATE, LEAST, BITS, RECALL, BLOCK_BYTES = 0.15, 8, 3, 0.995, 4 << 20
+RATE, LEAST, BITS, RECALL, BLOCK_BYTES = 0.15, 8, 3, 0.995, 16 << 20
 #: Made-up items, their walks, and the starts on either side of the true one, from which repeats are worked out; walks at a time.
 TRIALS, TRIED, AROUND, WALKS = 200, 64, 2, 1 << 17
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("n_words", pa.int32()), ("start", pa.int32())])
@@ -49,9 +49,9 @@ def allowed(n: int) -> int:
     return int(RATE * n) if n >= LEAST else 0
 
 
-def _pair(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """Hashes of word pairs, `bits` long."""
-    return (common.mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of word pairs."""
+    return common.mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64))
 
 
 def needed(n: int) -> int:
@@ -144,22 +144,38 @@ def _numbered(repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return each, np.arange(len(each)) - np.repeat(np.cumsum(repeats) - repeats, repeats)
 
 
+def _distances(item: list[int], text: list[int], anchored: bool) -> Iterator[int]:
+    """For each end in the text, the edit distance of the item to what ends there: from the text's first word on if
+    anchored, else from wherever it is least. A column of the table is two bit vectors: where it rises, where it falls.
+    """
+    n = len(item)
+    full, last, is_at = (1 << n) - 1, 1 << (n - 1), {}
+    for i, c in enumerate(item):
+        is_at[c] = is_at.get(c, 0) | 1 << i
+    rise, fall, now = full, 0, n
+    for c in text:
+        same = is_at.get(c, 0)
+        level = (((same & rise) + rise) ^ rise) | same
+        up, down = fall | (full & ~(level | rise)), rise & level
+        now += bool(up & last) - bool(down & last)
+        up, down = up << 1 | anchored, down << 1
+        turn = same | fall
+        rise, fall = (down | ~(turn | up)) & full, up & turn & full
+        yield now
+
+
 def best_substring(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """(least edit distance of the item to a substring, its first start): exact dynamic programming."""
-    n, cost, begin = len(item), list(range(len(item) + 1)), [0] * (len(item) + 1)
-    best, where, item = n, 0, item.tolist()
-    for j, c in enumerate(text.tolist()):
-        diagonal, diagonal_begin, cost[0], begin[0] = cost[0], j, 0, j + 1
-        for i in range(1, n + 1):
-            least, b = diagonal + (item[i - 1] != c), diagonal_begin
-            if cost[i] + 1 < least:
-                least, b = cost[i] + 1, begin[i]
-            if cost[i - 1] + 1 < least:
-                least, b = cost[i - 1] + 1, begin[i - 1]
-            diagonal, diagonal_begin, cost[i], begin[i] = cost[i], begin[i], least, b
-        if cost[n] < best:
-            best, where = cost[n], begin[n]
-    return best, where
+    """(least edit distance of the item to a substring, the first start of those that end first): exact, by bit vectors."""
+    if not len(text):
+        return len(item), 0
+    words, around = item.tolist(), text.tolist()
+    ends = list(_distances(words, around, False))
+    best = min(ends)
+    if best >= len(item):
+        return len(item), 0  # nothing of it is there
+    end = ends.index(best) + 1
+    backwards = list(_distances(words[::-1], around[:end][::-1], True))
+    return best, end - 1 - max(i for i, x in enumerate(backwards) if x == best)
 
 
 class Items:
@@ -169,23 +185,20 @@ class Items:
         self.symbols: dict[str, int] = {}
         self.items = [(k, np.array([self.symbols.setdefault(w, len(self.symbols) + 1) for w in ws], np.int64)) for k, t in items if (ws := words_of(t))]
         self.of = self.symbols.get
-        self.bits = max(16, sum(len(x) for _, x in self.items).bit_length() + 4)
-        self.pairs = np.zeros(1 << self.bits, np.uint64)  # by word pair, a bit for each item length (mod 64) that has it
         lengths: dict[int, list[int]] = {}
         for i, (_, x) in enumerate(self.items):
             lengths.setdefault(len(x), []).append(i)
         #: By length, for each repeat: the sampled steps.
         self.places = {n: places_of(n, bits, repeats_of(n, bits, recall)) for n in sorted(lengths)}
-        self.final: dict[int, list[int]] = {}
-        self.keys = np.zeros(0, np.uint64)
+        #: Whole keys of walks in order, and the item of each; all that a walk may have as a key on its way.
+        self.final, self.owner, self.keys = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
         if self.items:
             each, nth = _numbered(np.array([len(self.places[len(x)]) for _, x in self.items]))
             stops = np.cumsum([len(x) for _, x in self.items])
             sizes = np.array([len(x) for _, x in self.items])
             got, keys = sampled(np.concatenate([x for _, x in self.items]), (stops - sizes)[each], stops[each], np.concatenate([self.places[n] for n in sizes.tolist()]), seeds_of(sizes[each], nth))
-            for i, k in zip(each[got].tolist(), keys[:, -1].tolist(), strict=True):
-                self.final.setdefault(k, []).append(i)
-            self.keys = np.unique(keys)
+            order = np.argsort(keys[:, -1], kind="stable")
+            self.final, self.owner, self.keys = keys[order, -1], each[got][order].astype(np.int32), np.unique(keys)
         #: Lengths near each other, which share one count filter: (shortest, longest, all).
         self.classes: list[tuple[int, int, list[int]]] = []
         for n in self.places:
@@ -194,8 +207,16 @@ class Items:
                 self.classes[-1] = (least, n, [*those, n])
             else:
                 self.classes.append((n, n, [n]))
-        for _, x in self.items:
-            self.pairs[_pair(x[:-1], x[1:], self.bits)] |= np.uint64(1 << len(x) % 64)
+        pairs = np.concatenate([np.zeros(0, np.uint64), *(_pair(x[:-1], x[1:]) for _, x in self.items)])
+        of = np.repeat(np.array([1 << len(x) % 64 for _, x in self.items], np.uint64), [len(x) - 1 for _, x in self.items])
+        order = np.argsort(pairs, kind="stable")
+        #: The word pairs of items in order, and for each a bit for every item length (mod 64) that has it.
+        self.pairs, first = np.unique(pairs[order], return_index=True)
+        self.masks = np.bitwise_or.reduceat(of[order], first) if len(first) else np.zeros(0, np.uint64)
+        #: Whether any of them begins with these bits; most pairs of a text are turned away here.
+        self.shift = np.uint64(64 - max(16, len(self.pairs).bit_length() + 4))
+        self.begins = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.begins[self.pairs >> self.shift] = True
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, distance, words, start) for each item that the text holds."""
@@ -204,7 +225,7 @@ class Items:
     def matches_of(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """The matches of each text; the windows of all of them walk together."""
         xs = [np.fromiter(map(self.of, ws := words_of(t), repeat(0)), np.int64, len(ws)) for t in texts]
-        found: list[dict[int, list[int]]] = [{} for _ in xs]
+        found: list[dict[int, set[int]]] = [{} for _ in xs]
         rows: list[tuple[int, int, np.ndarray]] = []
         for d, x in enumerate(xs):
             for n, starts in self._windows(x):
@@ -225,9 +246,11 @@ class Items:
             places = np.concatenate([np.tile(self.places[m], (len(s), 1)) for _, m, s in part])
             each, nth = _numbered(np.concatenate([np.full(len(s), len(self.places[m])) for _, m, s in part]))
             got, keys = sampled(symbols, begin[each], end[each], places, seeds_of(n[each], nth), self.keys)
-            for w, k in zip(each[got].tolist(), keys[:, -1].tolist(), strict=True):
-                for i in self.final.get(k, ()):
-                    found[doc[w]].setdefault(i, []).append(int(start[w]))
+            first, last = (np.searchsorted(self.final, keys[:, -1], side) for side in ("left", "right"))
+            hit, nth = _numbered(last - first)
+            w = each[got[hit]]
+            for d, i, at in zip(doc[w].tolist(), self.owner[first[hit] + nth].tolist(), start[w].tolist(), strict=True):
+                found[d].setdefault(i, set()).add(at)
         return [sorted(self._verified(x, f)) for x, f in zip(xs, found, strict=True)]
 
     def _windows(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -235,8 +258,13 @@ class Items:
         if not len(x):
             return
         both = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
-        masks = self.pairs[_pair(x[both], x[both + 1], self.bits)]
-        both, masks = both[masks > 0], masks[masks > 0]
+        pairs = _pair(x[both], x[both + 1])
+        may = self.begins[pairs >> self.shift]
+        both, pairs = both[may], pairs[may]
+        at = np.searchsorted(self.pairs, pairs)
+        at[at == len(self.pairs)] = 0
+        same = self.pairs[at] == pairs if len(self.pairs) else np.zeros(len(pairs), bool)
+        both, masks = both[same], self.masks[at[same]]
         for _, most, lengths in self.classes:
             starts = self._starts(x, both, masks, lengths, np.arange(len(x)), most)
             for n in lengths if len(starts) else ():
@@ -244,15 +272,17 @@ class Items:
                 if len(own):
                     yield n, own
 
-    def _verified(self, x: np.ndarray, found: dict[int, list[int]]) -> Iterator[tuple[int, int, int, int]]:
+    def _verified(self, x: np.ndarray, found: dict[int, set[int]]) -> Iterator[tuple[int, int, int, int]]:
         """Exact edit distances around the hits."""
         for i, places in found.items():
             k, item = self.items[i]
             d, done, best = allowed(len(item)), -1, None
-            for s in sorted(set(places)):
+            for s in sorted(places):
                 a, b = max(0, s - 2 * d), min(len(x), s + len(item) + 2 * d)
                 if s <= done:
                     continue
+                if best and not best[0]:
+                    break
                 got, at = best_substring(item, x[a:b])
                 done = s + d  # starts as near as this lie in the part just searched
                 if got <= d and (best is None or got < best[0]):
