@@ -233,52 +233,59 @@ TAG_AT = {t: i for i, t in enumerate(TAGS)}
 
 
 class Trees:
-    """Gradient-boosted trees for a yes/no label: second-order steps on histograms of quantile bins."""
+    """Gradient-boosted trees for a yes/no label: second-order steps on histograms of quantile bins.
 
-    def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32) -> None:
-        self.n, self.depth, self.rate, self.bins = trees, depth, rate, bins
+    Each tree is grown on half the rows, drawn anew, and gives all of them their next score.
+    """
+
+    def __init__(self, trees: int = 90, depth: int = 4, rate: float = 0.2, bins: int = 32, share: float = 0.5) -> None:
+        self.n, self.depth, self.rate, self.bins, self.share = trees, depth, rate, bins, share
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
-        binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(self.edges, x.T, strict=True)], 1)
+        binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(self.edges, x.T, strict=True)])
         self.base = float(np.log(y.mean() / (1 - y.mean())))
-        score, self.trees, size = np.full(len(y), self.base), [], 1 << self.depth
+        score, self.trees, size, rng = np.full(len(y), self.base), [], 1 << self.depth, np.random.default_rng(len(y))
         for _ in range(self.n):
-            p = 1 / (1 + np.exp(-score))
-            g, h, node = y - p, p * (1 - p), np.zeros(len(y), np.int64)
+            drawn = np.flatnonzero(rng.random(len(y)) < self.share)
+            part, p = binned[:, drawn], 1 / (1 + np.exp(-score[drawn]))
+            g, h, node = y[drawn] - p, p * (1 - p), np.zeros(len(drawn), np.int64)
             feature, cut = np.zeros(size, np.int64), np.full(size, self.bins, np.int64)
             for level in range(self.depth):
                 width = 1 << level
                 best = np.full(width, 1e-6)
-                for f in range(x.shape[1]):
-                    key = node * self.bins + binned[:, f]
-                    gs, hs = (np.bincount(key, v, width * self.bins).reshape(width, self.bins) for v in (g, h))
+                for f, edges in enumerate(self.edges):
+                    bins = len(edges) + 1
+                    key = node * bins + part[f]
+                    gs, hs = (np.bincount(key, v, width * bins).reshape(width, bins) for v in (g, h))
                     gl, hl = gs.cumsum(1), hs.cumsum(1)
                     gt, ht = gl[:, -1:], hl[:, -1:]
                     gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
                     gain[(hl < 1) | (ht - hl < 1)] = 0
                     top = gain.argmax(1)
-                    better = gain[np.arange(width), top] > best
-                    at = np.flatnonzero(better)
+                    at = np.flatnonzero(gain[np.arange(width), top] > best)
                     best[at] = gain[at, top[at]]
                     feature[width + at] = f
                     cut[width + at] = top[at]
-                node = 2 * node + (binned[np.arange(len(y)), feature[width + node]] > cut[width + node])
+                node = 2 * node + (part[feature[width + node], np.arange(len(drawn))] > cut[width + node])
             gs, hs = np.bincount(node, g, size), np.bincount(node, h, size)
-            leaf = self.rate * gs / (hs + 1)
-            score += leaf[node]
             limit = np.array([self.edges[f][c] if c < len(self.edges[f]) else np.inf for f, c in zip(feature, cut, strict=True)])
-            self.trees.append((feature, limit, leaf))
+            self.trees.append((feature, limit, self.rate * gs / (hs + 1)))
+            score += self._steps(x, *self.trees[-1])
         return self
 
+    def _steps(self, x: np.ndarray, feature: np.ndarray, limit: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """What one tree adds to the score of each row."""
+        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        for level in range(self.depth):
+            at = (1 << level) + node
+            node = 2 * node + (x[rows, feature[at]] > limit[at])
+        return leaf[node]
+
     def logit(self, x: np.ndarray) -> np.ndarray:
-        out, rows = np.full(len(x), self.base), np.arange(len(x))
-        for feature, limit, leaf in self.trees:
-            node = np.zeros(len(x), np.int64)
-            for level in range(self.depth):
-                at = (1 << level) + node
-                node = 2 * node + (x[rows, feature[at]] > limit[at])
-            out += leaf[node]
+        out = np.full(len(x), self.base)
+        for tree in self.trees:
+            out += self._steps(x, *tree)
         return out
 
 
@@ -328,6 +335,8 @@ def _invent(rng: np.random.Generator) -> tuple[str, str]:
 
     def good() -> str:
         t = " ".join(sentence() for _ in range(max(1, int(rng.exponential(3)))))
+        if rng.random() < 0.03:  # an article may say what notices say
+            t = pick("", t + " ") + pick("All rights reserved.", "Copyright 2023.", "© " + words(2), "Read more.", "Share this.", "Subscribe.", "Privacy.", "Reply to " + words(1) + ".", "Log in.", "Cookies.", "Comments.", "Sponsored.")
         main.append(t)
         shape = rng.random()
         if shape < 0.7:
@@ -362,7 +371,7 @@ def _invent(rng: np.random.Generator) -> tuple[str, str]:
 
 
 @lru_cache(maxsize=1)
-def model(pages: int = 700, seed: int = 7) -> Trees:
+def model(pages: int = 1200, seed: int = 7) -> Trees:
     """The trees, trained once a process on invented pages."""
     rng, xs, ys = np.random.default_rng(seed), [], []
     for _ in range(pages):
