@@ -5,7 +5,10 @@ goes on to the next or stays as a random bit of (step, symbol) says; strings at
 at a small Hamming distance. For each window as long as an item, samples of BITS places of its walk are looked up among
 the items' samples; each hit is verified by the exact edit distance of the item to the best substring around it. Walk and
 sample are repeated until items with all the edits allowed, at random places, are found with probability RECALL: how
-often that takes is worked out by edits allowed, from walks over made-up items. Exact copies need one walk only.
+often that takes is worked out by edits allowed, from walks over made-up items. Exact copies need one walk only. An item
+of more than LONG words is looked up by pieces of about PIECE words: if all its edits are allowed, those of one piece at
+least are allowed for its length. The whole item is then verified around the places of its pieces. Windows of a text
+that hold the same words walk once.
 
 Items are a broadcast of checked size: more than BLOCK_BYTES of them are taken in blocks, each against all rows. A lossless
 count filter runs first: of an item's n - 1 word pairs, a window within d edits holds at least n - 1 - 2d, so windows with
@@ -34,6 +37,7 @@ from pyspark.sql.types import BooleanType
 from . import common
 
 RATE, LEAST, BITS, RECALL, BLOCK_BYTES = 0.15, 8, 3, 0.995, 16 << 20
+LONG, PIECE = 512, 256
 #: Made-up items, their walks, and the starts on either side of the true one, from which repeats are worked out; walks at a time.
 TRIALS, TRIED, AROUND, WALKS = 200, 64, 2, 1 << 17
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("n_words", pa.int32()), ("start", pa.int32())])
@@ -174,10 +178,39 @@ def best_substring(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     if best >= len(item):
         return len(item), 0  # nothing of it is there
     end = ends.index(best) + 1
-    backwards = list(_distances(words[::-1], around[:end][::-1], True))
+    backwards = list(_distances(words[::-1], around[max(0, end - len(item) - best) : end][::-1], True))
     return best, end - 1 - max(i for i, x in enumerate(backwards) if x == best)
 
 
+def pieces(item: np.ndarray) -> list[np.ndarray]:
+    """What an item is looked up by: itself, or all the different pieces of a long one."""
+    if len(item) <= LONG:
+        return [item]
+    return list({x.tobytes(): x for x in np.array_split(item, len(item) // PIECE)}.values())
+
+
+def _distinct(x: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The first start of each different window, and all starts of those that stand more than once."""
+    power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(x), _C))])
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(x.view(np.uint64) + np.uint64(1)) * power[:-1])])
+    ends = np.minimum(starts + n, len(x))
+    key = common.mix((upto[ends] - upto[starts]) * power[len(x) - starts])  # equal words at any place: equal sums
+    order = np.argsort(key, kind="stable")
+    groups = np.split(starts[order], np.flatnonzero(np.diff(key[order])) + 1)
+    return np.sort(np.array([g[0] for g in groups])), [(int(g[0]), g) for g in groups if len(g) > 1]
+
+
+def _around(places: list[int], far: int, size: int) -> Iterator[tuple[int, int]]:
+    """Parts of a text as far as `far` from the places, those that overlap made one."""
+    begin, end = max(0, places[0] - far), places[0]
+    for s in places:
+        if s - far > end:
+            yield begin, min(size, end)
+            begin = s - far
+        end = s + far
+    yield begin, min(size, end)
+
+
 class Items:
     """A block of the benchmark, ready to be looked up."""
 
@@ -185,20 +218,18 @@ class Items:
         self.symbols: dict[str, int] = {}
         self.items = [(k, np.array([self.symbols.setdefault(w, len(self.symbols) + 1) for w in ws], np.int64)) for k, t in items if (ws := words_of(t))]
         self.of = self.symbols.get
-        lengths: dict[int, list[int]] = {}
-        for i, (_, x) in enumerate(self.items):
-            lengths.setdefault(len(x), []).append(i)
+        parts = [(i, x) for i, (_, item) in enumerate(self.items) for x in pieces(item)]
         #: By length, for each repeat: the sampled steps.
-        self.places = {n: places_of(n, bits, repeats_of(n, bits, recall)) for n in sorted(lengths)}
+        self.places = {n: places_of(n, bits, repeats_of(n, bits, recall)) for n in sorted({len(x) for _, x in parts})}
         #: Whole keys of walks in order, and the item of each; all that a walk may have as a key on its way.
         self.final, self.owner, self.keys = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
         if self.items:
-            each, nth = _numbered(np.array([len(self.places[len(x)]) for _, x in self.items]))
-            stops = np.cumsum([len(x) for _, x in self.items])
-            sizes = np.array([len(x) for _, x in self.items])
-            got, keys = sampled(np.concatenate([x for _, x in self.items]), (stops - sizes)[each], stops[each], np.concatenate([self.places[n] for n in sizes.tolist()]), seeds_of(sizes[each], nth))
+            owner, sizes = np.array([i for i, _ in parts], np.int32), np.array([len(x) for _, x in parts])
+            each, nth = _numbered(np.array([len(self.places[n]) for n in sizes.tolist()]))
+            stops = np.cumsum(sizes)
+            got, keys = sampled(np.concatenate([x for _, x in parts]), (stops - sizes)[each], stops[each], np.concatenate([self.places[n] for n in sizes.tolist()]), seeds_of(sizes[each], nth))
             order = np.argsort(keys[:, -1], kind="stable")
-            self.final, self.owner, self.keys = keys[order, -1], each[got][order].astype(np.int32), np.unique(keys)
+            self.final, self.owner, self.keys = keys[order, -1], owner[each[got]][order], np.unique(keys)
         #: Lengths near each other, which share one count filter: (shortest, longest, all).
         self.classes: list[tuple[int, int, list[int]]] = []
         for n in self.places:
@@ -207,8 +238,8 @@ class Items:
                 self.classes[-1] = (least, n, [*those, n])
             else:
                 self.classes.append((n, n, [n]))
-        pairs = np.concatenate([np.zeros(0, np.uint64), *(_pair(x[:-1], x[1:]) for _, x in self.items)])
-        of = np.repeat(np.array([1 << len(x) % 64 for _, x in self.items], np.uint64), [len(x) - 1 for _, x in self.items])
+        pairs = np.concatenate([np.zeros(0, np.uint64), *(_pair(x[:-1], x[1:]) for _, x in parts)])
+        of = np.repeat(np.array([1 << len(x) % 64 for _, x in parts], np.uint64), np.array([len(x) - 1 for _, x in parts], np.int64))
         order = np.argsort(pairs, kind="stable")
         #: The word pairs of items in order, and for each a bit for every item length (mod 64) that has it.
         self.pairs, first = np.unique(pairs[order], return_index=True)
@@ -227,9 +258,13 @@ class Items:
         xs = [np.fromiter(map(self.of, ws := words_of(t), repeat(0)), np.int64, len(ws)) for t in texts]
         found: list[dict[int, set[int]]] = [{} for _ in xs]
         rows: list[tuple[int, int, np.ndarray]] = []
+        same: dict[tuple[int, int, int], np.ndarray] = {}
         for d, x in enumerate(xs):
             for n, starts in self._windows(x):
                 most = max(1, WALKS // len(self.places[n]))
+                if len(starts) > 1:
+                    starts, others = _distinct(x, starts, n)
+                    same |= {(d, n, a): those for a, those in others}
                 rows += [(d, n, starts[i : i + most]) for i in range(0, len(starts), most)]
         base = np.cumsum([0, *map(len, xs)])
         symbols = np.concatenate([*xs, np.zeros(1, np.int64)])
@@ -248,9 +283,9 @@ class Items:
             got, keys = sampled(symbols, begin[each], end[each], places, seeds_of(n[each], nth), self.keys)
             first, last = (np.searchsorted(self.final, keys[:, -1], side) for side in ("left", "right"))
             hit, nth = _numbered(last - first)
-            w = each[got[hit]]
-            for d, i, at in zip(doc[w].tolist(), self.owner[first[hit] + nth].tolist(), start[w].tolist(), strict=True):
-                found[d].setdefault(i, set()).add(at)
+            w, i = each[got[hit]], self.owner[first[hit] + nth]
+            for d, m, i, at in set(zip(doc[w].tolist(), n[w].tolist(), i.tolist(), start[w].tolist(), strict=True)):
+                found[d].setdefault(i, set()).update(same.get((d, m, at), np.array([at])).tolist())
         return [sorted(self._verified(x, f)) for x, f in zip(xs, found, strict=True)]
 
     def _windows(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -277,6 +312,12 @@ class Items:
         for i, places in found.items():
             k, item = self.items[i]
             d, done, best = allowed(len(item)), -1, None
+            if len(item) > LONG:
+                for a, b in _around(sorted(places), len(item) + d, len(x)):
+                    got, at = best_substring(item, x[a:b])
+                    if got <= d and (best is None or got < best[0]):
+                        best = got, a + at
+                places = ()
             for s in sorted(places):
                 a, b = max(0, s - 2 * d), min(len(x), s + len(item) + 2 * d)
                 if s <= done:
@@ -290,7 +331,6 @@ class Items:
             if best:
                 yield k, best[0], len(item), best[1]
 
-
     def _starts(self, x: np.ndarray, both: np.ndarray, masks: np.ndarray, lengths: list[int], among: np.ndarray, most: int) -> np.ndarray:
         """Where a window for `most` words and the edits allowed holds the pairs that one of the lengths needs.
 

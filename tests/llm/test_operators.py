@@ -110,6 +110,44 @@ def test_recall_at_all_the_edits_allowed():
     assert sum(found.values()) >= 0.99 * sum(planted.values()) and all(found[n] >= 0.95 * tried[n] for n in tried), found
 
 
+@pytest.mark.parametrize("n", [513, 3000])
+def test_long_items_are_found_by_their_pieces(n):
+    rng = random.Random(n)
+    item = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    x, d = list(item), decontamination.allowed(n)
+    for _ in range(d):
+        i, kind = rng.randrange(len(x)), rng.randrange(3)
+        x[i : i + (kind > 0)] = ["edit"] * (kind < 2)
+    block = decontamination.Items([(1, " ".join(item)), (2, " ".join(item[: n // 2] + ["other"] * n))])
+    text = ["a"] * 700 + x + ["b"] * 700
+    symbols = np.array([block.of(w, 0) for w in text], np.int64)
+    least, start = decontamination.best_substring(block.items[0][1], symbols)
+    assert block.matches(" ".join(text)) == [(1, least, n, start)] and least <= d
+
+
+def test_texts_of_one_word():
+    block = decontamination.Items([(1, "word " * 20), (2, "word " * 300 + "end"), (3, "word " * 5000), (4, "word other " * 10)])
+    assert block.matches("word " * 20000) == [(1, 0, 20, 0), (2, 1, 301, 0), (3, 0, 5000, 0)]
+
+
+def test_distances_by_bit_vectors():
+    rng = random.Random(6)
+
+    def distance(p, q):
+        row = list(range(len(q) + 1))
+        for i, u in enumerate(p):
+            before, row[0] = row[0], i + 1
+            for j, w in enumerate(q):
+                before, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, before + (u != w))
+        return row[-1]
+
+    for _ in range(300):
+        item, text = ([rng.randrange(a, 4) for _ in range(rng.randrange(a, 9))] for a in (1, 0))
+        least, _, start = min((distance(item, text[i:j]), j, i) for j in range(len(text) + 1) for i in range(j + 1))
+        got = decontamination.best_substring(np.array(item), np.array(text, np.int64))
+        assert got == (least, start if least < len(item) else 0), (item, text)
+
+
 def test_walks_are_the_same_for_the_same_strings():
     a = decontamination.Items([(1, "a b c d e f g h i j k l m n")])
     assert a.matches("x y a b c d e f g h i j k l m n z") == [(1, 0, 14, 2)]
