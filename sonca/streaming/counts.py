@@ -18,6 +18,15 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return tokens.tokenize(docs).groupBy("token", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def windowed_vocabulary(docs: DataFrame, at: str = "at", window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """start, token, category, n of each span of time, for the append mode.
+
+    Documents up to `late` behind the newest count in their span; a span is given out once none can come, and its state goes.
+    """
+    rows = tokens.tokenize(docs.withWatermark(at, late), key=at)
+    return rows.groupBy(F.window(at, window).alias("w"), "token", "category").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "token", "category", "n")
+
+
 def syllable_vocabulary(docs: DataFrame) -> DataFrame:
     """syllable_id, n so far; state is bounded by the id space."""
     return syllables.document_ids(docs).select(F.explode("ids").alias("syllable_id")).where("syllable_id <> 32767").groupBy("syllable_id").agg(F.count(F.lit(1)).alias("n"))

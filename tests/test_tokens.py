@@ -284,3 +284,18 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["token"]: r["n"] for r in spark.table("v").collect()} == {"một": 2, "hai": 1, "ba": 1, "\n": 2}
+
+
+def test_windowed_streams(spark, tmp_path):
+    schema, place = "doc_id long, text string, at timestamp", str(tmp_path / "in")
+    times = [("10:01", "một hai"), ("10:09", "một"), ("10:11", "ba")], [("13:00", "bốn")], [("10:02", "hai"), ("12:05", "năm")], [("16:00", None)]
+    for i, batch in enumerate(times):
+        rows = spark.createDataFrame([(i, t, f"2024-01-01 {at}:00") for at, t in batch], "doc_id long, text string, at string")
+        rows.selectExpr("doc_id", "text", "cast(at as timestamp) as at").coalesce(1).write.mode("append").parquet(place)
+        q = counts.windowed_vocabulary(counts.documents(spark, place, schema)).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).start()
+        q.processAllAvailable()
+        q.stop()
+    found = spark.read.parquet(str(tmp_path / "out")).where("category <> 'nonalpha'").selectExpr("date_format(start, 'HH:mm') as start", "token", "n")
+    got = {(r["start"], r["token"]): r["n"] for r in found.collect()}
+    want = {("10:00", "một"): 2, ("10:00", "hai"): 1, ("10:10", "ba"): 1, ("13:00", "bốn"): 1, ("12:00", "năm"): 1}  # one document came too late
+    assert got == want
