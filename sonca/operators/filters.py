@@ -120,40 +120,50 @@ def build(keys: DataFrame, key: str = "key", bits: int = 8, shard_keys: int = SH
 
 
 def members(rows: DataFrame, keys: DataFrame, key: str = "key", bits: int = 16, exact: bool = False, most_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """rows whose key is among keys: by filters, with a few more, or exactly if that is asked for.
-
-    Filters are taken in blocks of at most most_bytes (a shard at least); each reads the rows once.
-    """
+    """rows whose key is among keys: by filters, with a few more, or exactly if that is asked for."""
     if exact:
         return semi(rows, keys.distinct(), key)
-    filters, shards = build(keys, key, bits, shard_keys)
+    return marked(rows, keys, "__sonca_in", key, bits, most_bytes, shard_keys).where("__sonca_in").drop("__sonca_in")
+
+
+def marked(rows: DataFrame, keys: DataFrame, name: str, key: str = "key", bits: int = 16, most_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """rows whose key is not null, with `name`: whether filters have the key. All keys are true, and a few others.
+
+    Filters are taken in blocks of at most most_bytes (a shard at least); each reads the rows, and keeps those of its own
+    shards. The keys are made once, for their number and for the filters.
+    """
+    distinct = keys.select(F.col(key).cast("long").alias("key")).where("key is not null").distinct().persist(StorageLevel.DISK_ONLY)
+    filters, shards = build(distinct, "key", bits, shard_keys)
     filters, out = filters.persist(StorageLevel.DISK_ONLY), None
     each = max(1, int(most_bytes / (layout(shard_keys)[2] * bits / 8)))
+    shard = shard_of(F.col(key).cast("long"), shards)
     for first in range(0, shards, each):
         held: dict[int, BinaryFuse] = {}
         for r in filters.where(F.col("shard").between(first, first + each - 1)).collect():  # at most most_bytes, or one shard
             f = held[r["shard"]] = BinaryFuse.__new__(BinaryFuse)
             f.bits, f.n, f.seed = bits, r["n_keys"], int(r["seed"])
             (f.segment, f.count, _), f.prints = layout(f.n), np.frombuffer(r["prints"], DTYPES[bits])
-        found = _asked(rows, key, shards, rows.sparkSession.sparkContext.broadcast(held))
+        own = rows.where(F.col(key).isNotNull())
+        own = own if shards <= each else own.where(shard.between(first, first + each - 1))
+        found = own.withColumn(name, _among(rows.sparkSession.sparkContext.broadcast(held))(F.col(key).cast("long"), shard))
         out = found if out is None else out.unionByName(found)
     filters.unpersist()
+    distinct.unpersist()
     return out
 
 
-def _asked(rows: DataFrame, key: str, shards: int, shared) -> DataFrame:
+def _among(shared):
     @F.pandas_udf(BooleanType())
     def among(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for k, shard in parts:
             out, k, shard = np.zeros(len(k), bool), k.to_numpy(), shard.to_numpy()
-            for s in np.unique(shard).tolist():
-                if f := shared.value.get(s):
-                    at = np.flatnonzero(shard == s)
+            order = np.argsort(shard, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                if len(at) and (f := shared.value.get(int(shard[at[0]]))):
                     out[at] = f.contains(k[at].astype(np.int64).view(U64))
             yield pd.Series(out)
 
-    k = F.col(key).cast("long")
-    return rows.where(F.col(key).isNotNull()).where(among(k, shard_of(k, shards)))
+    return among
 
 
 def semi(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -226,16 +226,17 @@ def _hash_counts(d: DataFrame) -> DataFrame:
 
 
 def _fuse(s: DataFrame) -> DataFrame:
-    """Trigrams whose first two words are in a filter of frequent pairs: how many are, are missed, and whether few others are."""
+    """Trigrams whose first two words are in a filter of frequent pairs: how many are, are missed, and whether few others are.
+
+    Both answers hang on the pair alone, so trigrams are counted by pair first, and each pair is asked about once.
+    """
     key = lambda c: F.xxhash64(c).alias("key")
-    both = ngrams.grams_of(s, (2, 3))
-    pairs = both.where("n = 2 and n_count >= 5").select(key(F.col("gram")))
-    tri = both.where("n = 3").select("gram", key(F.substring_index("gram", " ", 2)))
-    exact = filters.members(tri, pairs, exact=True).select("gram", F.lit(True).alias("exact"))
-    near = filters.members(tri, pairs, shard_keys=1 << 10).select("gram", F.lit(True).alias("near"))
-    found = tri.select("gram").join(exact, "gram", "left").join(near, "gram", "left").select(F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"))
-    count = lambda c: F.count(F.when(c, 1))
-    return found.agg(count(F.col("exact")).alias("n_exact"), count(F.col("exact") & ~F.col("near")).alias("n_missed"), (count(~F.col("exact") & F.col("near")) <= 5 + 0.001 * F.count(F.lit(1))).alias("few_more"))
+    pairs = ngrams.grams(s, 2).where("n_count >= 5").select(key(F.col("gram"))).distinct()
+    heads = ngrams.grams(s, 3).groupBy(key(F.substring_index("gram", " ", 2))).agg(F.count(F.lit(1)).alias("n"))
+    found = filters.marked(heads, pairs, "near", shard_keys=1 << 10).join(pairs.withColumn("exact", F.lit(True)), "key", "left")
+    exact, near = F.coalesce("exact", F.lit(False)), F.col("near")
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return found.agg(count(exact).alias("n_exact"), count(exact & ~near).alias("n_missed"), (count(~exact & near) <= 5 + 0.001 * count(F.lit(True))).alias("few_more"))
 
 
 def _fuse_sizes(s: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from sonca import queries
 from sonca.functions import hashes
 from sonca.operators import cdx, filters, index, lines, ngrams, rdr, syllables, tokens, vocab, words
 from sonca.plans import jobs
@@ -299,3 +300,21 @@ def test_windowed_streams(spark, tmp_path):
     got = {(r["start"], r["token"]): r["n"] for r in found.collect()}
     want = {("10:00", "một"): 2, ("10:00", "hai"): 1, ("10:10", "ba"): 1, ("13:00", "bốn"): 1, ("12:00", "năm"): 1}  # one document came too late
     assert got == want
+
+
+def _generated(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Generate explode")
+
+
+def test_marked_rows_stand_once(spark):
+    keys, rows = spark.range(0, 400, 2).toDF("key"), spark.range(500).toDF("key")
+    for k in ({}, {"shard_keys": 40, "most_bytes": 100}):
+        got = {r["key"]: r["near"] for r in filters.marked(rows, keys, "near", **k).collect()}
+        assert len(got) == 500 and all(got[i] for i in range(0, 400, 2)) and sum(got.values()) < 220
+
+
+def test_fuse_counts_once(spark):
+    s = ngrams.symbols(docs(spark, "a b c d. " * 6 + "b c d e f a b x"))
+    out = queries._fuse(s)
+    assert _generated(out) <= 2  # pairs and trigrams are counted once each, besides the pairs of the filter
+    assert out.first().asDict() == {"n_exact": 4, "n_missed": 0, "few_more": True}
