@@ -9,7 +9,7 @@ nothing that is found.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -105,7 +105,12 @@ def shard_of(key: Column, shards: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(shards)).cast("int")
 
 
-def build(keys: DataFrame, key: str = "key", bits: int = 8, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
+def high_shard(key: Column, shards: int) -> Column:
+    """The shard of a key that is a hash, by its high bits."""
+    return (F.shiftrightunsigned(key, 40) % shards).cast("int")
+
+
+def build(keys: DataFrame, key: str = "key", bits: int = 8, shard_keys: int = SHARD_KEYS, by: Callable[[Column, int], Column] = shard_of) -> tuple[DataFrame, int]:
     """(shard, n_keys, seed, prints), and how many shards there are. Keys are made distinct first."""
     rows = keys.select(F.col(key).cast("long").alias("key")).where("key is not null").distinct()
     shards = max(1, math.ceil(rows.count() / shard_keys))
@@ -115,10 +120,45 @@ def build(keys: DataFrame, key: str = "key", bits: int = 8, shard_keys: int = SH
         f = BinaryFuse(table["key"].to_numpy().view(U64), bits)
         return pa.table([[table["shard"][0].as_py()], [f.n], [str(f.seed)], [f.prints.tobytes()]], schema=schema)
 
-    sharded = rows.select("key", shard_of(F.col("key"), shards).alias("shard"))
+    sharded = rows.select("key", by(F.col("key"), shards).alias("shard"))
     return sharded.groupBy("shard").applyInArrow(one, "shard int, n_keys long, seed string, prints binary"), shards
 
 
+class Sharded:
+    """Filters by the high bits of keys that are hashes."""
+
+    def __init__(self, held: dict[int, BinaryFuse], shards: int) -> None:
+        self.held, self.shards = held, shards
+
+    def contains(self, keys: np.ndarray) -> np.ndarray:
+        out, shard = np.zeros(len(keys), bool), (keys >> U64(40)) % U64(self.shards)
+        for s, f in self.held.items():
+            at = np.flatnonzero(shard == U64(s))
+            out[at] = f.contains(keys[at])
+        return out
+
+
+def _read(rows: Iterable, bits: int) -> dict[int, BinaryFuse]:
+    held: dict[int, BinaryFuse] = {}
+    for r in rows:
+        f = held[r["shard"]] = BinaryFuse.__new__(BinaryFuse)
+        f.bits, f.n, f.seed = bits, r["n_keys"], int(r["seed"])
+        (f.segment, f.count, _), f.prints = layout(f.n), np.frombuffer(r["prints"], DTYPES[bits])
+    return held
+
+
+def sharded(keys: DataFrame, bits: int = 8, most_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS):
+    """A broadcast of one filter of all keys, which are hashes; None if it is larger than most_bytes."""
+    distinct = keys.distinct().persist(StorageLevel.DISK_ONLY)
+    built, shards = build(distinct, "key", bits, shard_keys, high_shard)
+    try:
+        if shards * layout(shard_keys)[2] * bits / 8 > max(most_bytes, layout(shard_keys)[2] * bits / 8):
+            return None
+        return keys.sparkSession.sparkContext.broadcast(Sharded(_read(built.collect(), bits), shards))
+    finally:
+        distinct.unpersist()
+
+
 def members(rows: DataFrame, keys: DataFrame, key: str = "key", bits: int = 16, exact: bool = False, most_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """rows whose key is among keys: by filters, with a few more, or exactly if that is asked for."""
     if exact:
@@ -138,11 +178,7 @@ def marked(rows: DataFrame, keys: DataFrame, name: str, key: str = "key", bits:
     each = max(1, int(most_bytes / (layout(shard_keys)[2] * bits / 8)))
     shard = shard_of(F.col(key).cast("long"), shards)
     for first in range(0, shards, each):
-        held: dict[int, BinaryFuse] = {}
-        for r in filters.where(F.col("shard").between(first, first + each - 1)).collect():  # at most most_bytes, or one shard
-            f = held[r["shard"]] = BinaryFuse.__new__(BinaryFuse)
-            f.bits, f.n, f.seed = bits, r["n_keys"], int(r["seed"])
-            (f.segment, f.count, _), f.prints = layout(f.n), np.frombuffer(r["prints"], DTYPES[bits])
+        held = _read(filters.where(F.col("shard").between(first, first + each - 1)).collect(), bits)  # at most most_bytes, or one shard
         own = rows.where(F.col(key).isNotNull())
         own = own if shards <= each else own.where(shard.between(first, first + each - 1))
         found = own.withColumn(name, _among(rows.sparkSession.sparkContext.broadcast(held))(F.col(key).cast("long"), shard))

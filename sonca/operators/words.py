@@ -2,22 +2,28 @@
 
 Sentences are rows with arrays; a dictionary is a table (word, n) whose words join their syllables with a space. A
 dictionary of at most MOST words and MOST_BYTES is a broadcast, and a sentence's lattice is made in its row: nothing is
-shuffled. A larger one is looked up through joins on n-grams of positions. Both ways find the same.
+shuffled. Of a larger one the most frequent words are a broadcast. The others are looked up by a join, which gets only
+those runs of syllables that a filter of the other words lets through: it misses none, and the join drops what it lets
+through wrongly. All ways find the same.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.columns import let
+from . import filters
 
 LONGEST, MOST, MOST_BYTES = 4, 1_000_000, 64 << 20
 #: Flags of a syllable's place in words of two or more: it begins, is inside, ends one, or stands alone.
@@ -63,12 +69,125 @@ def small_table(table: DataFrame, *texts: str, most: int = MOST, most_bytes: int
         held.unpersist()
 
 
-def held(dictionary: DataFrame, most: int = MOST):
-    """A broadcast of a dictionary, or None if it is too large for one."""
-    found = small_table(dictionary.select("word", F.col("n").cast("long").alias("n")), "word", most=most)
-    if found is None:
-        return None
-    return dictionary.sparkSession.sparkContext.broadcast(Dictionary(dict(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True))))
+#: The table that the last large lookup was split from, by session: it is on disk until the next one.
+_split: dict[int, DataFrame] = {}
+
+
+def parted(table: DataFrame, text: Column, most: int = MOST, most_bytes: int = MOST_BYTES) -> tuple[pa.Table | None, DataFrame | None]:
+    """The rows of a table (..., n) with the largest n, so many that the driver and each task may hold them, and the others
+    if there are any. The table is made once and stays on disk while there are others."""
+    kept = table.persist(StorageLevel.DISK_ONLY)
+    level = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)).cast("double")) * 16).cast("int")  # a thousand levels at most
+    sizes = kept.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).orderBy(F.desc("level")).collect()
+    fits, n, size = 0, 0, 0
+    for r in sizes:
+        n, size = n + r["n"], size + r["bytes"]
+        if n > most or size > most_bytes:
+            break
+        fits += 1
+    if fits == len(sizes):
+        found = kept.toArrow()
+        kept.unpersist()
+        return found, None
+    own = id(table.sparkSession)
+    if own in _split:
+        _split[own].unpersist()
+    _split[own] = kept
+    least = sizes[fits - 1]["level"] if fits else None
+    return (kept.where(level >= least).toArrow(), kept.where(level < least)) if fits else (None, kept)
+
+
+def _hashed(texts: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each text."""
+    return np.array([int.from_bytes(hashlib.blake2b((x or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for x in texts.to_pylist()], np.uint64)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of runs, from those without the last syllable and those of the last one."""
+    h = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The elements of lists, their hashes, and the lists' sizes."""
+    coded = lists.flatten().dictionary_encode()
+    return coded, _hashed(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64), lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+
+
+def _word_keys(rest: DataFrame, word: str) -> DataFrame:
+    """key: the hash of each word."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            _, h, sizes = _flat(pc.split_pattern(batch.column(0), " "))
+            starts = np.cumsum(sizes) - sizes
+            out = h[starts] if len(starts) else h
+            for i in range(1, int(sizes.max(initial=0))):
+                at = np.flatnonzero(sizes > i)
+                out[at] = _joined(out[at], h[starts[at] + i])
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["key"])
+
+    return rest.select(word).mapInArrow(run, "key long")
+
+
+def _filter_of(rest: DataFrame, word: str = "word"):
+    """A broadcast filter of the hashes of words, or None if it would be too large for one."""
+    return filters.sharded(_word_keys(rest, word))
+
+
+def candidates(sentences: DataFrame, key: str, syllables: str, longest: int, shared) -> DataFrame:
+    """key, pos, len, gram: the runs of 2 to `longest` syllables that a filter lets through, or all."""
+    if shared is None:
+        return sentences.select(key, F.explode(spans(F.col(syllables), longest)).alias("s")).select(key, "s.*")
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            keys, lists = batch.columns
+            coded, h, sizes = _flat(lists)
+            words, row = coded.dictionary, np.repeat(np.arange(len(sizes)), sizes)
+            code = coded.indices.to_numpy()
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            left, run_hash = np.repeat(sizes, sizes) - pos, h
+            for size in range(2, longest + 1):
+                run_hash = _joined(run_hash[:-1], h[size - 1 :])
+                at = np.flatnonzero(left[: len(run_hash)] >= size)
+                at = at[shared.value.contains(run_hash[at])]
+                if len(at):
+                    gram = pc.binary_join_element_wise(*[words.take(pa.array(code[at + i])) for i in range(size)], " ")
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[at])), pa.array(pos[at], pa.int32()), pa.array(np.full(len(at), size), pa.int32()), gram], names=[key, "pos", "len", "gram"])
+
+    kind = sentences.schema[key].dataType.simpleString()
+    return sentences.select(key, syllables).mapInArrow(run, f"`{key}` {kind}, pos int, len int, gram string")
+
+
+def _rest_found(sentences: DataFrame, rest: DataFrame, key: str, syllables: str, longest: int) -> DataFrame:
+    """key, pos, len, n of the words of rest that stand in sentences."""
+    rows = candidates(sentences, key, syllables, longest, _filter_of(rest))
+    return rows.join(rest.select(F.col("word").alias("gram"), "n"), "gram").select(key, "pos", "len", "n")
+
+
+def held(dictionary: DataFrame, most: int = MOST, longest: int = LONGEST):
+    """A broadcast of a dictionary, or of its most frequent words; and a table of the others, or None."""
+    rows = dictionary.select("word", F.col("n").cast("long").alias("n")).where(F.size(F.split("word", " ")).between(2, longest))
+    top, rest = parted(rows, F.col("word"), most)
+    top = Dictionary({} if top is None else dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)))
+    return dictionary.sparkSession.sparkContext.broadcast(top), rest
+
+
+def _searched(sentences: DataFrame, dictionary: DataFrame, key: str, syllables: str, longest: int, most: int, of: Callable[[int, Iterator[tuple[int, int, int]]], list], returns, name: str) -> DataFrame:
+    """key, syllables, and what is made of how many syllables a sentence has and of the words that stand in it."""
+    shared, rest = held(dictionary, most, longest)
+    if rest is None:
+        each = _in_rows(lambda s: of(len(s), shared.value.found(s, longest)), returns)
+        return sentences.select(key, syllables, each(F.col(syllables)).alias(name))
+    more = _rest_found(sentences, rest, key, syllables, longest).groupBy(key).agg(F.collect_list(F.struct("pos", "len", "n")).alias("__sonca_more"))
+
+    @F.pandas_udf(returns)
+    def each(rows: pd.Series, more: pd.Series) -> pd.Series:
+        both = lambda s, m: [*shared.value.found(s, longest), *((x["pos"], x["len"], x["n"]) for x in (() if m is None else m))]
+        return pd.Series([None if s is None else of(len(s), both(list(s), m)) for s, m in zip(rows, more, strict=True)], dtype=object)
+
+    return sentences.join(more, key, "left").select(key, syllables, each(F.col(syllables), F.col("__sonca_more")).alias(name))
 
 
 def _in_rows(of, returns):
@@ -86,12 +205,10 @@ FOUND = ArrayType(StructType([StructField("pos", IntegerType()), StructField("le
 
 def lattice(sentences: DataFrame, dictionary: DataFrame, key: str = "sent_id", syllables: str = "syllables", longest: int = LONGEST, most: int = MOST) -> DataFrame:
     """sent_id, pos, len, n: every dictionary word that stands in a sentence."""
-    shared = held(dictionary, most)
-    if shared is not None:
-        each = _in_rows(lambda s: [{"pos": p, "len": size, "n": n} for p, size, n in shared.value.found(s, longest)], FOUND)
-        return sentences.select(key, F.explode(each(F.col(syllables))).alias("w")).select(key, "w.*")
-    rows = sentences.select(key, F.explode(spans(F.col(syllables), longest)).alias("s")).select(key, "s.*")
-    return rows.join(dictionary.select(F.col("word").alias("gram"), "n"), "gram").select(key, "pos", "len", "n")
+    shared, rest = held(dictionary, most, longest)
+    each = _in_rows(lambda s: [{"pos": p, "len": size, "n": n} for p, size, n in shared.value.found(s, longest)], FOUND)
+    found = sentences.select(key, F.explode(each(F.col(syllables))).alias("w")).select(key, "w.*")
+    return found if rest is None else found.unionByName(_rest_found(sentences, rest, key, syllables, longest))
 
 
 def position_flags(found: DataFrame, key: str = "sent_id") -> DataFrame:
@@ -115,11 +232,8 @@ def flags_of(n: int, words: Iterator[tuple[int, int, int]]) -> list[int]:
 
 def flagged(sentences: DataFrame, dictionary: DataFrame, key: str = "sent_id", syllables: str = "syllables", longest: int = LONGEST, most: int = MOST) -> DataFrame:
     """`position_flags` of the lattice of sentences, whose keys are distinct."""
-    shared = held(dictionary, most)
-    if shared is None:
-        return position_flags(lattice(sentences, dictionary, key, syllables, longest, most), key)
-    each = _in_rows(lambda s: flags_of(len(s), shared.value.found(s, longest)), ArrayType(IntegerType()))
-    return sentences.select(key, F.posexplode(each(F.col(syllables))).alias("pos", "flags")).where("flags <> 0")
+    found = _searched(sentences, dictionary, key, syllables, longest, most, flags_of, ArrayType(IntegerType()), "flags")
+    return found.select(key, F.posexplode("flags").alias("pos", "flags")).where("flags <> 0")
 
 
 def best_path(n: int, words: list[tuple[int, int, int]], penalty: float) -> list[str]:
@@ -142,18 +256,7 @@ def best_path(n: int, words: list[tuple[int, int, int]], penalty: float) -> list
 
 def segmented(sentences: DataFrame, dictionary: DataFrame, key: str = "sent_id", syllables: str = "syllables", longest: int = LONGEST, penalty: float = 1.0, most: int = MOST) -> DataFrame:
     """sent_id, syllables, tags: B where a word begins, I inside it."""
-    shared = held(dictionary, most)
-    if shared is not None:
-        each = _in_rows(lambda s: best_path(len(s), list(shared.value.found(s, longest)), penalty), ArrayType(StringType()))
-        return sentences.select(key, syllables, each(F.col(syllables)).alias("tags"))
-    words = lattice(sentences, dictionary, key, syllables, longest, most).groupBy(key).agg(F.collect_list(F.struct("pos", "len", "n")).alias("words"))
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def tags(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for sizes, found in parts:
-            yield pd.Series([best_path(int(n), [] if w is None else [(x["pos"], x["len"], x["n"]) for x in w], penalty) for n, w in zip(sizes, found, strict=True)])
-
-    return sentences.join(words, key, "left").withColumn("tags", tags(F.size(syllables), "words")).select(key, syllables, "tags")
+    return _searched(sentences, dictionary, key, syllables, longest, most, lambda n, words: best_path(n, list(words), penalty), ArrayType(StringType()), "tags")
 
 
 def greedy_path(n: int, words: Iterator[tuple[int, int, int]]) -> list[str]:
@@ -171,18 +274,7 @@ def greedy_path(n: int, words: Iterator[tuple[int, int, int]]) -> list[str]:
 
 def greedy(sentences: DataFrame, dictionary: DataFrame, key: str = "sent_id", syllables: str = "syllables", longest: int = LONGEST, most: int = MOST) -> DataFrame:
     """As `segmented`, by the longest word from the left on."""
-    shared = held(dictionary, most)
-    if shared is not None:
-        each = _in_rows(lambda s: greedy_path(len(s), shared.value.found(s, longest)), ArrayType(StringType()))
-        return sentences.select(key, syllables, each(F.col(syllables)).alias("tags"))
-    words = lattice(sentences, dictionary, key, syllables, longest, most).groupBy(key).agg(F.collect_list(F.struct("pos", "len", "n")).alias("words"))
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def tags(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for sizes, found in parts:
-            yield pd.Series([greedy_path(int(n), [] if w is None else [(x["pos"], x["len"], x["n"]) for x in w]) for n, w in zip(sizes, found, strict=True)])
-
-    return sentences.join(words, key, "left").withColumn("tags", tags(F.size(syllables), "words")).select(key, syllables, "tags")
+    return _searched(sentences, dictionary, key, syllables, longest, most, greedy_path, ArrayType(StringType()), "tags")
 
 
 def variants(vocabulary: DataFrame) -> DataFrame:

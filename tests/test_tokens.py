@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sonca import queries
 from sonca.functions import hashes
@@ -318,3 +319,21 @@ def test_fuse_counts_once(spark):
     out = queries._fuse(s)
     assert _generated(out) <= 2  # pairs and trigrams are counted once each, besides the pairs of the filter
     assert out.first().asDict() == {"n_exact": 4, "n_missed": 0, "few_more": True}
+
+
+@pytest.mark.parametrize("most", [0, 3, 7])
+def test_rarer_words_are_joined(spark, most):
+    """The most frequent words are held, the others are looked up by a join of what a filter lets through."""
+    rng = np.random.default_rng(7)
+    s = spark.createDataFrame([(i, [f"ữ{x}" for x in rng.integers(6, size=rng.integers(0, 40))]) for i in range(80)] + [(99, None)], "sent_id long, syllables array<string>")
+    d = spark.createDataFrame([(" ".join(f"ữ{x}" for x in rng.integers(6, size=n)), int(rng.integers(1, 500))) for n in (1, 2, 2, 2, 3, 3, 3, 4, 4, 4, 5)] + [("never seen", 9)], "word string, n long").dropDuplicates(["word"])
+    for f in (words.lattice, words.segmented, words.greedy, words.flagged):
+        a, b = (sorted(map(str, f(s, d, most=m).collect())) for m in (words.MOST, most))
+        assert a == b
+    top, rest = words.held(d, most)
+    assert len(top.value.words) <= most and rest.count() + len(top.value.words) == d.where("size(split(word, ' ')) between 2 and 4").count()
+    passed = words.candidates(s, "sent_id", "syllables", 4, words._filter_of(rest)).select("gram").distinct()
+    every = words.candidates(s, "sent_id", "syllables", 4, None)
+    found = passed.join(rest.select("word"), passed["gram"] == rest["word"]).count()
+    assert found == every.select("gram").distinct().join(rest.select("word"), F.col("gram") == F.col("word")).count()
+    assert passed.count() <= found + 0.05 * every.select("gram").distinct().count() + 3
