@@ -319,30 +319,82 @@ def restored_path(options: list[list[tuple[str, float]]], pairs: dict[tuple[str,
     return out[::-1]
 
 
-def restored(sentences: DataFrame, options_of: DataFrame, bigrams: DataFrame, key: str = "sent_id", syllables: str = "syllables", most: int = MOST) -> DataFrame:
+def restored(sentences: DataFrame, options_of: DataFrame, bigrams: DataFrame, key: str = "sent_id", syllables: str = "syllables", most: int = MOST, most_options: int | None = None) -> DataFrame:
     """sent_id, syllables, restored: bare syllables with the tones and marks of the most likely path.
 
     options_of is (bare, variants), as `variants` makes it; bigrams is (gram, n_count) over renderings. Where options and
-    the pairs that decide between some fit a broadcast, each row is done by itself; else only the pairs of a sentence's
-    own options reach it, by joins. A pair of two syllables without other options decides nothing.
+    the pairs that decide between some fit a broadcast, each row is done by itself. Of more pairs the most frequent are
+    held so, and a join brings a sentence the others that its own options make, as far as a filter of them lets them
+    through. Options that are too large are joined too. A pair of two syllables without other options decides nothing.
     """
     # A syllable whose only form is itself needs no options.
     some = options_of.where((F.size("variants") > 1) | (F.col("variants")[0]["vocab"] != F.col("bare"))).select("bare", F.col("variants.vocab").alias("x"), F.col("variants.n").alias("n"), F.array_join("variants.vocab", "").alias("all"))
-    options = small_table(some, "bare", "all", most=most)
-    if options is not None:
-        options = {b: [(x, float(n)) for x, n in zip(xs, ns, strict=True)] for b, xs, ns in zip(*(options[c].to_pylist() for c in ("bare", "x", "n")), strict=True)}
-        several = sentences.sparkSession.createDataFrame(pa.table({"x": pa.array([x for o in options.values() if len(o) > 1 for x, _ in o], pa.string())}))
-        pair = F.split("gram", " ")
-        open_pairs = bigrams.select(F.get(pair, 0).alias("a"), F.get(pair, 1).alias("b"), F.col("n_count").cast("long").alias("n"))
-        for side in ("a", "b"):
-            open_pairs = open_pairs.join(F.broadcast(several.select(F.col("x").alias(side), F.lit(True).alias(f"open_{side}"))), side, "left")
-        pairs = small_table(open_pairs.where("open_a or open_b").select("a", "b", "n"), "a", "b", most=most)
-        if pairs is not None:
-            pairs = {(a, b): float(n) for a, b, n in zip(*(pairs[c].to_pylist() for c in ("a", "b", "n")), strict=True)}
-            shared = sentences.sparkSession.sparkContext.broadcast((options, pairs))
-            each = _in_rows(lambda s: restored_path([shared.value[0].get(x) or [(x, 0.0)] for x in s], shared.value[1]), ArrayType(StringType()))
-            return sentences.select(key, syllables, each(F.col(syllables)).alias("restored"))
-    return _restored_by_joins(sentences, options_of, bigrams, key, syllables)
+    options = small_table(some, "bare", "all", most=most if most_options is None else most_options)
+    if options is None:
+        return _restored_by_joins(sentences, options_of, bigrams, key, syllables)
+    options = {b: [(x, float(n)) for x, n in zip(xs, ns, strict=True)] for b, xs, ns in zip(*(options[c].to_pylist() for c in ("bare", "x", "n")), strict=True)}
+    several = sentences.sparkSession.createDataFrame(pa.table({"x": pa.array([x for o in options.values() if len(o) > 1 for x, _ in o], pa.string())}))
+    pair = F.split("gram", " ")
+    open_pairs = bigrams.select("gram", F.get(pair, 0).alias("a"), F.get(pair, 1).alias("b"), F.col("n_count").cast("long").alias("n"))
+    for side in ("a", "b"):
+        open_pairs = open_pairs.join(F.broadcast(several.select(F.col("x").alias(side), F.lit(True).alias(f"open_{side}"))), side, "left")
+    top, rest = parted(open_pairs.where("open_a or open_b").select("gram", "n"), F.col("gram"), most)
+    pairs = {} if top is None else {tuple(g.split(" ", 1)): float(n) for g, n in zip(top["gram"].to_pylist(), top["n"].to_pylist(), strict=True)}
+    shared = sentences.sparkSession.sparkContext.broadcast((options, pairs))
+    if rest is None:
+        each = _in_rows(lambda s: restored_path([shared.value[0].get(x) or [(x, 0.0)] for x in s], shared.value[1]), ArrayType(StringType()))
+        return sentences.select(key, syllables, each(F.col(syllables)).alias("restored"))
+    asked = _open_pairs(sentences, key, syllables, shared, _filter_of(rest, "gram"))
+    more = asked.join(rest, "gram").groupBy(key).agg(F.collect_list(F.struct("gram", "n")).alias("__sonca_more"))
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def path(rows: pd.Series, more: pd.Series) -> pd.Series:
+        def one(s, m) -> list[str]:
+            found = _Both(shared.value[1], {} if m is None else {tuple(x["gram"].split(" ", 1)): float(x["n"]) for x in m})
+            return restored_path([shared.value[0].get(x) or [(x, 0.0)] for x in s], found)
+
+        return pd.Series([None if s is None else one(list(s), m) for s, m in zip(rows, more, strict=True)], dtype=object)
+
+    return sentences.join(more, key, "left").select(key, syllables, path(F.col(syllables), F.col("__sonca_more")).alias("restored"))
+
+
+class _Both:
+    """Counts of pairs: those that all tasks hold, and those of a sentence."""
+
+    def __init__(self, held: dict, own: dict) -> None:
+        self.held, self.own = held, own
+
+    def get(self, pair, default):
+        return self.held.get(pair) or self.own.get(pair, default)
+
+
+def _open_pairs(sentences: DataFrame, key: str, syllables: str, shared, among) -> DataFrame:
+    """key, gram: the pairs of neighbours' options that decide something and are not held, if a filter lets them through."""
+    kind = sentences.schema[key].dataType.simpleString()
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options, pairs = shared.value
+        names = {x: [v for v, _ in o] for x, o in options.items()}
+        for batch in stream:
+            for first in range(0, batch.num_rows, 512):  # what is asked about stays small
+                keys, rows = (c.slice(first, 512) for c in batch.columns)
+                asked: dict[tuple[int, str, str], None] = {}
+                for i, s in enumerate(rows.to_pylist()):
+                    held = [names.get(x) or [x] for x in s or ()]
+                    for us, vs in zip(held, held[1:]):
+                        if len(us) > 1 or len(vs) > 1:
+                            asked.update(((i, u, v), None) for u in us for v in vs if (u, v) not in pairs)
+                if asked:
+                    at, us, vs = zip(*asked, strict=True)
+                    a, b = (pa.array(x, pa.string()) for x in (us, vs))
+                    good = np.ones(len(at), bool)
+                    if among is not None:
+                        ha, hb = ((lambda c: _hashed(c.dictionary)[c.indices.to_numpy()])(x.dictionary_encode()) for x in (a, b))
+                        good = among.value.contains(_joined(ha, hb))
+                    gram = pc.binary_join_element_wise(a, b, " ").filter(pa.array(good))
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.array(at)[good])), gram], names=[key, "gram"])
+
+    return sentences.select(key, syllables).mapInArrow(run, f"`{key}` {kind}, gram string")
 
 
 def _restored_by_joins(sentences: DataFrame, options_of: DataFrame, bigrams: DataFrame, key: str, syllables: str) -> DataFrame:

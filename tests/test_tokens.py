@@ -337,3 +337,18 @@ def test_rarer_words_are_joined(spark, most):
     found = passed.join(rest.select("word"), passed["gram"] == rest["word"]).count()
     assert found == every.select("gram").distinct().join(rest.select("word"), F.col("gram") == F.col("word")).count()
     assert passed.count() <= found + 0.05 * every.select("gram").distinct().count() + 3
+
+
+@pytest.mark.parametrize("most", [0, 4])
+def test_restored_by_rarer_pairs(spark, most):
+    """Options that are held, and pairs of which some or all are joined."""
+    rng = np.random.default_rng(11)
+    s = spark.createDataFrame([(i, [f"w{x}" for x in rng.integers(6, size=rng.integers(0, 12))]) for i in range(60)], "sent_id long, syllables array<string>")
+    forms = {f"w{x}": [f"w{x}", f"ẃ{x}", f"ŵ{x}"][: 1 + x % 3] for x in range(5)}
+    o = spark.createDataFrame([(b, [(int(rng.integers(1, 9)), v) for v in vs]) for b, vs in forms.items()], "bare string, variants array<struct<n:long,vocab:string>>")
+    every = [v for vs in forms.values() for v in vs] + ["w5"]
+    pairs = spark.createDataFrame([(f"{a} {b}", int(rng.integers(1, 40))) for a in every for b in every if rng.random() < 0.4], "gram string, n_count long")
+    want = sorted(map(str, words.restored(s, o, pairs).collect()))
+    got = words.restored(s, o, pairs, most=most, most_options=100)
+    assert sorted(map(str, got.collect())) == want
+    assert "variants" not in got._jdf.queryExecution().optimizedPlan().toString()  # options are not joined
