@@ -160,7 +160,7 @@ def stupid_backoff(bi: DataFrame, tri: DataFrame) -> DataFrame:
 
 
 def backoff_score(queries: DataFrame, uni: DataFrame, bi: DataFrame, tri: DataFrame, alpha: float = 0.4) -> DataFrame:
-    """gram, score of given trigrams: c3/c2, else alpha c2/c1, else alpha^2 c1/N."""
+    """gram, score of given trigrams: c3/c2, else alpha c2/c1, else alpha^2 c1/N; of any tables."""
     total = uni.agg(F.sum("n_count").cast("double").alias("total")).scalar()
     named = lambda t, key, out: t.select(F.col("gram").alias(key), F.col("n_count").alias(out))
     q = queries.withColumns({"h": F.substring_index("gram", " ", 2), "t": F.substring_index("gram", " ", -2), "m": F.element_at(F.split("gram", " "), 2), "w": F.substring_index("gram", " ", -1)})
@@ -169,6 +169,25 @@ def backoff_score(queries: DataFrame, uni: DataFrame, bi: DataFrame, tri: DataFr
     return q.select("gram", F.round(score, 9).alias("score"))
 
 
+def scored_by_backoff(asked: DataFrame, uni: DataFrame, bi: DataFrame, alpha: float = 0.4) -> DataFrame:
+    """`backoff_score` of trigrams (gram, c3), whose count is null in rows that do not know it; each is scored once. The
+    counts are all those of one text: a seen trigram's first pair is counted too, and a counted pair's first word.
+
+    A row carries its gram and counts, and what is joined by is cut from the gram. A seen trigram needs its first pair
+    and no more, another one its last pair, and then one word: so one join with the pairs and one with the words do. The
+    rows that need no word go on under their whole gram, which is no word, and so lie spread.
+    """
+    total = uni.agg(F.sum("n_count").cast("double").alias("total")).scalar()
+    c3, c2, c1 = map(F.col, ("c3", "c2", "c1"))
+    q = asked.groupBy("gram").agg(F.max("c3").alias("c3"))
+    pair = F.when(c3.isNotNull(), F.substring_index("gram", " ", 2)).otherwise(F.substring_index("gram", " ", -2))
+    q = q.join(bi.select(F.col("gram").alias("pair"), F.col("n_count").alias("c2")), pair == F.col("pair"), "left").select("gram", "c3", "c2")
+    word = F.when(c2.isNull(), F.substring_index("gram", " ", -1)).when(c3.isNull(), F.get(F.split("gram", " "), 1)).otherwise(F.col("gram"))
+    q = q.join(uni.select(F.col("gram").alias("word"), F.col("n_count").alias("c1")), word == F.col("word"), "left")
+    score = F.when(c2.isNull(), alpha * alpha * c1 / total).when(c3.isNull(), alpha * c2 / c1).otherwise(c3 / c2)
+    return q.select("gram", F.round(F.coalesce(score, F.lit(0.0)), 9).alias("score"))
+
+
 def discount(n_count: Column) -> Column:
     """What absolute discounting takes of a count: half of one that stands once, three quarters of a larger one."""
     return F.when(n_count == 1, 0.5).otherwise(0.75)

@@ -86,7 +86,8 @@ def _bucket_score(s: DataFrame) -> DataFrame:
 def _backoff(s: DataFrame) -> DataFrame:
     """Scores of the trigrams and of what they are when turned round."""
     uni, bi, tri = (ngrams.grams(s, n) for n in (1, 2, 3))
-    return ngrams.backoff_score(tri.select("gram").union(_turned(tri)).distinct(), uni, bi, tri)
+    asked = tri.select("gram", F.col("n_count").alias("c3")).unionByName(_turned(tri).withColumn("c3", F.lit(None).cast("long")))
+    return ngrams.scored_by_backoff(asked, uni, bi)
 
 
 def _buckets(s: DataFrame) -> DataFrame:

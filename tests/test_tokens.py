@@ -352,3 +352,12 @@ def test_restored_by_rarer_pairs(spark, most):
     got = words.restored(s, o, pairs, most=most, most_options=100)
     assert sorted(map(str, got.collect())) == want
     assert "variants" not in got._jdf.queryExecution().optimizedPlan().toString()  # options are not joined
+
+
+def test_backoff_joins_twice(spark):
+    s = ngrams.symbols(docs(spark, "a b a b c. a b c b a! d c b. e a", "c b a d d d"))
+    uni, bi, tri = (ngrams.grams(s, n) for n in (1, 2, 3))
+    asked = tri.select("gram").union(queries._turned(tri)).distinct()
+    got = queries._backoff(s)
+    assert sorted(map(str, got.collect())) == sorted(map(str, ngrams.backoff_score(asked, uni, bi, tri).collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
