@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import AFTER, BEFORE
-from .syllables import is_word
+from .syllables import is_word, sliced
 from .tokens import pieces
 
 
@@ -19,7 +19,7 @@ def document_postings(docs: DataFrame, key: str = "doc_id", text: str = "text")
     schema = pa.schema([("token", pa.string()), (key, pa.int64()), ("at", pa.list_(pa.int32()))])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in (x for b in stream for x in sliced(b)):
             ids, cut = batch.columns
             coded, sizes = cut.flatten().dictionary_encode(), cut.value_lengths().fill_null(0).to_numpy()
             found = [read_word(p) for p in coded.dictionary.to_pylist()]

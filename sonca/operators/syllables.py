@@ -128,13 +128,26 @@ def read_piece(piece: str) -> Piece:
     return Piece("\\n" if core == ESCAPED else core, fenced, category, i, first, every)
 
 
+#: Pieces of texts that a worker works on at once, if a single text has no more.
+PIECES = 1 << 18
+
+
+def sliced(batch: pa.RecordBatch, most: int = PIECES) -> Iterator[pa.RecordBatch]:
+    """A batch whose last column are lists, in slices of about `most` elements, so that what is made of them stays small."""
+    ends = np.cumsum(batch.column(batch.num_columns - 1).value_lengths().fill_null(0).to_numpy().astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), batch.num_rows]
+    for first, last in zip(cuts, cuts[1:]):
+        if last > first:
+            yield batch.slice(first, last - first)
+
+
 def piecewise(rows: DataFrame, keys: str, columns: str, of: Callable[[list[str]], Callable[[np.ndarray, np.ndarray], list]]) -> DataFrame:
     """rows (keys, pieces) with columns from their pieces. `of` reads the distinct pieces of a batch, each once, and
     returns what makes the columns out of each piece's number and of where each row's pieces begin."""
     names = [x.split(" ")[0] for x in f"{keys}, {columns}".split(", ")]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in (x for b in stream for x in sliced(b)):
             pieces = batch.column(batch.num_columns - 1)
             coded = pieces.flatten().dictionary_encode()
             starts = np.concatenate([[0], np.cumsum(pieces.value_lengths().fill_null(0).to_numpy())])

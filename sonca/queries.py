@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import session
 from .functions import hashes, ids
 from .operators import cdx, filters, index, lines, ngrams, rdr, syllables, tokens, vocab, words
 from .plans import jobs
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.small_batches(spark)
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

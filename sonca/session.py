@@ -20,6 +20,13 @@ def session(cores: int | str = "*", **conf: str) -> SparkSession:
     return b.config(map=settings | conf).getOrCreate()
 
 
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+    """Bounds the bytes of Arrow batches, where the session has Spark's defaults: ten thousand texts may be large."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(size, str(most_bytes))
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to Python workers, unless they find it where the driver does.
 

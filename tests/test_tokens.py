@@ -361,3 +361,15 @@ def test_backoff_joins_twice(spark):
     got = queries._backoff(s)
     assert sorted(map(str, got.collect())) == sorted(map(str, ngrams.backoff_score(asked, uni, bi, tri).collect()))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+def test_batches_are_sliced(spark):
+    import pyarrow as pa
+
+    rows = [["a"] * n for n in (3, 0, 9, 1, 30, 2, 2)] + [None, ["b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(rows, pa.list_(pa.string()))], names=["i", "p"])
+    got = list(syllables.sliced(batch, 5))
+    assert [r for b in got for r in b.column(0).to_pylist()] == list(range(9)) and [r for b in got for r in b.column(1).to_pylist()] == rows
+    assert len(got) > 3 and all(b.num_rows == 1 or sum(len(r or ()) for r in b.column(1).to_pylist()[:-1]) <= 10 for b in got)
+    assert list(syllables.sliced(batch.slice(0, 0))) == []
+    assert sum(b.num_rows for b in syllables.sliced(batch.slice(3, 4), 5)) == 4
