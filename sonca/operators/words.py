@@ -69,8 +69,8 @@ def small_table(table: DataFrame, *texts: str, most: int = MOST, most_bytes: int
         held.unpersist()
 
 
-#: The table that the last large lookup was split from, by session: it is on disk until the next one.
-_split: dict[int, DataFrame] = {}
+#: The table that the last large lookup was split from, by application: it is on disk until the next one.
+_split: dict[str, DataFrame] = {}
 
 
 def parted(table: DataFrame, text: Column, most: int = MOST, most_bytes: int = MOST_BYTES) -> tuple[pa.Table | None, DataFrame | None]:
@@ -89,7 +89,7 @@ def parted(table: DataFrame, text: Column, most: int = MOST, most_bytes: int = M
         found = kept.toArrow()
         kept.unpersist()
         return found, None
-    own = id(table.sparkSession)
+    own = table.sparkSession.sparkContext.applicationId
     if own in _split:
         _split[own].unpersist()
     _split[own] = kept
