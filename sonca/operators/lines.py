@@ -1,12 +1,13 @@
-"""Line statistics and routing by how Vietnamese a line is; nested arrays only, no shuffle."""
+"""Line statistics and routing by how Vietnamese a line is; no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
-from ..schemas import AFTER, ALPHA, BEFORE, ESCAPED
+from ..schemas import AFTER, ESCAPED
+from . import scan
 from .tokens import core, lines
 
 
@@ -15,22 +16,7 @@ def stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     A token is Vietnamese if it has marks and at most 20 bytes (the surface variant; syllables come from the parser).
     """
-
-    def figures(p: Column) -> Column:
-        own = p == ESCAPED
-        after = (p.endswith(AFTER) | own).cast("int")
-        b = F.when(own, 2).otherwise(F.octet_length(p) - 3 * (p.startswith(BEFORE).cast("int") + p.endswith(AFTER).cast("int")))
-        marked = p.rlike(f"^{BEFORE}?[{ALPHA}]") & ~p.rlike(f"^{BEFORE}?[A-Za-z]+{AFTER}?$")
-        return F.struct(b.alias("b"), after.alias("after"), marked.alias("marked"))
-
-    def added(sums: Column, x: Column) -> Column:
-        vi = F.when(x["marked"] & (x["b"] <= 20), x["b"] + 1).otherwise(0)
-        more = F.struct((sums["line"] + x["b"] + x["after"]).alias("line"), (sums["vi"] + vi).alias("vi"), (sums["n"] + 1).alias("n"))
-        return F.when(x["b"] <= 255, more).otherwise(sums)
-
-    none = F.struct(*[F.lit(0).cast("long").alias(x) for x in ("line", "vi", "n")])
-    rows = lines(docs, key, text).select(key, "line_no", F.aggregate(F.transform("pieces", figures), none, added).alias("t"))
-    return rows.select(key, "line_no", F.col("t.line").alias("line_bytes"), F.col("t.vi").alias("vi_bytes"), F.col("t.n").alias("n_tokens"))
+    return scan.line_figures(docs, key, text)
 
 
 def route(found: DataFrame) -> DataFrame:
