@@ -170,9 +170,12 @@ def parse(token: str, strict: bool = True) -> Parsed | None:
 
     Most tokens that are none don't even look like one, which is found out at once.
     """
-    if not token or (not _is_shaped(token.lower()) and not _has_combining(token)):
-        return None
-    return _parse(token, strict)
+    return _parse(token, strict) if may_parse(token) else None
+
+
+def may_parse(token: str) -> bool:
+    """Whether a token looks like a syllable, or has marks of its own and may be one."""
+    return bool(token) and bool(_is_shaped(token.lower()) or _has_combining(token))
 
 
 def _parse(token: str, strict: bool) -> Parsed | None:

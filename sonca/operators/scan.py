@@ -6,7 +6,9 @@ A token costs one match; what depends on its letters alone is found once for eac
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ is_word = re.compile(f"[{ALPHA}]").match
 
 #: Characters of texts that are cut before what was found in them is passed on.
 TEXTS = 1 << 21
+#: Distinct tokens that a task holds before it passes on their counts, and rows that it passes on at once.
+TYPES, ROWS = 1 << 18, 1 << 14
 
 
 def prepared(text: str | None) -> str:
@@ -58,14 +62,22 @@ def _flat(texts: list[str | None], cut: Callable[[str | None], list[str]]) -> tu
 
 
 def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """token, n: how often each token stands, newlines included. Counts are combined in slices, then shuffled once."""
+    """token, n: how often each token stands, newlines included. A task keeps up to about TYPES of them together."""
+
+    def rows_of(held: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        names, counts = pa.array(["\\n" if x == ESCAPED else x for x in held], pa.string()), pa.array(held.values(), pa.int64())
+        for i in range(0, len(names), ROWS):
+            yield pa.RecordBatch.from_arrays([names.slice(i, ROWS), counts.slice(i, ROWS)], names=["token", "n"])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            for _, texts in _slices(batch.column(0)):
-                _, t = _flat(texts, tokens_of)
-                names = pa.array(["\\n" if x == ESCAPED else x for x in t.dictionary.to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(t.indices.to_numpy(), minlength=len(names)), pa.int64())], names=["token", "n"])
+        held: dict[str, int] = {}
+        for texts in (x for batch in stream for _, x in _slices(batch.column(0))):
+            for x, n in Counter(chain.from_iterable(map(tokens_of, texts))).items():
+                held[x] = held.get(x, 0) + n
+            if len(held) > TYPES:
+                yield from rows_of(held)
+                held = {}
+        yield from rows_of(held)
 
     rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "token string, n long")
     return rows.groupBy("token").agg(F.sum("n").alias("n"))

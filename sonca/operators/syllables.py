@@ -20,7 +20,7 @@ from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from ..functions import ids
 from ..functions.columns import let
-from ..functions.syllable import can_be_vietnamese, lookup
+from ..functions.syllable import can_be_vietnamese, lookup, may_parse
 from ..functions.telex import MAX_LEN
 from ..schemas import AFTER, ALPHA, BEFORE, ESCAPED, NONE_ID
 from .tokens import lines, pieces
@@ -33,7 +33,8 @@ MODES = ("dense", "spare", "parts", "utf8")
 @F.pandas_udf(PARSED)
 def _parsed(tokens: pd.Series) -> pd.DataFrame:
     codes, types = pd.factorize(tokens)
-    found = [lookup(t) for t in types] + [(None, False, False, False)]
+    none = (None, False, False, False)
+    found = [lookup(t) if may_parse(t) else none for t in types] + [none]
     columns = list(zip(*found, strict=True))
     at = np.where(codes < 0, len(types), codes)
     return pd.DataFrame({"syllable_id": pd.array(columns[0], "Int32")[at], **{k: np.array(v, bool)[at] for k, v in zip(("marked", "first_upper", "all_upper"), columns[1:], strict=True)}})

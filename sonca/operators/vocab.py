@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import scan
+from .tokens import category
+
 
 def types(tokens: DataFrame, where: Column | None = None) -> DataFrame:
     """token, category, n; counts are combined before the shuffle."""
@@ -16,6 +19,11 @@ def types(tokens: DataFrame, where: Column | None = None) -> DataFrame:
     return rows.groupBy("token", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def types_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """token, category, n of whole texts, counted where they are read."""
+    return scan.token_counts(docs, text).select("token", category(F.col("token")).alias("category"), "n")
+
+
 def alphabet_types(tokens: DataFrame) -> DataFrame:
     return types(tokens, F.col("category") != "nonalpha")
 

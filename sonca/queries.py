@@ -36,6 +36,14 @@ def on_tokens(f: Callable[[DataFrame], DataFrame]) -> Query:
     return on_documents(lambda d: f(tokens.tokenize(d)))
 
 
+def on_types(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return on_documents(lambda d: f(vocab.types_of(d)))
+
+
+def on_words(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return on_types(lambda t: f(t.where("category <> 'nonalpha'")))
+
+
 def on_symbols(f: Callable[[DataFrame], DataFrame]) -> Query:
     return on_documents(lambda d: f(ngrams.symbols(d)))
 
@@ -60,7 +68,7 @@ def _attribute_bytes(t: DataFrame) -> DataFrame:
 
 
 def _case_flags(t: DataFrame) -> DataFrame:
-    return tokens.case_flags(vocab.types(t))
+    return tokens.case_flags(t)
 
 
 def _type_join(t: DataFrame) -> DataFrame:
@@ -127,7 +135,7 @@ def _index(d: DataFrame) -> DataFrame:
 
 
 def _fnv(t: DataFrame) -> DataFrame:
-    return vocab.types(t, F.col("category") != "nonalpha").select("token", "n", hashes.fnv1a32_column(F.col("token")).alias("hash"))
+    return t.select("token", "n", hashes.fnv1a32_column(F.col("token")).alias("hash"))
 
 
 def _base64(spark: SparkSession, _: str) -> DataFrame:
@@ -139,11 +147,11 @@ def _encode(spark: SparkSession, _: str) -> DataFrame:
 
 
 def _parsed_types(t: DataFrame) -> DataFrame:
-    return syllables.with_syllables(vocab.types(t, F.col("category") != "nonalpha"))
+    return syllables.with_syllables(t)
 
 
 def _syllable_types(t: DataFrame) -> DataFrame:
-    return syllables.syllable_types(vocab.types(t, F.col("category") != "nonalpha"))
+    return syllables.syllable_types(t)
 
 
 def _ids_by_document(d: DataFrame) -> DataFrame:
@@ -160,10 +168,6 @@ def _round_trip(d: DataFrame) -> DataFrame:
     return cdx.read(cdx.encoded_lines(d)).select("doc_id", "line_no", F.size("ids").alias("n_symbols"), F.size(F.filter("ids", lambda x: x != 32767)).alias("n_syllables"))
 
 
-def _rare(d: DataFrame) -> DataFrame:
-    return jobs.rarely_used(vocab.alphabet_types(tokens.tokenize(d)))
-
-
 def _oov(t: DataFrame) -> DataFrame:
     return _parsed_types(t).where("syllable_id is null").select("token", "category", "n")
 
@@ -250,8 +254,7 @@ def _fuse_sizes(s: DataFrame) -> DataFrame:
 
 
 def _hashes(t: DataFrame) -> DataFrame:
-    types = vocab.types(t, F.col("category") != "nonalpha").select("token")
-    return types.select("token", hashes.of_text("xxh32")(F.col("token")).alias("xxh32"), hashes.of_text("city32")(F.col("token")).alias("city32"))
+    return t.select("token", hashes.of_text("xxh32")(F.col("token")).alias("xxh32"), hashes.of_text("city32")(F.col("token")).alias("city32"))
 
 
 def _discounted(s: DataFrame) -> DataFrame:
@@ -299,16 +302,16 @@ QUERIES: dict[str, Query] = {
     "limit_lines": on_documents(lambda d: tokens.line_tokens(d, max_lines=2)),
     "line_numbers": on_documents(lambda d: tokens.line_tokens(d).groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("n_tokens"))),
     "token_at": on_documents(lambda d: tokens.token_at(d, 3)),
-    "case_flags": on_tokens(_case_flags),
+    "case_flags": on_types(_case_flags),
     "attribute_bytes": on_tokens(_attribute_bytes),
     "attribute_decode": on_tokens(_attributes),
-    "vocab_alphabet": on_tokens(vocab.alphabet_types),
-    "vocab_nonalpha": on_tokens(vocab.nonalpha_types),
+    "vocab_alphabet": on_words(lambda t: t),
+    "vocab_nonalpha": on_types(lambda t: t.where("category = 'nonalpha'")),
     "token_totals": on_tokens(vocab.totals),
-    "top_types": on_tokens(lambda t: vocab.by_count(vocab.alphabet_types(t), 100)),
-    "longest_types": on_tokens(lambda t: vocab.by_length(vocab.alphabet_types(t), 100)),
+    "top_types": on_words(lambda t: vocab.by_count(t, 100)),
+    "longest_types": on_words(lambda t: vocab.by_length(t, 100)),
     "token_type_join": on_tokens(_type_join),
-    "type_listing": on_tokens(lambda t: vocab.wrapped(vocab.alphabet_types(t))),
+    "type_listing": on_words(vocab.wrapped),
     "unigrams": on_symbols(lambda s: ngrams.grams(s, 1)),
     "bigrams": on_symbols(lambda s: ngrams.grams(s, 2)),
     "trigrams": on_symbols(lambda s: ngrams.grams(s, 3)),
@@ -341,24 +344,24 @@ QUERIES: dict[str, Query] = {
     "dedup_lines": on_documents(index.first_lines),
     "inverted_index": on_documents(_index),
     "phrase_search": on_tokens(lambda t: index.phrase(t, ["of", "the"])),
-    "fnv1a32": on_tokens(_fnv),
-    "hashes": on_tokens(_hashes),
-    "syllable_parse": on_tokens(_parsed_types),
-    "can_be_vietnamese": on_tokens(lambda t: syllables.vietnamese(vocab.alphabet_types(t))),
+    "fnv1a32": on_words(_fnv),
+    "hashes": on_words(_hashes),
+    "syllable_parse": on_words(_parsed_types),
+    "can_be_vietnamese": on_words(syllables.vietnamese),
     "tokens_with_ids": on_documents(_ids_by_document),
-    "vocab_syllable": on_tokens(_syllable_types),
-    "vocab_syllower": on_tokens(lambda t: syllables.lower_types(_syllable_types(t))),
-    "vocab_syllow00": on_tokens(lambda t: syllables.bare_types(_syllable_types(t))),
-    "vocab_syllovan": on_tokens(lambda t: syllables.rime_types(_syllable_types(t))),
-    "oov_types": on_tokens(_oov),
+    "vocab_syllable": on_words(_syllable_types),
+    "vocab_syllower": on_words(lambda t: syllables.lower_types(_syllable_types(t))),
+    "vocab_syllow00": on_words(lambda t: syllables.bare_types(_syllable_types(t))),
+    "vocab_syllovan": on_words(lambda t: syllables.rime_types(_syllable_types(t))),
+    "oov_types": on_words(_oov),
     "syllable_ngrams": on_documents(lambda d: ngrams.shown(ngrams.grams_of(ngrams.syllable_symbols(d), range(1, 4)))),
     "rendered_lines": on_documents(lambda d: lines.route(syllables.rendered_lines(d))),
     "cdx_roundtrip": on_documents(_round_trip),
-    "rarely_used_ids": on_documents(_rare),
-    "rarely_used_of_tone": on_documents(lambda d: jobs.rarely_used(vocab.alphabet_types(tokens.tokenize(d)), "s")),
+    "rarely_used_ids": on_words(jobs.rarely_used),
+    "rarely_used_of_tone": on_words(lambda t: jobs.rarely_used(t, "s")),
     "syllable_features": _features,
     "dense_to_id": _from_dense,
-    "vietnamese_parse": on_vietnamese(lambda d: _parsed_types(tokens.tokenize(d))),
+    "vietnamese_parse": on_vietnamese(lambda d: _parsed_types(vocab.types_of(d).where("category <> 'nonalpha'"))),
     "vietnamese_lines": on_vietnamese(lambda d: lines.route(syllables.rendered_lines(d))),
     "vietnamese_ngrams": on_vietnamese(lambda d: ngrams.shown(ngrams.grams_of(ngrams.syllable_symbols(d), (1, 2)))),
     "invalid_ids": lambda spark, _: jobs.unreadable(spark),

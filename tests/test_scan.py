@@ -1,6 +1,6 @@
 """Steps over texts in Arrow batches, against the column pipeline and brute force."""
 
-from sonca.operators import lines, tokens
+from sonca.operators import lines, tokens, vocab
 
 ODD = ["", None, "\n", "\n\n a", "a\\nb \\n\\n c\\r\\td", "Cả nhà đơi ,  x\t", "x" * 300 + " é", "é" * 11 + " " + "é" * 10 + "!", "a-b--c  ..\n.. \\n", "\\", "1 2\n3 á\r\nb "]
 
@@ -28,3 +28,10 @@ def test_line_figures(spark):
             after = r["fenced"] % 2
             want[k] = a + size + after, b + (size + 1 if r["category"] == "alphmark" and size <= 20 else 0), n + 1
     assert got == want
+
+
+def test_types(spark):
+    d = table(spark, ODD)
+    found = vocab.types_of(d)
+    assert "MapInArrow" in planned(found) and "explode" not in planned(found)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in vocab.types(tokens.tokenize(d)).collect()}
