@@ -1,20 +1,19 @@
-"""n-gram counts with blanks, over arrays of a document's symbols: one shuffle, on the gram.
+"""n-gram counts with blanks, over arrays of a document's symbols: one shuffle, on the gram or on where it begins.
 
 Symbols are token surfaces (or syllable ids as strings) with BLANK for what is no word. Windows never cross documents.
-A document's array is zipped with itself moved on, and becomes a row for each place; grams of several lengths are made
-of the same row, so that a text is read once however many lengths are counted.
+They are counted in Arrow batches (`windows`); long grams of several lengths travel together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import decode, dense
 from ..schemas import BLANK, NONE_ID
-from . import tokens
+from . import scan, windows
 from .syllables import document_ids
 
 MIN_COUNT, MIN_DISTINCT = 10, 100_000
@@ -23,7 +22,7 @@ BUCKETS = (("a", 2), ("b", 5), ("c", 11), ("d", 25), ("e", 80))
 
 def symbols(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, s: the symbols of each document in order, collapsed: no gram depends on how many blanks stand together."""
-    return docs.select(F.col(key), tokens.symbols(F.col(text)).alias("s"))
+    return scan.symbols(docs, key, text)
 
 
 def syllable_symbols(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -38,50 +37,10 @@ def collapsed(s: Column) -> Column:
     return F.split(F.regexp_replace(joined, f"{BLANK}[ {BLANK}]*{BLANK}", BLANK), " ")
 
 
-def _places(docs: DataFrame, s: Column, n: int) -> DataFrame:
-    """s0 ... s(n-1): the symbols from each place on; null beyond the end."""
-    names = [f"s{i}" for i in range(n)]
-    rows = docs.select(s.alias("s0")).select("s0", *[F.slice("s0", i + 1, F.size("s0")).alias(names[i]) for i in range(1, n)])
-    return rows.select(F.explode(F.arrays_zip(*names)).alias("z")).select("z.*")
-
-
-def _counted(places: DataFrame, counts: dict[int, Column]) -> DataFrame:
-    """n, gram, n_count: of each length, the grams that count."""
-    gram = lambda n: F.concat_ws(" ", *[F.col(f"s{i}") for i in range(n)])
-    if len(counts) == 1:
-        ((n, good),) = counts.items()
-        rows = places.where(good).select(F.lit(n).alias("n"), gram(n).alias("gram"))
-    else:
-        each = F.explode(F.array(*[F.when(good, F.struct(F.lit(n).alias("n"), gram(n).alias("gram"))) for n, good in counts.items()]))
-        rows = places.select(each.alias("g")).where("g is not null").select("g.*")
-    return rows.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("n_count"))
-
-
-def _symbol(i: int) -> Column:
-    return F.col(f"s{i}")
-
-
-def _word(i: int) -> Column:
-    return _symbol(i) != BLANK
-
-
-def _all(conditions: Iterable[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
-
-
 def grams_of(docs: DataFrame, lengths: Iterable[int]) -> DataFrame:
     """n, gram, n_count: up to three symbols without blanks; longer ones with blanks at one end at most."""
-    lengths = list(lengths)
-
-    def counts(n: int) -> Column:
-        inner = _all(_word(i) for i in (range(n) if n < 4 else range(1, n - 1)))
-        ends = F.lit(True) if n < 4 else _word(0) | _word(n - 1)
-        return _symbol(n - 1).isNotNull() & inner & ends
-
-    return _counted(_places(docs, F.concat(F.array(F.lit(BLANK)), F.col("s")), max(lengths)), {n: counts(n) for n in lengths})
+    padded = docs.select(F.concat(F.array(F.lit(BLANK)), F.col("s")).alias("s"))
+    return windows.counted(padded, lengths, windows.plain)
 
 
 def grams(docs: DataFrame, n: int) -> DataFrame:
@@ -94,10 +53,7 @@ def blank_aware_of(docs: DataFrame, lengths: Iterable[int], padded: bool = False
 
     Padded symbols are collapsed already. After a blank all further symbols must be words; after a word the second may be blank in pairs, and the last in fours.
     """
-    lengths = list(lengths)
-    rule: dict[int, Callable[[], Column]] = {1: lambda: F.lit(True), 2: lambda: _word(0) | _word(1), 3: lambda: _word(1) & _word(2), 4: lambda: _word(1) & _word(2) & (_word(0) | _word(3))}
-    s = F.col("s") if padded else collapsed(F.col("s"))
-    return _counted(_places(docs, s, max(lengths)), {n: _symbol(n - 1).isNotNull() & rule[n]() for n in lengths})
+    return windows.counted(docs.select((F.col("s") if padded else collapsed(F.col("s"))).alias("s")), lengths, windows.blanks)
 
 
 def blank_aware(docs: DataFrame, n: int, padded: bool = False) -> DataFrame:
@@ -124,14 +80,30 @@ def bucket(n_count: Column) -> Column:
     return out.otherwise("f")
 
 
+def counts_of(docs: DataFrame, lengths: Iterable[int], blank_aware: bool = False) -> DataFrame:
+    """n, n_count, n_grams: how many grams have each count, in several rows; of plain grams, or blank-aware ones of padded symbols."""
+    padded = docs if blank_aware else docs.select(F.concat(F.array(F.lit(BLANK)), F.col("s")).alias("s"))
+    return windows.counted(padded, lengths, windows.blanks if blank_aware else windows.plain, sizes=True)
+
+
 def bucket_sizes(counts: DataFrame, *by: str) -> DataFrame:
     return counts.groupBy(*by, bucket(F.col("n_count")).alias("bucket")).agg(F.count(F.lit(1)).alias("n_grams"), F.sum("n_count").alias("n_total"))
 
 
+def bucket_sizes_of(sizes: DataFrame, *by: str) -> DataFrame:
+    """`bucket_sizes` from how many grams have each count."""
+    return sizes.groupBy(*by, bucket(F.col("n_count")).alias("bucket")).agg(F.sum("n_grams").alias("n_grams"), F.sum(F.col("n_count") * F.col("n_grams")).alias("n_total"))
+
+
 def summary(counts: DataFrame, *by: str) -> DataFrame:
     return counts.groupBy(*by).agg(F.count(F.lit(1)).alias("n_distinct"), F.coalesce(F.sum("n_count"), F.lit(0)).alias("n_total"))
 
 
+def summary_of(sizes: DataFrame, *by: str) -> DataFrame:
+    """`summary` from how many grams have each count."""
+    return sizes.groupBy(*by).agg(F.sum("n_grams").alias("n_distinct"), F.sum(F.col("n_count") * F.col("n_grams")).alias("n_total"))
+
+
 def bucket_scores(queries: DataFrame, counts: DataFrame) -> DataFrame:
     """gram, score of given grams by the bucket of their count."""
     return queries.join(counts.select("gram", "n_count"), "gram", "left").select("gram", bucket_score(F.col("n_count")).cast("int").alias("score"))

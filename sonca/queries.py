@@ -101,12 +101,12 @@ def _backoff(s: DataFrame) -> DataFrame:
 
 
 def _buckets(s: DataFrame) -> DataFrame:
-    return ngrams.bucket_sizes(ngrams.without_singles(ngrams.blank_aware_of(s, (2, 3, 4), padded=True)), "n")
+    return ngrams.bucket_sizes_of(ngrams.without_singles(ngrams.counts_of(s, (2, 3, 4), blank_aware=True)), "n")
 
 
 def _summaries(s: DataFrame) -> DataFrame:
     """Of each length, zeros where no gram stands."""
-    found = ngrams.summary(ngrams.grams_of(s, range(1, 6)), "n")
+    found = ngrams.summary_of(ngrams.counts_of(s, range(1, 6)), "n")
     lengths = s.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("n"))
     return lengths.join(found, "n", "left").select("n", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_distinct", "n_total")])
 

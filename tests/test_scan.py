@@ -1,6 +1,12 @@
 """Steps over texts in Arrow batches, against the column pipeline and brute force."""
 
-from sonca.operators import lines, tokens, vocab
+import random
+from collections import Counter
+
+import numpy as np
+
+from sonca.operators import lines, tokens, vocab, windows
+from sonca.schemas import BLANK
 
 ODD = ["", None, "\n", "\n\n a", "a\\nb \\n\\n c\\r\\td", "Cả nhà đơi ,  x\t", "x" * 300 + " é", "é" * 11 + " " + "é" * 10 + "!", "a-b--c  ..\n.. \\n", "\\", "1 2\n3 á\r\nb "]
 
@@ -35,3 +41,31 @@ def test_types(spark):
     found = vocab.types_of(d)
     assert "MapInArrow" in planned(found) and "explode" not in planned(found)
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in vocab.types(tokens.tokenize(d)).collect()}
+
+
+def test_windows(spark):
+    rng = random.Random(3)
+    lists = [[rng.choice("a b c d #".split()) for _ in range(rng.choice([0, 1, 5, 60]))] for _ in range(60)] + [["a"] * 400] * 3
+    rows = spark.createDataFrame([(x,) for x in lists], "s array<string>").repartition(5)
+    for lengths, rule in ((range(1, 9), windows.plain), (range(1, 5), windows.blanks), ((6, 7, 8), windows.plain)):
+        want = Counter()
+        for x in lists:
+            words = np.array([c != BLANK for c in x] + [False] * 9)
+            for n in lengths:
+                good = rule(n, lambda i: words[i : i + len(x)])  # noqa: B023
+                want.update((n, " ".join(x[i : i + n])) for i in range(len(x) - n + 1) if good[i])
+        found = windows.counted(rows, lengths, rule)
+        assert "Aggregate" not in planned(found)
+        assert Counter({(r["n"], r["gram"]): r["n_count"] for r in found.collect()}) == want and found.count() == len(want)
+        sizes = Counter()
+        for r in windows.counted(rows, lengths, rule, sizes=True).collect():
+            sizes[r["n"], r["n_count"]] += r["n_grams"]
+        assert sizes == Counter((n, c) for (n, _), c in want.items())
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(windows, "_mixed", lambda columns: np.zeros(len(columns[0]), np.uint64))
+    columns = [np.array([1, 2, 1, 1 << 40]), np.array([5, 5, 5, 1 << 40])]
+    at, count = windows.distinct(columns)
+    assert sorted(zip(columns[0][at].tolist(), count.tolist())) == [(1, 2), (2, 1), (1 << 40, 1)]
+    assert sorted(windows.distinct(columns, np.array([3, 4, 5, 6]))[1].tolist()) == [4, 6, 8]
