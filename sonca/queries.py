@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import session
 from .functions import hashes, ids
-from .operators import cdx, filters, index, lines, ngrams, rdr, syllables, tokens, vocab, words
+from .operators import cdx, filters, index, lines, ngrams, rdr, syllables, tokens, typed, vocab, words
 from .plans import jobs
 from .schemas import CATEGORY_CODE, FENCE_NAMES
 
@@ -71,12 +71,6 @@ def _case_flags(t: DataFrame) -> DataFrame:
     return tokens.case_flags(t)
 
 
-def _type_join(t: DataFrame) -> DataFrame:
-    """Each token with how often its type stands in all documents."""
-    t = t.where("category <> 'nonalpha'")
-    return t.join(vocab.types(t), ["token", "category"]).select("doc_id", "pos", "token", "n")
-
-
 def _semi(s: DataFrame) -> DataFrame:
     """Trigrams whose first two words are a frequent pair."""
     pairs = ngrams.grams(s, 2).where("n_count >= 5").select(F.col("gram").alias("h"))
@@ -310,7 +304,7 @@ QUERIES: dict[str, Query] = {
     "token_totals": on_tokens(vocab.totals),
     "top_types": on_words(lambda t: vocab.by_count(t, 100)),
     "longest_types": on_words(lambda t: vocab.by_length(t, 100)),
-    "token_type_join": on_tokens(_type_join),
+    "token_type_join": on_documents(typed.with_counts),
     "type_listing": on_words(vocab.wrapped),
     "unigrams": on_symbols(lambda s: ngrams.grams(s, 1)),
     "bigrams": on_symbols(lambda s: ngrams.grams(s, 2)),

@@ -5,7 +5,8 @@ from collections import Counter
 
 import numpy as np
 
-from sonca.operators import lines, tokens, vocab, windows
+from sonca import queries
+from sonca.operators import lines, tokens, typed, vocab, windows
 from sonca.schemas import BLANK
 
 ODD = ["", None, "\n", "\n\n a", "a\\nb \\n\\n c\\r\\td", "Cả nhà đơi ,  x\t", "x" * 300 + " é", "é" * 11 + " " + "é" * 10 + "!", "a-b--c  ..\n.. \\n", "\\", "1 2\n3 á\r\nb "]
@@ -43,6 +44,33 @@ def test_types(spark):
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in vocab.types(tokens.tokenize(d)).collect()}
 
 
+def with_counts_by_hand(spark, d):
+    rows = [tuple(r) for r in tokens.tokenize(d).where("category <> 'nonalpha'").select("doc_id", "pos", "token").collect()]
+    n = Counter(r[2] for r in rows)
+    return Counter((*r, n[r[2]]) for r in rows)
+
+
+def test_words_with_counts(spark):
+    rng = random.Random(5)
+    texts = ODD + [" ".join(rng.choice(["the", "của", "a1", "x\n", "w" + "x" * rng.randrange(300)]) for _ in range(rng.choice([1, 30, 400]))) for _ in range(60)]
+    d = table(spark, texts + ["the " * 5000, "... 1 2"]).repartition(5)
+    want = with_counts_by_hand(spark, d)
+    for most in (1, 50, typed.WORDS):
+        found = typed.with_counts(d, most=most)
+        assert Counter(map(tuple, found.collect())) == want and dict(found.dtypes) == {"doc_id": "bigint", "pos": "int", "token": "string", "n": "bigint"}
+    assert typed.with_counts(d.limit(0)).count() == 0 == typed.with_counts(table(spark, ["", None, " .\n"])).count()
+    twice = d.selectExpr("if(doc_id % 3 = 0, null, cast(doc_id % 7 as string)) as doc_id", "text")
+    assert Counter(map(tuple, typed.with_counts(twice).collect())) == with_counts_by_hand(spark, twice)
+
+
+def test_type_join_reads_texts_once_and_shuffles_no_words(spark, tmp_path):
+    table(spark, ["the " * 1000 + "w" + "x" * i for i in range(40)]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["token_type_join"](spark, str(tmp_path))
+    plan = planned(found)
+    assert plan.count("Relation") == 1 and "Join" not in plan and "explode" not in plan
+    assert {tuple(r) for r in found.groupBy("n").count().collect()} == {(40000, 40000), (1, 40)}
+
+
 def test_windows(spark):
     rng = random.Random(3)
     lists = [[rng.choice("a b c d #".split()) for _ in range(rng.choice([0, 1, 5, 60]))] for _ in range(60)] + [["a"] * 400] * 3
